@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import mixing, packing, tokens
+from strandlake.llm import mixing, packing, quality, tokens
 from strandlake.session import staged
 from strandlake.tables import table
 
@@ -37,5 +37,19 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
     return _mixed(spark, sf)[1]
 
 
-QUERIES = {f.__name__: f for f in (p6_assignments, p6_containers, p6_summary, p7_mixture, p7_shares)}
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.text_quality(table(spark, sf, "documents")).where(F.col("kind") != "prose").select("doc_id")
+
+
+def p8_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.text_quality(table(spark, sf, "documents"))
+
+
+def p8_label_agreement(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents by their label and the kind found; the labels are only compared with, nothing is fitted to them."""
+    found = quality.text_quality(table(spark, sf, "documents")).join(table(spark, sf, "doc_labels"), "doc_id")
+    return found.groupBy("label", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (p6_assignments, p6_containers, p6_summary, p7_mixture, p7_shares, p8_found, p8_quality, p8_label_agreement)}
 ORACLES: dict[str, str] = {}
