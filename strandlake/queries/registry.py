@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strandlake.queries import problems
+from strandlake.queries import genome, problems
 
-_MODULES = (problems,)
+_MODULES = (problems, genome)
 
 
 def queries() -> dict:
