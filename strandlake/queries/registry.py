@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strandlake.queries import genome, problems
+from strandlake.queries import genome, pileups, problems
 
-_MODULES = (problems, genome)
+_MODULES = (problems, genome, pileups)
 
 
 def queries() -> dict:
