@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strandlake.queries import genome, pileups, problems
+from strandlake.queries import genome, pileups, problems, recalibration
 
-_MODULES = (problems, genome, pileups)
+_MODULES = (problems, genome, pileups, recalibration)
 
 
 def queries() -> dict:
