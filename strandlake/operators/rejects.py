@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import csv
 import re
-import sys
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -131,6 +130,7 @@ def split_record(text: str, delimiter: str = "\t") -> list[str]:
             swaps.append((end, stand_in))
     for end, stand_in in swaps:
         text = text.replace(end, stand_in)
+    csv.field_size_limit(max(len(text), 1 << 17))  # no field is too long
     try:
         (fields,) = csv.reader([text], delimiter=delimiter, quotechar='"', doublequote=True, strict=True)
     except (csv.Error, ValueError) as fault:
@@ -224,7 +224,6 @@ def _mapper(parse, is_record, schema: T.StructType):
     arrow, width = to_arrow_schema(schema), len(schema) - 2
 
     def parsed(batches):
-        csv.field_size_limit(sys.maxsize)
         blank = (None,) * width
         for batch in batches:
             rows = []
