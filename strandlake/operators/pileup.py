@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from strandlake.functions import cigar as C
 from strandlake.functions.quality import quality_at
 from strandlake.operators.filters import filtered
+from strandlake.session import spread
 from strandlake.tables import FLAG_REVERSE, with_contig, with_sample
 
 
@@ -39,7 +40,7 @@ def with_neighbours(ops: str) -> Column:
 
 def read_rows(reads: DataFrame, read_groups: DataFrame, contigs: DataFrame, preset: str = "locus_walker") -> DataFrame:
     """Filtered, placed reads with ``sample`` and ``contig``."""
-    kept = filtered(reads, preset).where(C.has_cigar(F.col("cigar")) & (F.col("contig_position") >= 1))
+    kept = filtered(spread(reads), preset).where(C.has_cigar(F.col("cigar")) & (F.col("contig_position") >= 1))
     return with_sample(with_contig(kept, contigs, "contig_name", "contig_id", out="contig"), read_groups).where("contig is not null")
 
 
@@ -117,21 +118,19 @@ def quality_filtered(els: DataFrame, min_base: int = -1, min_mapping: int = -1)
     return els.where((F.coalesce("map_q", none) >= min_mapping) & (F.col("is_deletion") | (F.coalesce("qual", none) >= min_base)))
 
 
-def strand_tables(els: DataFrame, refs: DataFrame) -> DataFrame:
-    """(contig, position, ref, alt, ref_forward, ref_reverse, alt_forward, alt_reverse) at positions where a base differs from ``ref``; alt is the most frequent such base."""
+def strand_tables(els: DataFrame, refs: DataFrame | None = None) -> DataFrame:
+    """(contig, position, ref, alt, ref_forward, ref_reverse, alt_forward, alt_reverse) at positions where a base differs from the reference; alt is the most frequent such base.
+
+    Without ``refs`` the reference is the consensus, from the same counts.
+    """
     counted = els.where(F.col("base").isin("A", "C", "G", "T")).groupBy(*LOCUS, "base").agg(F.count_if(~F.col("is_reverse")).alias("f"), F.count_if("is_reverse").alias("r"))
-    joined = counted.join(refs, LOCUS)
-    is_ref = F.col("base") == F.col("ref")
-    order = F.when(~is_ref, F.struct(-(F.col("f") + F.col("r")), "base"))
-    per = joined.groupBy(*LOCUS, "ref").agg(
-        F.min_by("base", order).alias("alt"),
-        F.coalesce(F.max(F.when(is_ref, F.col("f"))), F.lit(0)).alias("ref_forward"),
-        F.coalesce(F.max(F.when(is_ref, F.col("r"))), F.lit(0)).alias("ref_reverse"),
-        F.min_by("f", order).alias("alt_forward"),
-        F.min_by("r", order).alias("alt_reverse"),
-        F.count_if(~is_ref).alias("n_alts"),
-    )
-    return per.where("n_alts > 0").drop("n_alts")
+    per = counted.groupBy(*LOCUS).agg(F.sort_array(F.collect_list(F.struct((-(F.col("f") + F.col("r"))).alias("n"), "base", "f", "r"))).alias("b"))  # four bases at most
+    per = per.join(refs, LOCUS) if refs is not None else per.withColumn("ref", F.col("b")[0]["base"])
+    own = F.get(F.filter("b", lambda x: x["base"] == F.col("ref")), F.lit(0))
+    alt = F.get(F.filter("b", lambda x: x["base"] != F.col("ref")), F.lit(0))
+    found = per.select(*LOCUS, "ref", own.alias("o"), alt.alias("a")).where("a is not null")
+    zero = F.lit(0).cast("bigint")
+    return found.select(*LOCUS, "ref", F.col("a.base").alias("alt"), F.coalesce("o.f", zero).alias("ref_forward"), F.coalesce("o.r", zero).alias("ref_reverse"), F.col("a.f").alias("alt_forward"), F.col("a.r").alias("alt_reverse"))
 
 
 def quality_sums(els: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from strandlake.functions import cigar as C
 from strandlake.functions.bases import complement
 from strandlake.kernels import recalibrate as K
-from strandlake.operators import pileup
+from strandlake.operators import pileup, reference
 from strandlake.session import staged
 from strandlake.tables import FLAG_PAIRED, FLAG_REVERSE, FLAG_SECOND, contig_key
 
@@ -51,28 +51,29 @@ def masked_tails(seq: Column, quals: Column) -> Column:
 def covariate_bases(reads: DataFrame, read_groups: DataFrame, contigs: DataFrame, refs: DataFrame, sites: DataFrame) -> DataFrame:
     """(record_id, read_group, qual, context, cycle, error) of the bases that count.
 
-    refs: (contig, position, ref). Left out: irregular bases, qualities below ``MIN_QUALITY``, known sites. The context is in the order of
+    refs: slices of the reference (reference.py). Left out: positions without reference, irregular bases, qualities below ``MIN_QUALITY``, known sites. The context is in the order of
     sequencing and null at the start or next to an N; the cycle counts from the read's first sequenced base, negative for second mates.
     """
     rows = pileup.read_rows(reads, read_groups, contigs, "recalibrator").where("base_quals is not null and base_quals not in ('', '*') and read_group is not null")
-    rows = with_known_positions(rows, sites)
+    rows = with_known_positions(rows, sites).withColumn("_end", F.col("contig_position") + C.reference_length(F.col("cigar")) - 1)
+    rows = reference.with_reference(rows, refs, "contig_position", "_end")
     seq = masked_tails(F.upper("seq"), F.col("base_quals"))
     rows = rows.withColumns({"_masked": seq, "is_reverse": F.col("flag").bitwiseAND(FLAG_REVERSE) != 0, "is_second": (F.col("flag").bitwiseAND(FLAG_PAIRED) != 0) & (F.col("flag").bitwiseAND(FLAG_SECOND) != 0), "_n": F.length("seq")})
-    bases = pileup.aligned_bases(rows, ["record_id", "read_group", "contig", "_masked", "is_reverse", "is_second", "_n", "known"])
+    bases = pileup.aligned_bases(rows, ["record_id", "read_group", "contig", "_masked", "is_reverse", "is_second", "_n", "known", "ref_seq", "ref_start"])
     bases = bases.where(F.col("base").isin("A", "C", "G", "T") & (F.col("qual") >= MIN_QUALITY) & ~F.coalesce(F.array_contains("known", F.col("position")), F.lit(False)))
     offset = F.col("read_offset")
     forward = F.when(offset >= CONTEXT - 1, F.substring("_masked", offset - (CONTEXT - 2), F.lit(CONTEXT)))
     backward = F.when(offset + CONTEXT <= F.col("_n"), complement(F.reverse(F.substring("_masked", offset + 1, F.lit(CONTEXT)))))
     text = F.when(F.col("is_reverse"), backward).otherwise(forward)
     step = F.when(F.col("is_reverse"), F.col("_n") - offset).otherwise(offset + 1)
-    compared = bases.join(refs, pileup.LOCUS)
-    return compared.select(
+    ref = F.substring("ref_seq", (F.col("position") - F.col("ref_start") + 1).cast("int"), F.lit(1))
+    return bases.withColumn("_ref", ref).where("_ref <> 'N'").select(
         "record_id",
         "read_group",
         "qual",
         F.when(text.rlike(f"^[ACGT]{{{CONTEXT}}}$"), text).alias("context"),
         F.when(step <= MAX_CYCLE, F.when(F.col("is_second"), -step).otherwise(step)).alias("cycle"),
-        (F.col("base") != F.col("ref")).cast("int").alias("error"),
+        (F.col("base") != F.col("_ref")).cast("int").alias("error"),
     )
 
 

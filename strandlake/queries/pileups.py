@@ -11,6 +11,7 @@ from strandlake.functions import quality as Q
 from strandlake.operators import filters, pileup, reference
 from strandlake.queries.genome import _kept
 from strandlake.queries.sqlparts import cigar_sum, contig_key, contigs
+from strandlake.session import spread
 from strandlake.tables import table
 
 #: Loci that more than one element covers.
@@ -37,8 +38,7 @@ def consensus_bases(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def strand_table(spark: SparkSession, sf: str) -> DataFrame:
-    els = _elements(spark, sf)
-    return pileup.strand_tables(els, pileup.consensus(els))
+    return pileup.strand_tables(_elements(spark, sf))
 
 
 def allele_fraction(spark: SparkSession, sf: str) -> DataFrame:
@@ -110,7 +110,7 @@ def cigar_functions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def kmer_counts(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "reads").where("seq is not null").select(F.explode(B.kmers(F.upper("seq"), 8)).alias("kmer"))
+    rows = spread(table(spark, sf, "reads")).where("seq is not null").select(F.explode(B.kmers(F.upper("seq"), 8)).alias("kmer"))
     return rows.groupBy("kmer").agg(F.count(F.lit(1)).alias("n")).where("n >= 4")
 
 

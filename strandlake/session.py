@@ -62,6 +62,15 @@ def staged(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its input has fewer splits than that (a small or unsplittable file); else as it is, without a shuffle.
+
+    For scans whose rows are about to be multiplied.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def tokenizer_dir() -> str:
     """Folder of the public tokenizer vocabularies; override with STRANDLAKE_TOKENIZERS."""
     return os.environ.get("STRANDLAKE_TOKENIZERS", "/opt/tokenizers")
