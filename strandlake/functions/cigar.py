@@ -1,4 +1,4 @@
-"""CIGAR strings as Column expressions. Lengths come from one pass over the operations, inside the JVM."""
+"""CIGAR strings as Column expressions. Lengths come from one pass over the operations, inside the JVM; one too large for its type is null."""
 
 from __future__ import annotations
 
@@ -15,7 +15,7 @@ def has_cigar(cigar: Column) -> Column:
 
 def _sum_of(cigar: Column, ops: str) -> Column:
     numbers = F.regexp_extract_all(cigar, F.lit(rf"(\d+)[{ops}]"), F.lit(1))
-    return F.aggregate(numbers, F.lit(0).cast("bigint"), lambda a, x: a + x.cast("bigint"))
+    return F.aggregate(numbers, F.lit(0).cast("bigint"), lambda a, x: a + x.try_cast("bigint"))
 
 
 def reference_length(cigar: Column) -> Column:
@@ -41,4 +41,4 @@ def trailing_clip(cigar: Column) -> Column:
 def operations(cigar: Column) -> Column:
     """array<struct<len int, op string>>; empty for no CIGAR."""
     parts = F.regexp_extract_all(F.coalesce(cigar, F.lit("")), F.lit(r"(\d+[MIDNSHP=X])"), F.lit(1))
-    return F.transform(parts, lambda p: F.struct(F.regexp_extract(p, r"^(\d+)", 1).cast("int").alias("len"), F.right(p, F.lit(1)).alias("op")))
+    return F.transform(parts, lambda p: F.struct(F.regexp_extract(p, r"^(\d+)", 1).try_cast("int").alias("len"), F.right(p, F.lit(1)).alias("op")))

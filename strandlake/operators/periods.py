@@ -22,14 +22,17 @@ from strandlake.tables import FLAG_UNMAPPED, with_contig, with_sample
 
 #: Positions of a stretch.
 STRETCH = 1 << 20
+_FAR = 10**15
 
 
 def _merge_stretch(intervals: DataFrame, keys: list[str]) -> DataFrame:
     """Periods of each (keys, _stretch) by session_window; one position is one microsecond."""
     begin = F.timestamp_micros(F.col("_from"))
-    length = F.make_interval(secs=((F.col("_to") - F.col("_from") + 1) / F.lit(1000000).cast("decimal(7,0)")).cast("decimal(18,6)"))
-    merged = intervals.select(*keys, "_stretch", begin.alias("_at"), length.alias("_length")).groupBy(*keys, "_stretch", F.session_window("_at", F.col("_length"))).agg(F.count(F.lit(1)).alias("_n"))
-    return merged.select(*keys, "_stretch", F.unix_micros("session_window.start").alias("_from"), (F.unix_micros("session_window.end") - 1).alias("_to"))
+    # An end further away than any start can be, and than timestamps go, merges the same; the end itself is kept beside the session.
+    micros = F.least(F.col("_to") - F.col("_from") + 1, F.lit(_FAR))
+    length = F.make_interval(secs=(micros / F.lit(1000000).cast("decimal(7,0)")).cast("decimal(18,6)"))
+    merged = intervals.select(*keys, "_stretch", begin.alias("_at"), length.alias("_length"), "_to").groupBy(*keys, "_stretch", F.session_window("_at", F.col("_length"))).agg(F.max("_to").alias("_to"))
+    return merged.select(*keys, "_stretch", F.unix_micros("session_window.start").alias("_from"), "_to")
 
 
 def covered_periods(intervals: DataFrame, keys: list[str], start: str, end: str, stretch: int = STRETCH) -> DataFrame:
@@ -81,7 +84,7 @@ def _with_stretch(rows: DataFrame, stretches: DataFrame, keys: list[str]) -> Dat
 
 def read_spans(reads: DataFrame, read_groups: DataFrame, contigs: DataFrame) -> DataFrame:
     """(sample_name, contig_name, from_position, to_position) of the reads that are placed, have a CIGAR and a known group."""
-    placed = reads.where((F.col("flag").bitwiseAND(FLAG_UNMAPPED) == 0) & (F.col("contig_position") >= 1) & C.has_cigar(F.col("cigar")) & F.col("read_group").isNotNull())
+    placed = reads.where((F.coalesce("flag", F.lit(0)).bitwiseAND(FLAG_UNMAPPED) == 0) & (F.col("contig_position") >= 1) & C.has_cigar(F.col("cigar")) & F.col("read_group").isNotNull())
     placed = placed.select("read_group", "contig_id", "contig_name", "contig_position", "cigar")
     named = with_sample(with_contig(placed, contigs, "contig_name", "contig_id", out="_contig"), read_groups, out="_sample")
     span = C.reference_length(F.col("cigar"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strandlake.queries import genome, pileups, problems, recalibration
+from strandlake.queries import calls, genome, pileups, problems, recalibration
 
-_MODULES = (problems, genome, pileups, recalibration)
+_MODULES = (problems, genome, pileups, recalibration, calls)
 
 
 def queries() -> dict:

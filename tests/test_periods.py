@@ -35,7 +35,7 @@ def test_against_brute_force(spark):
     for _ in range(300):
         a = rnd.randint(-50, 400)
         rows.append((rnd.choice(["x", "y", None]), a, a + rnd.choice([-1, 0, 0, 1, 2, 5, 40, 150])))
-    rows += [("z", None, 5), ("z", 5, None), ("n", 1, 100), ("n", 20, 30), ("n", 101, 101), ("n", 103, 10**15), ("r", 5, 5), ("r", 5, 5)]
+    rows += [("z", None, 5), ("z", 5, None), ("n", 1, 100), ("n", 20, 30), ("n", 101, 101), ("n", 103, 10**15), ("n", 105, 9 * 10**18), ("n", 2000, 2001), ("r", 5, 5), ("r", 5, 5)]
     for stretch in (7, 64, 1 << 20):
         assert run(spark, rows, stretch) == brute(rows)
 
