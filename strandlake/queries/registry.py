@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strandlake.queries import calls, genome, pileups, problems, recalibration
+from strandlake.queries import calls, genome, pileups, problems, recalibration, somatics
 
-_MODULES = (problems, genome, pileups, recalibration, calls)
+_MODULES = (problems, genome, pileups, recalibration, calls, somatics)
 
 
 def queries() -> dict:
