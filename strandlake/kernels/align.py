@@ -91,43 +91,67 @@ def smith_waterman(ref: str, query: str, costs: tuple[int, int, int, int] = HAPL
     return i if not (overhang == "ignore" and j) else i - j, compact(ops[::-1]), score
 
 
-def pair_hmm(read: str, quals: list[int], haplotype: str, insertion: int = 45, deletion: int = 45, continuation: int = 10) -> float:
-    """log10 likelihood of the read given the haplotype, summed over all alignments; the read may begin and end anywhere in it.
+def _padded(texts: list[bytes]) -> np.ndarray:
+    out = np.zeros((len(texts), max(map(len, texts), default=0)), np.uint8)
+    for row, t in zip(out, texts, strict=True):
+        row[: len(t)] = np.frombuffer(t, np.uint8)
+    return out
 
-    Cells of one antidiagonal depend only on the two before it, so each is one numpy step; values are scaled by a power of two against underflow.
-    """
-    n, m = len(read), len(haplotype)
-    if not n or not m:
-        return 0.0 if not n else -math.inf
-    x, y = np.frombuffer(read.encode(), np.uint8), np.frombuffer(haplotype.encode(), np.uint8)
-    e = 10.0 ** (np.asarray(quals, float) / -10.0)
+
+def _pairs(x: np.ndarray, e: np.ndarray, n: np.ndarray, y: np.ndarray, m: np.ndarray, insertion: int, deletion: int, continuation: int) -> np.ndarray:
     gi, gd, gc = 10.0 ** (insertion / -10), 10.0 ** (deletion / -10), 10.0 ** (continuation / -10)
     mm, gm = 1 - gi - gd, 1 - gc
+    size, longest, width = len(n), int(m.max()), x.shape[1] + 1
     scale = 2.0**1020
-    width = n + 1
-    zero = np.zeros(width)
-    m2, i2, d2 = zero.copy(), zero.copy(), zero.copy()  # antidiagonal before last, indexed by read position
-    m1, i1, d1 = zero.copy(), zero.copy(), zero.copy()
     start = scale / m
-    total = 0.0
-    d1[0] = start  # cell (0, 0): the read may begin at any haplotype position
-    for s in range(1, n + m + 1):
-        mc, ic, dc = np.zeros(width), np.zeros(width), np.zeros(width)
-        if s <= m:
-            dc[0] = start
-        lo, hi = max(1, s - m), min(n, s - 1)
+    rows = np.arange(size)
+    total = np.zeros(size)
+    # Antidiagonals before last (2), last (1) and now (0), by read position; position 0 is before the read, where it may begin anywhere.
+    m2, i2, d2, m1, i1, d1 = (np.zeros((size, width)) for _ in range(6))
+    d1[:, 0] = start
+    for s in range(1, int(n.max()) + longest + 1):
+        m0, i0, d0 = np.zeros((size, width)), np.zeros((size, width)), np.zeros((size, width))
+        d0[:, 0] = np.where(s <= m, start, 0.0)
+        lo, hi = max(1, s - longest), min(width - 1, s - 1)
         if lo <= hi:
-            i = np.arange(lo, hi + 1)
-            j = s - i
-            a, b = x[i - 1], y[j - 1]
-            prior = np.where((a == b) | (a == 78) | (b == 78), 1 - e[i - 1], e[i - 1] / 3)
-            mc[i] = prior * (m2[i - 1] * mm + (i2[i - 1] + d2[i - 1]) * gm)
-            ic[i] = m1[i - 1] * gi + i1[i - 1] * gc
-            dc[i] = m1[i] * gd + d1[i] * gc
-        if s > n:
-            total += mc[n] + ic[n]
-        m2, i2, d2, m1, i1, d1 = m1, i1, d1, mc, ic, dc
-    return math.log10(total / scale) if total > 0 else -math.inf
+            a, b, err = x[:, lo - 1 : hi], y[:, s - hi - 1 : s - lo][:, ::-1], e[:, lo - 1 : hi]
+            prior = np.where((a == b) | (a == 78) | (b == 78), 1 - err, err / 3)
+            m0[:, lo : hi + 1] = prior * (m2[:, lo - 1 : hi] * mm + (i2[:, lo - 1 : hi] + d2[:, lo - 1 : hi]) * gm)
+            i0[:, lo : hi + 1] = m1[:, lo - 1 : hi] * gi + i1[:, lo - 1 : hi] * gc
+            d0[:, lo : hi + 1] = m1[:, lo : hi + 1] * gd + d1[:, lo : hi + 1] * gc
+        ended = (s > n) & (s - n <= m)
+        total += np.where(ended, m0[rows, n] + i0[rows, n], 0.0)
+        m2, i2, d2, m1, i1, d1 = m1, i1, d1, m0, i0, d0
+    with np.errstate(divide="ignore"):
+        return np.log10(total) - math.log10(scale)
+
+
+def pair_hmm_matrix(reads: list[str], quals: list[list[int]], haplotypes: list[str], insertion: int = 45, deletion: int = 45, continuation: int = 10, chunk: int = 512) -> np.ndarray:
+    """log10 likelihood of each read (rows) given each haplotype (columns), summed over all alignments; a read may begin and end anywhere.
+
+    Cells of one antidiagonal depend only on the two before it, so one numpy step fills it for a whole chunk of pairs. Values are scaled by
+    a power of two against underflow.
+    """
+    out = np.zeros((len(reads), len(haplotypes)))
+    n, m = np.array([len(r) for r in reads], np.int64), np.array([len(h) for h in haplotypes], np.int64)
+    if not len(reads) or not len(haplotypes):
+        return out
+    x, y = _padded([r.encode() for r in reads]), _padded([h.encode() for h in haplotypes])
+    e = np.ones((len(reads), x.shape[1]))
+    for row, q in zip(e, quals, strict=True):
+        row[: len(q)] = 10.0 ** (np.asarray(q, float) / -10.0)
+    pairs = [(i, j) for i in range(len(reads)) for j in range(len(haplotypes)) if n[i] and m[j]]
+    out[:, m == 0] = -math.inf
+    out[n == 0, :] = 0.0
+    for at in range(0, len(pairs), chunk):
+        i, j = np.array(pairs[at : at + chunk]).T
+        out[i, j] = _pairs(x[i], e[i], n[i], y[j], m[j], insertion, deletion, continuation)
+    return out
+
+
+def pair_hmm(read: str, quals: list[int], haplotype: str, insertion: int = 45, deletion: int = 45, continuation: int = 10) -> float:
+    """One cell of ``pair_hmm_matrix``."""
+    return float(pair_hmm_matrix([read], [quals], [haplotype], insertion, deletion, continuation)[0, 0])
 
 
 def base_alignment_quality(read: str, quals: list[int], ref: str, expected: int, band: int = 7, gap_open: float = 1e-4, gap_extend: float = 0.1) -> list[int]:

@@ -78,11 +78,9 @@ def called(groups: DataFrame, confidence: float = CONFIDENCE) -> DataFrame:
         sites = sorted({e for ev in events for e in ev if lo <= e[0] <= hi})
         if not sites:
             return pd.DataFrame(columns=columns)
-        scores = np.empty((len(pdf), len(found)))
-        for i, (s, q, m) in enumerate(zip(pdf.seq, pdf.base_quals, pdf.map_q, strict=True)):
-            cap = 60 if m is None or math.isnan(m) else max(6, int(m))
-            quals = [max(6, min(ord(x) - 33, cap)) for x in q]
-            scores[i] = [align.pair_hmm(s.upper(), quals, h) for _, h, _ in found]
+        caps = [60 if m is None or math.isnan(m) else max(6, int(m)) for m in pdf.map_q]
+        quals = [[max(6, min(ord(x) - 33, cap)) for x in q] for q, cap in zip(pdf.base_quals, caps, strict=True)]
+        scores = align.pair_hmm_matrix(pdf.seq.str.upper().tolist(), quals, [h for _, h, _ in found])
         best = scores.max(axis=1, keepdims=True)
         scores = np.maximum(scores, best - MISMAPPING / 10)
         samples = pdf["sample"].fillna("").to_numpy()

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandlake.operators.periods import STRETCH
+from strandlake.session import staged
 
 
 def _on(keys: list[str]) -> list[Column]:
@@ -44,6 +45,7 @@ def with_running_count(rows: DataFrame, keys: list[str], at: str, ties: list[str
 
 def with_island(rows: DataFrame, keys: list[str], at: str, ties: list[str], carried: list[str], begins: Callable[[Column], Column], out: str = "island") -> DataFrame:
     """Add ``out``: the number of the run of rows that this one belongs to; ``begins(previous)`` says if a row begins one."""
-    marked = with_previous(rows, keys, at, ties, carried, "_prev")
+    marked = with_previous(staged(rows, "ordered-rows"), keys, at, ties, carried, "_prev")
     marked = marked.withColumn("_begins", F.col("_prev").isNull() | F.coalesce(begins(F.col("_prev")), F.lit(True))).drop("_prev")
+    marked = staged(marked, "ordered-marks")  # both steps read their rows twice
     return with_running_count(marked, keys, at, ties, "_begins", out).drop("_begins")

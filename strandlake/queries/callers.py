@@ -17,7 +17,7 @@ from strandlake.tables import table
 
 def _groups(spark: SparkSession, sf: str) -> DataFrame:
     refs = staged(reference.slices(pileup.consensus(_elements(spark, sf))), "reference-slices")
-    return calling.region_groups(activity_segments(spark, sf), *(table(spark, sf, n) for n in ("reads", "read_groups", "contigs")), refs)
+    return calling.region_groups(staged(activity_segments(spark, sf), "regions"), *(table(spark, sf, n) for n in ("reads", "read_groups", "contigs")), refs)
 
 
 def assembly_haplotypes(spark: SparkSession, sf: str) -> DataFrame:

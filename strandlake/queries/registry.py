@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strandlake.queries import callers, calls, genome, pileups, problems, recalibration, somatics
+from strandlake.queries import callers, calls, formats, genome, pileups, problems, recalibration, somatics
 
-_MODULES = (problems, genome, pileups, recalibration, calls, somatics, callers)
+_MODULES = (problems, genome, pileups, recalibration, calls, somatics, callers, formats)
 
 
 def queries() -> dict:

@@ -90,6 +90,11 @@ def test_pair_hmm():
         read = seq(rnd.randint(1, 20))
         quals = [rnd.randint(5, 40) for _ in read]
         assert align.pair_hmm(read, quals, hap) == pytest.approx(brute_hmm(read, quals, hap), rel=1e-9)
+    haps, reads = [seq(rnd.randint(3, 30)) for _ in range(4)], [seq(rnd.randint(1, 25)) for _ in range(5)]
+    quals = [[rnd.randint(5, 40) for _ in r] for r in reads]
+    matrix = align.pair_hmm_matrix(reads, quals, haps, chunk=3)
+    assert matrix == pytest.approx(np.array([[brute_hmm(r, q, h) for h in haps] for r, q in zip(reads, quals, strict=True)]), rel=1e-9)
+    assert align.pair_hmm_matrix(["", "A"], [[], [30]], ["", "A"])[0].tolist() == [0.0, 0.0]
     hap = seq(200)
     assert align.pair_hmm(hap[50:150], [30] * 100, hap) > align.pair_hmm(seq(100), [30] * 100, hap)
 
