@@ -53,6 +53,8 @@ def records(path: str, start: int = 0, end: int | None = None):
 
         while len(window) < 4 and (x := line()) is not None:
             window.append(x)
+        if start and len(window) < 4:
+            return  # the rest of a record that began before
         # A quality line may begin with @ too, so the line after next has to begin with +, and not the next but one after that.
         while len(window) == 4 and start and not (window[0][1][:1] == b"@" and window[2][1][:1] == b"+" and len(window[1][1]) == len(window[3][1])):
             window.pop(0)

@@ -30,19 +30,24 @@ def split_to_tables(parsed: DataFrame, valid_path: str, rejected_path: str, chec
     return parsed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _watched(rows: DataFrame, at: str, late: str) -> DataFrame:
+    """A stream with its watermark; event times without a zone are taken in the session's. For batch frames the watermark does nothing."""
+    return rows.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late) if rows.isStreaming else rows
+
+
 def windowed_counts(events: DataFrame, at: str, keys: list[str], width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Rows per key and window of event time; rows later than the watermark are dropped by the engine. For batch frames the watermark does nothing."""
-    watched = events.withWatermark(at, late) if events.isStreaming else events
+    watched = _watched(events, at, late)
     per = watched.groupBy(F.window(at, width), *keys).agg(F.count(F.lit(1)).alias("n"))
     return per.select(F.col("window.start").alias("window_start"), *keys, "n")
 
 
 def sessions(events: DataFrame, at: str, keys: list[str], gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
-    watched = events.withWatermark(at, late) if events.isStreaming else events
+    watched = _watched(events, at, late)
     per = watched.groupBy(F.session_window(at, gap), *keys).agg(F.count(F.lit(1)).alias("n"))
     return per.select(F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), *keys, "n")
 
 
 def deduplicated_stream(rows: DataFrame, keys: list[str], at: str, late: str = "2 hours") -> DataFrame:
     """The first row of each key within the watermark; state older than that is let go."""
-    return rows.withWatermark(at, late).dropDuplicatesWithinWatermark(keys) if rows.isStreaming else rows.dropDuplicates(keys)
+    return _watched(rows, at, late).dropDuplicatesWithinWatermark(keys) if rows.isStreaming else rows.dropDuplicates(keys)
