@@ -56,8 +56,10 @@ _KEY_VALUE = re.compile(r"\s*[\w][\w .'-]{0,30}\s?[:=]\s\S+(?: \S+)?\s*$")
 _GAP = re.compile(r" {2,}")
 _PIPE_RULE = re.compile(r"[\s|+:=_-]{5,}$")
 _SYMBOL = re.compile(r"[^\w\s.,;:!?'\"()’«»¿¡-]")
-#: A window of text with a smaller share of common words among its words isn't sentences; a line of more characters than this is text rather than an item.
-MIN_COMMON, ITEM_WORDS = 0.2, 4
+#: A window of text with a smaller share of common words among its words isn't sentences (the looser one counts where nothing is laid out), and the most words of an item.
+MIN_COMMON, MIN_COMMON_LOOSE, ITEM_WORDS = 0.2, 0.13, 4
+#: Share of lines indented like the lines some steps above, and correlation of neighbouring line lengths, from which lines are laid out as items.
+PERIODIC, CORRELATED = 0.75, 0.6
 
 
 def _delimiters(line: str) -> tuple[dict[str, int], set[int], set[int]]:
@@ -105,6 +107,9 @@ def line_kinds(lines: list[str]) -> tuple[list[str], list[list[str]], list[int],
     delimited = [_delimiters(x) if "|" in x or "\t" in x or ";" in x or "," in x or "  " in x else None for x in lines]
     kinds = [""] * n
     aligned = 0
+    indents = [len(x) - len(x.lstrip()) for x in lines]
+    # Lines that are indented by a pattern or whose lengths follow each other are laid out as items.
+    laid_out = _periodicity(indents) >= PERIODIC or abs(_autocorrelation([len(x.strip()) for x in lines])) >= CORRELATED
     for i, line in enumerate(lines):
         if delimited[i] and (i and delimited[i - 1] and _aligned(delimited[i], delimited[i - 1]) or i + 1 < n and delimited[i + 1] and _aligned(delimited[i], delimited[i + 1])):
             aligned += 1
@@ -124,13 +129,15 @@ def line_kinds(lines: list[str]) -> tuple[list[str], list[list[str]], list[int],
         sentence = common[i] > 0 and own >= 3 and lines[i].rstrip()[-1] in ".!?" and common[i] >= MIN_COMMON / 2 * own
         if sentence or own >= 4 and common[i] >= MIN_COMMON * own or n_common and n_common >= MIN_COMMON * n_words and (own >= 6 or common[i] or own and n_common >= 4):
             kinds[i] = "prose"
+        elif not laid_out and own >= ITEM_WORDS and n_common >= MIN_COMMON_LOOSE * n_words and lines[i][0].isalpha() and sum(map(len, words[i])) >= 0.7 * len(lines[i].strip()):
+            kinds[i] = "prose"  # fewer common words than most, but nothing else it could be
         elif i and kinds[i - 1] == "table" or i + 1 < n and kinds[i + 1] == "table":
             kinds[i] = "table"
         elif lines[i][:1] in " \t" and (i and kinds[i - 1] == "list" or i + 1 < n and kinds[i + 1] == "list") or _KEY_VALUE.match(lines[i]):
             kinds[i] = "list"
         elif _PIPE_RULE.match(lines[i]) or not own:
             kinds[i] = "junk"
-        elif own <= ITEM_WORDS:
+        elif own <= ITEM_WORDS or laid_out and indents[i] and own <= 2 * ITEM_WORDS:
             kinds[i] = "list"
         else:
             kinds[i] = "junk"
