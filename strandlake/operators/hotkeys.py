@@ -13,7 +13,9 @@ repeated rows count; an empty table yields no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -184,6 +186,8 @@ def key_statistics(variants: DataFrame, contigs: DataFrame, block_bits: int = BL
 def hot_keys(variants: DataFrame, contigs: DataFrame, contig_share: float = 0.08, site_share: float = 0.02) -> DataFrame:
     """The contigs and sites with more than their share of all rows; keys without a known contig or position are none."""
     total = variants.count()
-    least = F.when(F.col("key_level") == "contig", contig_share).otherwise(site_share) * total
+    # A whole number is above a share of the total if it is above the share's whole part; taken exactly, not in floating point.
+    contig_least, site_least = (math.floor(Fraction(str(share)) * total) for share in (contig_share, site_share))
+    least = F.when(F.col("key_level") == "contig", contig_least).otherwise(site_least)
     kept = key_statistics(variants, contigs).where((F.col("n_rows") > least) & F.col("contig_name").isNotNull() & F.col("contig_position").isNotNull())
     return kept.select("key_level", "contig_name", "contig_position")

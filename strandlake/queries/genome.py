@@ -223,7 +223,7 @@ gs AS (SELECT record_id, sample_name, cname AS contig_name, CAST(contig_position
 
 
 def _merge_sql(name: str, source: str, slack: int, keys: str = "sample_name, contig_name") -> str:
-    return f"""{name}_b AS (SELECT *, max(b) OVER (PARTITION BY {keys} ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pb FROM {source} WHERE b >= a),
+    return f"""{name}_b AS (SELECT *, max(b) OVER (PARTITION BY {keys} ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pb FROM (SELECT DISTINCT {keys}, a, b FROM {source}) WHERE b >= a),
 {name}_i AS (SELECT *, sum(CASE WHEN pb IS NULL OR a > pb + {slack} THEN 1 ELSE 0 END) OVER (PARTITION BY {keys} ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS isl FROM {name}_b),
 {name} AS (SELECT {keys}, CAST(min(a) AS BIGINT) AS a, CAST(max(b) AS BIGINT) AS b FROM {name}_i GROUP BY {keys}, isl)"""
 

@@ -105,7 +105,7 @@ reads_spans AS (SELECT 'reads' AS track, sample_name, cname, contig_position AS
 gvcf_spans AS (SELECT 'gvcf' AS track, sample_name, cname, contig_position AS a,
     CASE WHEN e >= contig_position THEN e ELSE contig_position + length(ref_allele) - 1 END AS b
     FROM (SELECT *, {contig_key()} AS k, TRY_CAST(regexp_extract(info, '(^|;)END=([0-9]+)(;|$)', 2) AS BIGINT) AS e FROM gvcf_records) g JOIN known ON ckey = k),
-spans AS (SELECT * FROM reads_spans UNION ALL SELECT * FROM gvcf_spans),
+spans AS (SELECT * FROM reads_spans UNION SELECT * FROM gvcf_spans),
 before AS (SELECT *, max(b) OVER (PARTITION BY track, sample_name, cname ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pb FROM spans WHERE b >= a),
 islands AS (SELECT *, sum(CASE WHEN pb IS NULL OR a > pb + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY track, sample_name, cname ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island FROM before),
 covered AS (SELECT track, sample_name, cname, island, min(a) AS a, max(b) AS b FROM islands GROUP BY ALL),

@@ -17,6 +17,9 @@ def spark():
 
     session = local_session(cores=8, memory="6g", partitions=4)
     session.sparkContext.setLogLevel("ERROR")
+    # On these tiny tables compiling code takes longer than running it; queries run compiled in the bench and on the larger tables.
+    session.conf.set("spark.sql.codegen.wholeStage", "false")
+    session.conf.set("spark.sql.codegen.factoryMode", "NO_CODEGEN")
     yield session
 
 
