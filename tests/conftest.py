@@ -15,11 +15,12 @@ SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 def spark():
     from strandlake.session import local_session
 
-    session = local_session(cores=8, memory="6g", partitions=4)
+    session = local_session(cores=8, memory="6g", partitions=2)
     session.sparkContext.setLogLevel("ERROR")
     # On these tiny tables compiling code takes longer than running it; queries run compiled in the bench and on the larger tables.
     session.conf.set("spark.sql.codegen.wholeStage", "false")
     session.conf.set("spark.sql.codegen.factoryMode", "NO_CODEGEN")
+    session.conf.set("spark.sql.adaptive.enabled", "false")
     yield session
 
 
