@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strandlake.queries import callers, calls, formats, genome, pileups, problems, readchanges, recalibration, somatics
+from strandlake.queries import callers, calls, formats, genome, joins, pileups, problems, readchanges, recalibration, somatics
 
-_MODULES = (problems, genome, pileups, recalibration, calls, somatics, callers, formats, readchanges)
+_MODULES = (problems, genome, pileups, recalibration, calls, somatics, callers, formats, readchanges, joins)
 
 
 def queries() -> dict:
