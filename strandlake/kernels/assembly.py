@@ -20,14 +20,14 @@ class KmerGraph:
         self.after: dict[str, set[str]] = defaultdict(set)
         self.before: dict[str, set[str]] = defaultdict(set)
 
-    def add(self, seq: str, is_ref: bool = False) -> None:
-        """Thread a sequence; k-mers with N break it."""
+    def add(self, seq: str, is_ref: bool = False, times: int = 1) -> None:
+        """Thread a sequence that occurs so many times; k-mers with N break it."""
         k = self.k
         for i in range(len(seq) - k):
             a, b = seq[i : i + k], seq[i + 1 : i + 1 + k]
             if "N" in a or "N" in b:
                 continue
-            self.weight[a, b] += 1
+            self.weight[a, b] += times
             self.after[a].add(b)
             self.before[b].add(a)
             if is_ref:
@@ -130,15 +130,19 @@ def repeated_kmers(seq: str, k: int) -> set[str]:
     return twice
 
 
-def assemble(ref: str, reads: list[str], sizes: tuple[int, ...] = KMER_SIZES, least: int = MIN_WEIGHT, most: int = MAX_HAPLOTYPES) -> list[tuple[float, str]]:
-    """Haplotypes (score, sequence) from the first k-mer size that gives an acyclic graph with unique reference k-mers; the reference is always one."""
+def assemble(ref: str, reads: list[str | tuple[str, int]], sizes: tuple[int, ...] = KMER_SIZES, least: int = MIN_WEIGHT, most: int = MAX_HAPLOTYPES) -> list[tuple[float, str]]:
+    """Haplotypes (score, sequence) from the first k-mer size that gives an acyclic graph with unique reference k-mers; the reference is always one.
+
+    A read is a sequence, or one with how often it occurs.
+    """
     for k in sizes:
         if len(ref) <= k or repeated_kmers(ref, k) or "N" in ref:
             continue
         graph = KmerGraph(k)
         graph.add(ref, is_ref=True)
         for read in reads:
-            graph.add(read)
+            seq, times = (read, 1) if isinstance(read, str) else read
+            graph.add(seq, times=times)
         if graph.has_cycle():
             continue
         graph.prune(least)

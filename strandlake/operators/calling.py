@@ -1,7 +1,8 @@
 """Local assembly and genotyping per active region, base alignment qualities per read, and exact allele frequencies per site.
 
-A region is at most 300 positions long and its reads are capped per start and sample (an option of the caller, as deep regions add nothing), so a
-group's size is bounded whatever the depth. Reads meet their reference by slices, regions their reads by a range join.
+A region is at most 300 positions long and all its reads count. Its assembly is one group of the distinct sequences with how often each occurs; the pair
+HMM runs over blocks of reads, whose genotype likelihoods are summed per event and sample, so a deep region is spread over tasks. Reads meet their
+reference by slices, regions their reads by a range join.
 """
 
 from __future__ import annotations
@@ -15,10 +16,14 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import cigar as C
 from strandlake.kernels import align, assembly, genotype
-from strandlake.operators import intervals, pileup, reference, regions
-
-#: Bases around a region, reads kept per start and sample, cap of a mapping quality's effect, confidence to emit.
-PADDING, READS_PER_START, MISMAPPING, CONFIDENCE = 100, 5, 45, 30.0
+from strandlake.kernels import reads as R
+from strandlake.operators import intervals, pileup, reference
+from strandlake.session import staged
+
+#: Bases around a region, reads of a block, cap of a mapping quality's effect, confidence to emit.
+PADDING, BLOCK, MISMAPPING, CONFIDENCE = 100, 256, 45, 30.0
+_FOUND = "contig string, start bigint, stop bigint, ref_start bigint, ref string, n_reads bigint, haplotypes array<struct<score:double,haplotype:string,cigar:string>>"
+_SCORED = "contig string, start bigint, position bigint, ref string, alt string, sample string, depth bigint, gl_ref double, gl_het double, gl_hom double"
 _HAPLOTYPES = "contig string, start bigint, stop bigint, haplotype string, score double, cigar string, n_reads int"
 _CALLS = "contig string, start bigint, position bigint, ref string, alt string, sample string, gt string, depth int, pl string, qual double"
 
@@ -26,7 +31,7 @@ _CALLS = "contig string, start bigint, position bigint, ref string, alt string,
 def region_groups(found: DataFrame, reads: DataFrame, read_groups: DataFrame, contigs: DataFrame, refs: DataFrame) -> DataFrame:
     """(contig, start, stop, ref_start, ref_seq, record_id, sample, seq, base_quals, map_q) of the reads that overlap each region."""
     rows = pileup.read_rows(reads, read_groups, contigs, "active_region").where("seq not in ('', '*') and base_quals not in ('', '*') and length(seq) = length(base_quals)")
-    rows = regions.capped_by_start(rows.select("record_id", "sample", "contig", F.col("contig_position").cast("bigint").alias("a"), (F.col("contig_position") + C.reference_length(F.col("cigar")) - 1).alias("b"), "seq", "base_quals", "map_q"), ["sample", "contig", "a"], READS_PER_START)
+    rows = rows.select("record_id", "sample", "contig", F.col("contig_position").cast("bigint").alias("a"), (F.col("contig_position") + C.reference_length(F.col("cigar")) - 1).alias("b"), "seq", "base_quals", "map_q")
     keyed = found.withColumn("region", F.concat_ws(":", "contig", "start"))
     with_ref = reference.with_reference(keyed.select("region", "contig", "start", "stop"), refs, "start", "stop", key="region", padding=PADDING)
     return intervals.range_join(with_ref, rows, ["contig"], "start", "stop", "a", "b", width=1 << 12)
@@ -43,63 +48,82 @@ def _clean(ref: str) -> tuple[int, str]:
     return best
 
 
-def _haplotypes(pdf: pd.DataFrame) -> tuple[int, str, list[tuple[float, str, list[tuple[str, int]]]]]:
-    first = pdf.iloc[0]
-    offset, ref = _clean(first.ref_seq)
-    found = assembly.assemble(ref, pdf.seq.str.upper().tolist(), most=16) if ref else []
-    return int(first.ref_start) + offset, ref, [(score, h, align.smith_waterman(ref, h, overhang="indel")[1]) for score, h in found]
-
-
-def assembled(groups: DataFrame) -> DataFrame:
-    """Haplotypes of each region with their alignment to the reference."""
+def _regions(groups: DataFrame) -> DataFrame:
+    """One row per region: its reference, number of reads, and haplotypes with their alignment to the reference."""
+    seqs = groups.groupBy("contig", "start", "stop", "ref_start", "ref_seq", F.upper("seq").alias("seq")).agg(F.count(F.lit(1)).alias("n"))
 
     def per_region(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, _, found = _haplotypes(pdf)
         first = pdf.iloc[0]
-        return pd.DataFrame([(first.contig, first.start, first.stop, h, max(score, -300.0), align.cigar_text(ops), len(pdf)) for score, h, ops in found], columns=["contig", "start", "stop", "haplotype", "score", "cigar", "n_reads"])
+        offset, ref = _clean(first.ref_seq)
+        pdf = pdf.sort_values("seq")
+        found = assembly.assemble(ref, list(zip(pdf.seq, pdf.n.astype(int), strict=True)), most=16) if ref else []
+        haplotypes = [{"score": max(score, -300.0), "haplotype": h, "cigar": align.cigar_text(align.smith_waterman(ref, h, overhang="indel")[1])} for score, h in found]
+        return pd.DataFrame([(first.contig, first.start, first.stop, int(first.ref_start) + offset, ref, int(pdf.n.sum()), haplotypes)], columns=["contig", "start", "stop", "ref_start", "ref", "n_reads", "haplotypes"])
 
-    return groups.groupBy("contig", "start").applyInPandas(per_region, _HAPLOTYPES)
+    return seqs.groupBy("contig", "start").applyInPandas(per_region, _FOUND)
 
 
-def called(groups: DataFrame, confidence: float = CONFIDENCE) -> DataFrame:
+def assembled(groups: DataFrame) -> DataFrame:
+    """Haplotypes of each region with their alignment to the reference."""
+    return _regions(groups).select("contig", "start", "stop", F.inline("haplotypes"), F.col("n_reads").cast("int").alias("n_reads")).select("contig", "start", "stop", "haplotype", "score", "cigar", "n_reads")
+
+
+def _scored(reads: pd.DataFrame, region: pd.DataFrame) -> pd.DataFrame:
+    """Genotype likelihoods of each event of a region in a block of its reads: one row per event and sample."""
+    columns = ["contig", "start", "position", "ref", "alt", "sample", "depth", "gl_ref", "gl_het", "gl_hom"]
+    if reads.empty or region.empty:
+        return pd.DataFrame(columns=columns)
+    first = region.iloc[0]
+    texts = [h["haplotype"] for h in first.haplotypes]
+    events = [set(assembly.haplotype_events(R.parse(h["cigar"]), first.ref, h["haplotype"], int(first.ref_start))) for h in first.haplotypes]
+    sites = sorted({e for ev in events for e in ev if first.start <= e[0] <= first.stop})
+    if not sites:
+        return pd.DataFrame(columns=columns)
+    caps = [60 if m is None or math.isnan(m) else max(6, int(m)) for m in reads.map_q]
+    quals = [[max(6, min(ord(x) - 33, cap)) for x in q] for q, cap in zip(reads.base_quals, caps, strict=True)]
+    scores = align.pair_hmm_matrix(reads.seq.str.upper().tolist(), quals, texts)
+    scores = np.maximum(scores, scores.max(axis=1, keepdims=True) - MISMAPPING / 10)
+    samples = reads["sample"].fillna("").to_numpy()
+    rows = []
+    for event in sites:
+        carries = np.array([event in ev for ev in events])
+        if carries.all():
+            continue
+        by_allele = np.stack([scores[:, ~carries].max(axis=1), scores[:, carries].max(axis=1)], axis=1)
+        rows += [(first.contig, first.start, *event, s, int((samples == s).sum()), *genotype.likelihoods(by_allele[samples == s])) for s in np.unique(samples)]
+    return pd.DataFrame(rows, columns=columns)
+
+
+def called(groups: DataFrame, confidence: float = CONFIDENCE, block: int = BLOCK) -> DataFrame:
     """Genotypes of the events that haplotypes show inside the region: one row per event and sample with reads.
 
     Reads are scored against all haplotypes by the pair HMM, an allele of an event by the best haplotype that carries it; genotypes come from
-    reads' alleles, QUAL from the exact posterior over all samples.
+    reads' alleles, QUAL from the exact posterior over all samples. A region's reads are scored in blocks of about ``block``.
     """
-
-    def per_region(pdf: pd.DataFrame) -> pd.DataFrame:
-        columns = ["contig", "start", "position", "ref", "alt", "sample", "gt", "depth", "pl", "qual"]
-        start, ref, found = _haplotypes(pdf)
-        if len(found) < 2:
-            return pd.DataFrame(columns=columns)
-        events = [set(assembly.haplotype_events(ops, ref, h, start)) for _, h, ops in found]
-        lo, hi = int(pdf.iloc[0].start), int(pdf.iloc[0].stop)
-        sites = sorted({e for ev in events for e in ev if lo <= e[0] <= hi})
-        if not sites:
-            return pd.DataFrame(columns=columns)
-        caps = [60 if m is None or math.isnan(m) else max(6, int(m)) for m in pdf.map_q]
-        quals = [[max(6, min(ord(x) - 33, cap)) for x in q] for q, cap in zip(pdf.base_quals, caps, strict=True)]
-        scores = align.pair_hmm_matrix(pdf.seq.str.upper().tolist(), quals, [h for _, h, _ in found])
-        best = scores.max(axis=1, keepdims=True)
-        scores = np.maximum(scores, best - MISMAPPING / 10)
-        samples = pdf["sample"].fillna("").to_numpy()
+    groups = staged(groups, "region-groups")
+    found = staged(_regions(groups).where(F.size("haplotypes") > 1), "haplotypes")
+    blocks = F.expr(f"(n_reads + {block - 1}) div {block}")
+    numbered = found.select("contig", "start", blocks.alias("_blocks"))
+    reads = groups.join(numbered, ["contig", "start"]).withColumn("_block", F.pmod(F.xxhash64("record_id"), F.col("_blocks")))
+    reads = reads.select("contig", "start", "_block", "sample", "seq", "base_quals", "map_q")
+    copies = found.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
+    key = ["contig", "start", "_block"]
+    parts = reads.groupBy(*key).cogroup(copies.groupBy(*key)).applyInPandas(_scored, _SCORED)
+    site = ["contig", "start", "position", "ref", "alt"]
+    per = parts.groupBy(*site, "sample").agg(F.sum("depth").cast("int").alias("depth"), *(F.sum(c).alias(c) for c in ("gl_ref", "gl_het", "gl_hom")))
+
+    def per_site(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("sample")
+        gls = list(pdf[["gl_ref", "gl_het", "gl_hom"]].to_numpy())
+        qual, count = genotype.site_quality(gls)
         rows = []
-        for event in sites:
-            carries = np.array([event in ev for ev in events])
-            if carries.all() or not carries.any():
-                continue
-            by_allele = np.stack([scores[:, ~carries].max(axis=1), scores[:, carries].max(axis=1)], axis=1)
-            gls = {s: genotype.likelihoods(by_allele[samples == s]) for s in np.unique(samples)}
-            qual, count = genotype.site_quality(list(gls.values()))
-            if count == 0 or qual < confidence:
-                continue
-            for s, gl in gls.items():
+        if count and qual >= confidence:
+            for x, gl in zip(pdf.itertuples(), gls, strict=True):
                 g = genotype.genotypes(2)[int(gl.argmax())]
-                rows.append((pdf.iloc[0].contig, lo, *event, s or None, f"{g[0]}/{g[1]}", int((samples == s).sum()), ",".join(map(str, genotype.phred(gl))), round(qual, 2)))
-        return pd.DataFrame(rows, columns=columns)
+                rows.append((x.contig, x.start, x.position, x.ref, x.alt, x.sample or None, f"{g[0]}/{g[1]}", x.depth, ",".join(map(str, genotype.phred(gl))), round(qual, 2)))
+        return pd.DataFrame(rows, columns=["contig", "start", "position", "ref", "alt", "sample", "gt", "depth", "pl", "qual"])
 
-    return groups.groupBy("contig", "start").applyInPandas(per_region, _CALLS)
+    return per.groupBy(*site).applyInPandas(per_site, _CALLS)
 
 
 def with_alignment_quality(reads: DataFrame, refs: DataFrame, band: int = 7) -> DataFrame:

@@ -26,7 +26,7 @@ def germline(spark: SparkSession, tables: dict[str, DataFrame], threshold: int =
     plan.add(Stage("smooth_activity", ("activity",), ("profile",), regions.smoothed))
     plan.add(Stage("cut_regions", ("profile",), ("regions",), lambda p: staged(regions.regions(p, threshold), "regions"), fusible=False))
     plan.add(Stage("gather_regions", ("regions", "unique_reads", "read_groups", "contigs", "reference"), ("region_groups",), calling.region_groups))
-    plan.add(Stage("call", ("region_groups",), ("calls",), calling.called))
+    plan.add(Stage("call", ("region_groups",), ("calls",), calling.called, fusible=False))
     return plan
 
 
