@@ -6,8 +6,9 @@ import heapq
 import math
 from collections import defaultdict
 
-#: K-mer sizes to try, smallest edge weight of a path that isn't the reference, and how many haplotypes are kept.
-KMER_SIZES, MIN_WEIGHT, MAX_HAPLOTYPES = (10, 25, 35, 45), 2, 128
+#: K-mer sizes whose haplotypes are pooled, larger ones to try in turn where those fail, smallest edge weight of a path that isn't the
+#: reference, and how many haplotypes a graph gives.
+KMER_SIZES, LARGER_SIZES, MIN_WEIGHT, MAX_HAPLOTYPES = (10, 25), (35, 45, 55, 65, 75, 85), 2, 128
 
 
 class KmerGraph:
@@ -130,26 +131,36 @@ def repeated_kmers(seq: str, k: int) -> set[str]:
     return twice
 
 
-def assemble(ref: str, reads: list[str | tuple[str, int]], sizes: tuple[int, ...] = KMER_SIZES, least: int = MIN_WEIGHT, most: int = MAX_HAPLOTYPES) -> list[tuple[float, str]]:
-    """Haplotypes (score, sequence) from the first k-mer size that gives an acyclic graph with unique reference k-mers; the reference is always one.
+def _paths(ref: str, reads: list[str | tuple[str, int]], k: int, least: int, most: int) -> list[tuple[float, str]]:
+    """Haplotypes of one k-mer size; none where the reference repeats a k-mer or the graph has a cycle."""
+    if len(ref) <= k or repeated_kmers(ref, k) or "N" in ref:
+        return []
+    graph = KmerGraph(k)
+    graph.add(ref, is_ref=True)
+    for read in reads:
+        seq, times = (read, 1) if isinstance(read, str) else read
+        graph.add(seq, times=times)
+    if graph.has_cycle():
+        return []
+    graph.prune(least)
+    return graph.best_paths(ref[:k], ref[-k:], most)
 
-    A read is a sequence, or one with how often it occurs.
+
+def assemble(ref: str, reads: list[str | tuple[str, int]], sizes: tuple[int, ...] = KMER_SIZES, least: int = MIN_WEIGHT, most: int = MAX_HAPLOTYPES, larger: tuple[int, ...] = LARGER_SIZES) -> list[tuple[float, str]]:
+    """Haplotypes (score, sequence) from the graphs of all ``sizes``, or where none works from the first of the ``larger`` sizes that does; the reference is always one.
+
+    A read is a sequence, or one with how often it occurs. A haplotype of several graphs has its best score.
     """
-    for k in sizes:
-        if len(ref) <= k or repeated_kmers(ref, k) or "N" in ref:
-            continue
-        graph = KmerGraph(k)
-        graph.add(ref, is_ref=True)
-        for read in reads:
-            seq, times = (read, 1) if isinstance(read, str) else read
-            graph.add(seq, times=times)
-        if graph.has_cycle():
-            continue
-        graph.prune(least)
-        found = graph.best_paths(ref[:k], ref[-k:], most)
-        if found:
-            return found if any(s == ref for _, s in found) else [*found, (-math.inf, ref)]
-    return [(0.0, ref)]
+    found: dict[str, float] = {}
+    for k in (*sizes, *larger):
+        if found and k not in sizes:
+            break
+        for score, text in _paths(ref, reads, k, least, most):
+            found[text] = max(score, found.get(text, -math.inf))
+    if not found:
+        return [(0.0, ref)]
+    found.setdefault(ref, -math.inf)
+    return sorted(((score, text) for text, score in found.items()), key=lambda x: (-x[0], x[1]))
 
 
 def haplotype_events(ops: list[tuple[str, int]], ref: str, haplotype: str, start: int) -> list[tuple[int, str, str]]:

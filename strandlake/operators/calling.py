@@ -8,6 +8,7 @@ reference by slices, regions their reads by a range join.
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pandas as pd
@@ -28,43 +29,49 @@ _HAPLOTYPES = "contig string, start bigint, stop bigint, haplotype string, score
 _CALLS = "contig string, start bigint, position bigint, ref string, alt string, sample string, gt string, depth int, pl string, qual double"
 
 
+def _stretches(ref: str) -> list[tuple[int, str]]:
+    """(offset, sequence) of all stretches without N."""
+    return [(m.start(), m.group()) for m in re.finditer("[^N]+", ref)]
+
+
 def region_groups(found: DataFrame, reads: DataFrame, read_groups: DataFrame, contigs: DataFrame, refs: DataFrame) -> DataFrame:
-    """(contig, start, stop, ref_start, ref_seq, record_id, sample, seq, base_quals, map_q) of the reads that overlap each region."""
+    """(contig, start, stop, ref_start, ref_seq, record_id, sample, a, b, seq, base_quals, map_q) of the reads that overlap each region.
+
+    The reference of a region and its padding is one or several stretches without N that meet the region; a read is in each that it overlaps.
+    """
+
+    @F.pandas_udf("array<struct<at:int,text:string>>")
+    def stretches(refs: pd.Series) -> pd.Series:
+        return pd.Series([[{"at": at, "text": text} for at, text in _stretches(r)] for r in refs])
+
     rows = pileup.read_rows(reads, read_groups, contigs, "active_region").where("seq not in ('', '*') and base_quals not in ('', '*') and length(seq) = length(base_quals)")
     rows = rows.select("record_id", "sample", "contig", F.col("contig_position").cast("bigint").alias("a"), (F.col("contig_position") + C.reference_length(F.col("cigar")) - 1).alias("b"), "seq", "base_quals", "map_q")
     keyed = found.withColumn("region", F.concat_ws(":", "contig", "start"))
     with_ref = reference.with_reference(keyed.select("region", "contig", "start", "stop"), refs, "start", "stop", key="region", padding=PADDING)
-    return intervals.range_join(with_ref, rows, ["contig"], "start", "stop", "a", "b", width=1 << 12)
-
-
-def _clean(ref: str) -> tuple[int, str]:
-    """The longest stretch without N, and where it begins."""
-    best, at, start = (0, ""), 0, 0
-    for part in ref.split("N"):
-        if len(part) > len(best[1]):
-            best = (start, part)
-        at += len(part) + 1
-        start = at
-    return best
+    pieces = with_ref.withColumn("_s", F.explode(stretches("ref_seq"))).select("contig", "start", "stop", (F.col("ref_start") + F.col("_s.at")).alias("ref_start"), F.col("_s.text").alias("ref_seq"))
+    last = F.col("ref_start") + F.length("ref_seq") - 1
+    pieces = pieces.where((F.col("ref_start") <= F.col("stop")) & (last >= F.col("start")))
+    joined = intervals.range_join(pieces, rows, ["contig"], "start", "stop", "a", "b", width=1 << 12)
+    return joined.where((F.col("a") <= last) & (F.col("b") >= F.col("ref_start")))
 
 
 def _regions(groups: DataFrame) -> DataFrame:
-    """One row per region: its reference, number of reads, and haplotypes with their alignment to the reference."""
+    """One row per stretch of a region: its reference, number of reads, and haplotypes with their alignment to the reference."""
     seqs = groups.groupBy("contig", "start", "stop", "ref_start", "ref_seq", F.upper("seq").alias("seq")).agg(F.count(F.lit(1)).alias("n"))
 
     def per_region(pdf: pd.DataFrame) -> pd.DataFrame:
         first = pdf.iloc[0]
-        offset, ref = _clean(first.ref_seq)
+        ref = first.ref_seq
         pdf = pdf.sort_values("seq")
-        found = assembly.assemble(ref, list(zip(pdf.seq, pdf.n.astype(int), strict=True)), most=16) if ref else []
+        found = assembly.assemble(ref, list(zip(pdf.seq, pdf.n.astype(int), strict=True)))
         haplotypes = [{"score": max(score, -300.0), "haplotype": h, "cigar": align.cigar_text(align.smith_waterman(ref, h, overhang="indel")[1])} for score, h in found]
-        return pd.DataFrame([(first.contig, first.start, first.stop, int(first.ref_start) + offset, ref, int(pdf.n.sum()), haplotypes)], columns=["contig", "start", "stop", "ref_start", "ref", "n_reads", "haplotypes"])
+        return pd.DataFrame([(first.contig, first.start, first.stop, first.ref_start, ref, int(pdf.n.sum()), haplotypes)], columns=["contig", "start", "stop", "ref_start", "ref", "n_reads", "haplotypes"])
 
-    return seqs.groupBy("contig", "start").applyInPandas(per_region, _FOUND)
+    return seqs.groupBy("contig", "start", "ref_start").applyInPandas(per_region, _FOUND)
 
 
 def assembled(groups: DataFrame) -> DataFrame:
-    """Haplotypes of each region with their alignment to the reference."""
+    """Haplotypes of each region, per stretch of its reference, with their alignment to that."""
     return _regions(groups).select("contig", "start", "stop", F.inline("haplotypes"), F.col("n_reads").cast("int").alias("n_reads")).select("contig", "start", "stop", "haplotype", "score", "cigar", "n_reads")
 
 
@@ -103,11 +110,11 @@ def called(groups: DataFrame, confidence: float = CONFIDENCE, block: int = BLOCK
     groups = staged(groups, "region-groups")
     found = staged(_regions(groups).where(F.size("haplotypes") > 1), "haplotypes")
     blocks = F.expr(f"(n_reads + {block - 1}) div {block}")
-    numbered = found.select("contig", "start", blocks.alias("_blocks"))
-    reads = groups.join(numbered, ["contig", "start"]).withColumn("_block", F.pmod(F.xxhash64("record_id"), F.col("_blocks")))
-    reads = reads.select("contig", "start", "_block", "sample", "seq", "base_quals", "map_q")
+    numbered = found.select("contig", "start", "ref_start", blocks.alias("_blocks"))
+    reads = groups.join(numbered, ["contig", "start", "ref_start"]).withColumn("_block", F.pmod(F.xxhash64("record_id"), F.col("_blocks")))
+    reads = reads.select("contig", "start", "ref_start", "_block", "sample", "seq", "base_quals", "map_q")
     copies = found.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
-    key = ["contig", "start", "_block"]
+    key = ["contig", "start", "ref_start", "_block"]
     parts = reads.groupBy(*key).cogroup(copies.groupBy(*key)).applyInPandas(_scored, _SCORED)
     site = ["contig", "start", "position", "ref", "alt"]
     per = parts.groupBy(*site, "sample").agg(F.sum("depth").cast("int").alias("depth"), *(F.sum(c).alias(c) for c in ("gl_ref", "gl_het", "gl_hom")))

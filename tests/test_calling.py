@@ -4,6 +4,7 @@ import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 
+from strandlake.kernels import assembly
 from strandlake.operators import calling, reference
 from strandlake.tables import table
 
@@ -44,3 +45,27 @@ def test_all_reads_of_a_start_count(spark, group):
     (one,) = calling.called(found, block=7).collect()
     assert (one.position, one.ref, one.alt, one.gt, one.depth) == (300, REF[299], alt[299], "0/1", 30)
     assert calling.called(found, block=100).collect() == [one]
+
+
+def test_alleles_of_lower_paths_are_assembled(spark, group):
+    *even, rare = range(250, 430, 30)
+    rows = []
+    for i in range(64):
+        own = [p for j, p in enumerate(even) if i >> j & 1] + [rare] * (i % 4 == 0)
+        rows.append(read_row(i, 200, changed(REF, *own)[199:499], group))
+    found = {r.haplotype for r in calling.assembled(groups(spark, rows, start=240, stop=420)).collect()}
+    assert changed(REF, rare)[139:520] in found
+
+
+def test_all_stretches_of_a_reference_are_called(spark, group):
+    ref = REF[:294] + "N" * 10 + REF[304:]
+    alt = changed(REF, 270, 330)
+    rows = [read_row(i, at + 1, (alt if i % 2 else REF)[at : at + 60], group) for i, at in enumerate([230] * 20 + [304] * 20)]
+    found = groups(spark, rows, ref)
+    assert {(r.position, r.alt, r.depth) for r in calling.called(found).collect()} == {(270, alt[269], 20), (330, alt[329], 20)}
+
+
+def test_larger_kmers():
+    ref = REF[:100] + REF[20:68] + REF[148:260]  # repeats 48 bases
+    alt = ref[:180] + ("A" if ref[180] != "A" else "C") + ref[181:]
+    assert {s for _, s in assembly.assemble(ref, [alt[90:], alt[90:]])} == {ref, alt}
