@@ -45,7 +45,7 @@ def read_rows(reads: DataFrame, read_groups: DataFrame, contigs: DataFrame, pres
 
 
 def aligned_bases(reads: DataFrame, carried: list[str]) -> DataFrame:
-    """One row per read and covered position: the ``carried`` columns and position, base, qual, read_offset, is_deletion, next_op, next_len (of an indel right after it), prev_op and inserted.
+    """One row per read and covered position: the ``carried`` columns and position, base, qual, read_offset, is_deletion, next_op, next_len (of an indel right after it), prev_op, inserted and before_clip.
 
     ``reads`` has contig_position, cigar, seq and base_quals.
     """
@@ -67,6 +67,7 @@ def aligned_bases(reads: DataFrame, carried: list[str]) -> DataFrame:
         F.when(indel, F.col("next_len")).alias("next_len"),
         F.when(F.col("i") == 0, F.col("prev_op")).alias("prev_op"),
         F.when(indel & (F.col("next_op") == "I"), F.substring("_seq", offset + 2, F.col("next_len"))).alias("inserted"),
+        F.coalesce(last & (F.col("next_op") == "S"), F.lit(False)).alias("before_clip"),
     )
 
 

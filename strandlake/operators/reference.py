@@ -31,6 +31,12 @@ def slices(bases: DataFrame, size: int = SLICE) -> DataFrame:
     return packed.select("contig", "slice", filled(F.col("p.o"), F.col("p.b")).alias("seq"))
 
 
+def bases(refs: DataFrame, size: int = SLICE) -> DataFrame:
+    """(contig, position, ref) of slices, without N."""
+    letters = refs.select("contig", "slice", F.posexplode(F.split("seq", "")).alias("o", "ref"))
+    return letters.where("ref not in ('', 'N')").select("contig", (F.col("slice") * size + F.col("o") + 1).alias("position"), F.upper("ref").alias("ref"))
+
+
 def with_reference(rows: DataFrame, refs: DataFrame, start: str, end: str, key: str = "record_id", padding: int = 0, size: int = SLICE, out: str = "ref_seq") -> DataFrame:
     """Add the reference from ``start`` to ``end`` with ``padding`` on both sides; N where there is none. ``key`` is unique."""
     lo, hi = F.greatest(F.lit(1), F.col(start) - padding).cast("bigint"), (F.col(end) + padding).cast("bigint")

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strandlake.kernels import genotype
 from strandlake.operators import intervals, ordered
 from strandlake.operators.pileup import LOCUS
 from strandlake.tables import contig_key
@@ -15,6 +18,9 @@ from strandlake.tables import contig_key
 #: Events nearer than this merge, targets are shorter than that; activity threshold, its kernel, and sizes of regions.
 EVENT_WINDOW, MAX_TARGET = 10, 500
 SIGMA, HALF_WIDTH, MAX_REGION, SCALE = 17.0, 50, 300, 1_000_000
+#: Fixed values of the activity by likelihoods: bases of at most this quality don't count, quality of a deletion, confidence of an active locus, and
+#: the activity of a certain one (a threshold of 10,000 of the profile is a probability of 0.002).
+LOW_QUALITY, DELETION_QUALITY, ACTIVE, CERTAIN = 10, 30, 4.0, 5
 
 
 def indel_events(els: DataFrame, variants: DataFrame) -> DataFrame:
@@ -34,6 +40,30 @@ def targets(events: DataFrame, window: int = EVENT_WINDOW, longest: int = MAX_TA
     return found.where(F.col("stop") - F.col("start") < longest)
 
 
+def activity(els: DataFrame, refs: DataFrame) -> DataFrame:
+    """(contig, position, activity): the chance that any sample differs from the reference there, times ``CERTAIN``, to three places; loci above 0.
+
+    els: pileup elements; refs: (contig, position, ref). Other bases, deletions and neighbours of indels and soft clips count as alternate. A
+    sample's likelihoods of 0, 1 and 2 alternates are sums over its reads; samples meet in the exact posterior.
+    """
+    qual = F.when(F.col("is_deletion"), DELETION_QUALITY).otherwise(F.col("qual"))
+    rows = els.withColumn("_q", qual).where(F.col("is_deletion") | (F.col("_q") > LOW_QUALITY))
+    near = F.col("is_deletion") | F.coalesce(F.col("next_op").isin("I", "D"), F.lit(False)) | F.coalesce(F.col("prev_op").isin("I", "D", "S"), F.lit(False)) | F.col("before_clip")
+    e = F.pow(F.lit(10.0), F.col("_q") / -10.0)
+    terms = {"_hit": F.log10(1 - e), "_miss": F.log10(e / 3), "_half": F.log10((1 - e) / 2 + e / 6)}
+    per = rows.groupBy(*LOCUS, F.coalesce("sample", F.lit("")).alias("sample"), F.when(near, "*").otherwise(F.col("base")).alias("_base")).agg(*(F.sum(x).alias(c) for c, x in terms.items()))
+    alt = F.col("_base") != F.col("ref")
+    gls = per.join(refs, LOCUS).groupBy(*LOCUS, "sample").agg(F.sum(F.when(alt, F.col("_miss")).otherwise(F.col("_hit"))).alias("r"), F.sum("_half").alias("h"), F.sum(F.when(alt, F.col("_hit")).otherwise(F.col("_miss"))).alias("a"), F.max(alt).alias("_alt"))
+    sites = gls.groupBy(*LOCUS).agg(F.sort_array(F.collect_list(F.struct("sample", "r", "h", "a"))).alias("_gls"), F.max("_alt").alias("_alt")).where("_alt")
+
+    @F.pandas_udf("double")
+    def chance(sites: pd.Series) -> pd.Series:
+        found = [genotype.site_quality([np.array([x["r"], x["h"], x["a"]]) for x in site]) for site in sites]
+        return pd.Series([1 - 10 ** (-qual / 10) if count and qual >= ACTIVE else 0.0 for qual, count in found])
+
+    return sites.select(*LOCUS, F.round(chance("_gls") * CERTAIN, 3).cast("decimal(10,3)").alias("activity")).where("activity > 0")
+
+
 def kernel(sigma: float = SIGMA, half: int = HALF_WIDTH, scale: int = SCALE) -> list[tuple[int, int]]:
     """(offset, weight) of a Gaussian that sums to about ``scale``; whole numbers, so that sums are exact."""
     raw = {o: math.exp(-(o * o) / (2 * sigma * sigma)) for o in range(-half, half + 1)}
@@ -42,7 +72,7 @@ def kernel(sigma: float = SIGMA, half: int = HALF_WIDTH, scale: int = SCALE) ->
 
 
 def smoothed(activity: DataFrame) -> DataFrame:
-    """(contig, position, activity): each locus' whole-number activity spread over its neighbours by the kernel, positions from 1."""
+    """(contig, position, activity): each locus' activity (whole or decimal) spread over its neighbours by the kernel, positions from 1."""
     weights = F.array(*(F.struct(F.lit(o).alias("o"), F.lit(w).cast("bigint").alias("w")) for o, w in kernel()))
     spread = activity.select("contig", "position", "activity", F.inline(weights))
     moved = spread.select("contig", (F.col("position") + F.col("o")).alias("position"), (F.col("activity") * F.col("w")).alias("activity")).where("position >= 1")
@@ -77,4 +107,4 @@ def region_reads(found: DataFrame, spans: DataFrame) -> DataFrame:
     return pairs.groupBy("contig", "start", "stop").agg(F.count(F.lit(1)).alias("n_reads"))
 
 
-__all__ = ["LOCUS", "capped_by_start", "indel_events", "kernel", "region_reads", "regions", "smoothed", "targets"]
+__all__ = ["LOCUS", "activity", "capped_by_start", "indel_events", "kernel", "region_reads", "regions", "smoothed", "targets"]

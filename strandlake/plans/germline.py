@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from strandlake.operators import calling, dedup, pileup, recal, reference, regions
 from strandlake.plans.stages import Plan, Stage
@@ -22,15 +21,9 @@ def germline(spark: SparkSession, tables: dict[str, DataFrame], threshold: int =
     plan.add(Stage("find_known_sites", ("variants",), ("known_sites",), recal.known_sites))
     plan.add(Stage("count_covariates", ("unique_reads", "read_groups", "contigs", "reference", "known_sites"), ("covariate_bases",), recal.covariate_bases))
     plan.add(Stage("estimate_qualities", ("covariate_bases",), ("recal_counts", "recal_tables"), recal.recalibration, fusible=False))
-    plan.add(Stage("score_activity", ("elements",), ("activity",), _activity))
+    plan.add(Stage("score_activity", ("elements", "reference"), ("activity",), lambda e, r: regions.activity(e, reference.bases(r))))
     plan.add(Stage("smooth_activity", ("activity",), ("profile",), regions.smoothed))
     plan.add(Stage("cut_regions", ("profile",), ("regions",), lambda p: staged(regions.regions(p, threshold), "regions"), fusible=False))
     plan.add(Stage("gather_regions", ("regions", "unique_reads", "read_groups", "contigs", "reference"), ("region_groups",), calling.region_groups))
     plan.add(Stage("call", ("region_groups",), ("calls",), calling.called, fusible=False))
     return plan
-
-
-def _activity(elements: DataFrame) -> DataFrame:
-    found = pileup.strand_tables(elements)
-    alt = F.col("alt_forward") + F.col("alt_reverse")
-    return found.where(alt >= 2).select("contig", "position", alt.alias("activity"))

@@ -10,14 +10,14 @@ from strandlake.functions import cigar as C
 from strandlake.kernels import align
 from strandlake.operators import annotations, calling, pileup, reference, variants
 from strandlake.queries.pileups import _elements
-from strandlake.queries.somatics import activity_segments
+from strandlake.queries.somatics import active_regions
 from strandlake.session import staged
 from strandlake.tables import table
 
 
 def _groups(spark: SparkSession, sf: str) -> DataFrame:
     refs = staged(reference.slices(pileup.consensus(_elements(spark, sf))), "reference-slices")
-    return calling.region_groups(staged(activity_segments(spark, sf), "regions"), *(table(spark, sf, n) for n in ("reads", "read_groups", "contigs")), refs)
+    return calling.region_groups(staged(active_regions(spark, sf), "regions"), *(table(spark, sf, n) for n in ("reads", "read_groups", "contigs")), refs)
 
 
 def assembly_haplotypes(spark: SparkSession, sf: str) -> DataFrame:

@@ -32,9 +32,15 @@ def activity_segments(spark: SparkSession, sf: str) -> DataFrame:
     return regions.regions(activity_kernel(spark, sf), threshold=10_000)
 
 
+def active_regions(spark: SparkSession, sf: str) -> DataFrame:
+    """Regions by likelihoods, for what has no SQL; ``activity_segments`` counts mismatches as its SQL does."""
+    els = _elements(spark, sf)
+    return regions.regions(regions.smoothed(regions.activity(els, pileup.consensus(els))), threshold=10_000)
+
+
 def active_region_reads(spark: SparkSession, sf: str) -> DataFrame:
     spans = periods.read_spans(*(table(spark, sf, n) for n in ("reads", "read_groups", "contigs"))).select(F.col("contig_name").alias("contig"), "from_position", "to_position")
-    return regions.region_reads(activity_segments(spark, sf), spans)
+    return regions.region_reads(active_regions(spark, sf), spans)
 
 
 def downsample_by_start(spark: SparkSession, sf: str) -> DataFrame:

@@ -5,7 +5,7 @@ from conftest import SMALL
 from pyspark.sql import functions as F
 
 from strandlake.kernels import assembly
-from strandlake.operators import calling, reference
+from strandlake.operators import calling, pileup, reference, regions
 from strandlake.tables import table
 
 rnd = random.Random(5)
@@ -69,3 +69,19 @@ def test_larger_kmers():
     ref = REF[:100] + REF[20:68] + REF[148:260]  # repeats 48 bases
     alt = ref[:180] + ("A" if ref[180] != "A" else "C") + ref[181:]
     assert {s for _, s in assembly.assemble(ref, [alt[90:], alt[90:]])} == {ref, alt}
+
+
+@pytest.mark.parametrize("cigar, cut", [("30M4D30M", slice(30, 34)), ("60M", None), ("30M30S", slice(30, 34))])
+def test_indels_and_clips_make_a_locus_active(spark, group, cigar, cut):
+    """Reads show no other base than the reference's where they are aligned."""
+    seq = REF[200:230] + REF[234:264] if cut else REF[200:260]
+    rows = [read_row(i, 201, seq, group, cigar=cigar) for i in range(6)]
+    reads = spark.createDataFrame([tuple(r.values()) for r in rows], table(spark, SMALL, "reads").schema)
+    els = pileup.elements(reads, table(spark, SMALL, "read_groups"), table(spark, SMALL, "contigs"))
+    refs = reference.slices(spark.createDataFrame([("1", i + 1, b) for i, b in enumerate(REF)], "contig string, position bigint, ref string"))
+    found = regions.activity(els, reference.bases(refs))
+    active = {r.position: float(r.activity) for r in found.collect()}
+    want = {"30M4D30M": set(range(230, 236)), "60M": set(), "30M30S": {230}}[cigar]
+    assert set(active) == want and all(4.99 < x <= 5 for x in active.values())
+    parts = regions.regions(regions.smoothed(found), 10_000).collect()
+    assert len(parts) == bool(want) and all(p.start <= 230 <= p.stop for p in parts)
