@@ -47,7 +47,7 @@ flagged AS (SELECT field_name, term, occurrences, records, 'rare' AS mark FROM m
     UNION ALL SELECT field_name, term, occurrences, records, 'common' FROM marked WHERE records > n / 2.0)"""
 
 _GROUPS = f"""
-ends AS (SELECT record_id, map_q, seq, base_quals, inferred_size, attributes, loaded_at, sample_name AS s, {contig_key("r.contig_name")} AS c, flag & 16 AS rev, CASE WHEN flag & 16 <> 0
+ends AS (SELECT record_id, {cigar_sum("MIS=X")} AS rl, map_q, seq, base_quals, inferred_size, attributes, loaded_at, sample_name AS s, {contig_key("r.contig_name")} AS c, flag & 16 AS rev, CASE WHEN flag & 16 <> 0
         THEN contig_position + {cigar_sum("MDN=X")} - 1 + {cigar_sum("SH", r"regexp_extract(cigar, '[^0-9SH]((\d+[SH])+)$', 1)")}
         ELSE contig_position - {cigar_sum("SH", r"regexp_extract(cigar, '^((\d+[SH])+)', 1)")} END AS five,
     CASE WHEN mate_contig_name = '=' THEN {contig_key("r.contig_name")} ELSE {contig_key("mate_contig_name")} END AS m, mate_position
@@ -58,10 +58,26 @@ keyed AS (SELECT *, CASE WHEN m IS NOT NULL THEN mate_position END AS mp,
 ranked AS (SELECT *, row_number() OVER g AS place, min(record_id) OVER k AS group_id, count(*) OVER k AS n FROM keyed
     WINDOW k AS (PARTITION BY s, c, rev, five, m, mp), g AS (PARTITION BY s, c, rev, five, m, mp ORDER BY present DESC, q DESC NULLS LAST, loaded_at DESC NULLS LAST, record_id))"""
 
+#: The leader's fields; of each it lacks, the first in rank that has it. Bases and qualities must have the leader's length and come from one record.
+_SURVIVORS = f"""
+r AS (SELECT *, CASE WHEN seq NOT IN ('', '*') THEN length(seq) END AS ls, CASE WHEN base_quals NOT IN ('', '*') THEN length(base_quals) END AS lq, rl FROM ranked WHERE n > 1),
+lead AS (SELECT s, c, rev, five, m, mp, record_id AS keep_id, ls AS ks, lq AS kq, rl AS kl FROM r WHERE place = 1),
+cand AS (SELECT r.*, keep_id, ks, kq, kl, ks IS NULL AND ls = kl AND (kq IS NULL OR kq = kl) AS fs, kq IS NULL AND lq = coalesce(ks, kl) AS fq FROM r JOIN lead l ON r.s IS NOT DISTINCT FROM l.s AND r.c IS NOT DISTINCT FROM l.c AND r.rev = l.rev AND r.five = l.five
+    AND r.m IS NOT DISTINCT FROM l.m AND r.mp IS NOT DISTINCT FROM l.mp),
+survived0 AS (SELECT group_id, keep_id, n AS n_records, arg_min(q, place) FILTER (WHERE q IS NOT NULL) AS map_q, arg_min(inferred_size, place) FILTER (WHERE inferred_size IS NOT NULL) AS inferred_size,
+    arg_min(array_to_string(attributes, ';'), place) FILTER (WHERE len(attributes) > 0) AS attributes, any_value(ks) AS ks, any_value(kq) AS kq,
+    arg_min(seq, place) FILTER (WHERE place = 1) AS own_seq, arg_min(base_quals, place) FILTER (WHERE place = 1) AS own_quals,
+    arg_min(seq, place) FILTER (WHERE fs AND fq) AS both_seq, arg_min(base_quals, place) FILTER (WHERE fs AND fq) AS both_quals,
+    arg_min(seq, place) FILTER (WHERE fs) AS one_seq, min(place) FILTER (WHERE fs) AS seq_place, arg_min(base_quals, place) FILTER (WHERE fq) AS one_quals, min(place) FILTER (WHERE fq) AS quals_place
+    FROM cand GROUP BY group_id, keep_id, n),
+survived AS (SELECT group_id, keep_id, n_records, map_q, CASE WHEN ks IS NOT NULL THEN own_seq WHEN kq IS NOT NULL THEN one_seq WHEN both_seq IS NOT NULL THEN both_seq WHEN quals_place IS NULL OR seq_place < quals_place THEN one_seq END AS seq,
+    CASE WHEN kq IS NOT NULL THEN own_quals WHEN ks IS NOT NULL THEN one_quals WHEN both_quals IS NOT NULL THEN both_quals WHEN seq_place IS NULL OR quals_place < seq_place THEN one_quals END AS base_quals, inferred_size, attributes FROM survived0)"""
+
 QUERIES = {f.__name__: f for f in (p4_found, p4_term_counts, p5_found, p5_survivors)}
 
 ORACLES = {
     "p4_found": f"WITH {_TERMS} SELECT field_name, term, mark FROM flagged",
     "p4_term_counts": f"WITH {_TERMS} SELECT field_name, term, occurrences, records, mark FROM flagged UNION ALL SELECT field_name, term, occurrences, records, NULL FROM marked WHERE records > 3 AND NOT records > n / 2.0",
+    "p5_survivors": f"WITH {_GROUPS}, {_SURVIVORS} SELECT * FROM survived",
     "p5_found": f"WITH {_GROUPS} SELECT group_id, record_id AS keep_id FROM ranked WHERE n > 1 AND place = 1",
 }

@@ -1,18 +1,20 @@
 """One surviving record for each group of duplicate reads, built field by field.
 
 Records of a group are ranked by trust: the most complete, then the higher mapping quality, the later load, the smaller id. The
-first is the leader; a field it lacks comes from the next best record. Fields that depend on each other form a bundle: bases and
-base qualities have one length, which the leader's CIGAR fixes, and come from one record unless the leader has one of them. A
-branch-and-bound search chooses a source for each bundle, so that the most fields are filled, from the most trusted records, with
-no dependency broken.
+first is the leader, and no choice can displace it; a field it lacks comes from the next best record. Fields that depend on each other
+form a bundle: bases and base qualities have one length, which the leader's CIGAR fixes, and come from one record unless the leader has one
+of them. A branch-and-bound search chooses a source for each bundle: the most fields filled, and of equals the most trusted records, compared
+as whole numbers one after the other, with no dependency broken.
 
-No group is gathered. Records of a group with the same profile (which fields are present, and their lengths) can stand in for each
-other in every dependency, so the best of each profile is enough; it comes from an aggregate that is partial before the shuffle.
-The search sees a group's profiles: as many as combinations of lengths occur in it, however many records it has.
+No group is gathered. A first aggregate (partial before the shuffle) gives each group its leader and the best record of each field that
+stands alone. Only where the leader lacks bases or qualities are further records asked: those with the length that the leader demands, the best
+of each of three classes (bases fit, qualities fit, both), found by a second aggregate and a join. The search sees at most seven
+records, however many a group has and however their lengths vary.
 
 Defined results: fields are missing if null, empty, ``*`` or a mapping quality of 255; missing qualities and load times rank last;
 equal ranks go to the smaller id; repeated rows (also of one id) are records of the group; groups of one have no row; a null sample or
-contig, if records have one, is a value like any other; an empty table yields no rows; other columns are ignored.
+contig, if records have one, is a value like any other; an empty table yields no rows; other columns are ignored. Of rows that share an id the
+survivor takes the values of the best ranked.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.functions import cigar as C
+from strandlake.session import staged
 from strandlake.tables import FLAG_REVERSE, contig_key, with_contig, with_sample
 
 #: Fixed value: unmapped, secondary, duplicate and supplementary records take no part.
@@ -35,6 +38,13 @@ def _text(column: str) -> Column:
     return F.col(column).isNotNull() & ~F.col(column).isin("", "*")
 
 
+def _presence() -> tuple[Column, Column, dict[str, Column]]:
+    """(how many fields a record has, if its mapping quality is one, which fields it has)."""
+    has_quality = F.col("map_q").isNotNull() & (F.col("map_q") != 255)
+    has = {"map_q": has_quality, "seq": _text("seq"), "base_quals": _text("base_quals"), "inferred_size": F.col("inferred_size").isNotNull(), "attributes": F.coalesce(F.size("attributes"), F.lit(0)) > 0}
+    return sum((x.cast("int") for x in has.values()), F.lit(0)), has_quality, has
+
+
 def fragment_ends(reads: DataFrame, read_groups: DataFrame, contigs: DataFrame) -> DataFrame:
     """The participating reads with the keys of their fragment end, their profile and their rank."""
     part = reads.where((F.col("flag").bitwiseAND(EXCLUDED_FLAGS) == 0) & (F.col("contig_position") >= 1) & C.has_cigar(F.col("cigar")) & F.col("read_group").isNotNull())
@@ -44,9 +54,7 @@ def fragment_ends(reads: DataFrame, read_groups: DataFrame, contigs: DataFrame)
     five = F.when(reverse, start + C.reference_length(cigar) - 1 + C.trailing_clip(cigar)).otherwise(start - C.leading_clip(cigar))
     own = F.coalesce(F.col("_contig"), contig_key(F.col("contig_name")))
     mate = F.when(F.trim("mate_contig_name") == "=", contig_key(own)).otherwise(contig_key(F.col("mate_contig_name")))
-    has_quality = F.col("map_q").isNotNull() & (F.col("map_q") != 255)
-    has = {"map_q": has_quality, "seq": _text("seq"), "base_quals": _text("base_quals"), "inferred_size": F.col("inferred_size").isNotNull(), "attributes": F.coalesce(F.size("attributes"), F.lit(0)) > 0}
-    complete = sum((x.cast("int") for x in has.values()), F.lit(0))
+    complete, has_quality, has = _presence()
     return named.select(
         F.col("_sample").alias("sample"),
         own.alias("contig"),
@@ -66,86 +74,108 @@ def fragment_ends(reads: DataFrame, read_groups: DataFrame, contigs: DataFrame)
     )
 
 
-def branch_and_bound(bundles: list[list[tuple[float, dict]]], allowed) -> tuple[float, list[dict]]:
-    """One option of each bundle with the largest sum of gains among the choices that ``allowed`` accepts.
+def _order(rank: dict) -> tuple:
+    low = float("-inf")
+    return tuple(low if rank[k] is None else rank[k] for k in ("complete", "map_q", "loaded", "minus_id"))
+
+
+def branch_and_bound(bundles: list[list[tuple[tuple[int, int], dict]]], allowed) -> list[dict]:
+    """One option of each bundle, with the largest gain among the choices that ``allowed`` accepts.
 
-    bundles: for each, its options (gain, values), the best first. ``allowed(chosen, values)`` says if an option agrees with those chosen
-    so far. A branch is cut where even the best options of all bundles to come can't beat what was found.
+    bundles: for each, its options (gain, values), the best first. A gain is (fields filled, minus the places of their records): the gains
+    of bundles add up and sums are compared in that order, in whole numbers. ``allowed(chosen, values)`` says if an option agrees with those
+    chosen so far. A branch is cut where even the best options of all bundles to come can't beat what was found.
     """
-    rest = [0.0] * (len(bundles) + 1)
+    add = lambda x, y: (x[0] + y[0], x[1] + y[1])
+    rest = [(0, 0)] * (len(bundles) + 1)
     for i in range(len(bundles) - 1, -1, -1):
-        rest[i] = rest[i + 1] + bundles[i][0][0]
-    best: list = [float("-inf"), []]
+        rest[i] = add(rest[i + 1], bundles[i][0][0])
+    best: list = [None, []]
 
-    def descend(i: int, gain: float, chosen: list[dict]) -> None:
-        if gain + rest[i] <= best[0]:
-            return
+    def descend(i: int, gain: tuple[int, int], chosen: list[dict]) -> None:
         if i == len(bundles):
-            best[:] = [gain, chosen]
+            if best[0] is None or gain > best[0]:
+                best[:] = [gain, chosen]
             return
         for more, values in bundles[i]:
-            if gain + more + rest[i + 1] <= best[0]:
+            if best[0] is not None and add(add(gain, more), rest[i + 1]) <= best[0]:
                 break
             if allowed(chosen, values):
-                descend(i + 1, gain + more, [*chosen, values])
+                descend(i + 1, add(gain, more), [*chosen, values])
 
-    descend(0, 0.0, [])
-    return best[0], best[1]
+    descend(0, (0, 0), [])
+    return best[1]
 
 
 def choose_sources(profiles: list[dict]) -> dict:
-    """Which record each field of a group's survivor comes from. profiles: the best record of each, with ``rank``."""
-    low = float("-inf")
-    ranked = sorted(profiles, key=lambda p: tuple(low if p["rank"][k] is None else p["rank"][k] for k in ("complete", "map_q", "loaded", "minus_id")), reverse=True)
+    """Which record each field of a group's survivor comes from. profiles: records with ``rank`` and ``profile``; the best ranked is the leader."""
+    ranked = sorted(profiles, key=lambda p: _order(p["rank"]), reverse=True)
     ids = [-p["rank"]["minus_id"] for p in ranked]
-    step = 1.0 / (len(ranked) + 1)  # a filled field outweighs any order of the records
     looks = [p["profile"] for p in ranked]
     leader = looks[0]
+    length = leader["read_length"]
 
-    def single(field: str) -> list[tuple[float, dict]]:
-        options = [(1.0 - i * step, {field: i}) for i, p in enumerate(looks) if p[field]]
-        return [*options[:1], (0.0, {field: None})]
+    def single(field: str) -> list[tuple[tuple[int, int], dict]]:
+        options = [((1, -i), {field: i}) for i, p in enumerate(looks) if p[field]]
+        return [*options[:1], ((0, 0), {field: None})]
 
-    # The leader is a bundle of its own: what the others depend on.
-    anchors = [(len(FIELDS) * 10.0 * (1.0 - i * step), {"leader": i, "read_length": p["read_length"]}) for i, p in enumerate(looks)]
     bases = {}
     for i, p in enumerate(looks):
         for seq, quals in ((i, i), (i, None), (None, i), (None, None)):
+            # What the leader holds is kept as it is; what is filled must agree with it.
             pick = {"seq": 0 if leader["seq"] is not None else seq, "base_quals": 0 if leader["base_quals"] is not None else quals}
             if all(s is None or looks[s][f] is not None for f, s in pick.items()):
-                gain = sum(1.0 - s * step for s in pick.values() if s is not None)
-                bases[tuple(pick.values())] = (gain, pick)
+                used = [s for s in pick.values() if s is not None]
+                bases[tuple(pick.values())] = ((len(used), -sum(used)), pick)
 
     def allowed(chosen: list[dict], values: dict) -> bool:
         if "seq" not in values:
             return True
-        length = chosen[0]["read_length"]
         seq, quals = values["seq"], values["base_quals"]
         if seq not in (0, None) and looks[seq]["seq"] != length or quals not in (0, None) and seq is None and looks[quals]["base_quals"] != length:
             return False
-        # What the leader holds is kept as it is; what is filled must agree with it.
         return seq is None or quals is None or seq == quals == 0 or looks[seq]["seq"] == looks[quals]["base_quals"]
 
-    options = [anchors, sorted(bases.values(), key=lambda x: -x[0]), *(single(f) for f in ("map_q", "inferred_size", "attributes"))]
-    _, chosen = branch_and_bound(options, allowed)
-    source = {k: v for values in chosen for k, v in values.items() if k != "read_length"}
-    return {"keep_id": ids[source["leader"]]} | {f"{f}_from": None if source[f] is None else ids[source[f]] for f in FIELDS}
+    options = [sorted(bases.values(), key=lambda x: x[0], reverse=True), *(single(f) for f in ("map_q", "inferred_size", "attributes"))]
+    source = {k: v for values in branch_and_bound(options, allowed) for k, v in values.items()}
+    return {"keep_id": ids[0]} | {f"{f}_from": None if source[f] is None else ids[source[f]] for f in FIELDS}
 
 
 def _search(batches):
     names = ["group_id", "keep_id", "n_records", *(f"{f}_from" for f in FIELDS)]
     schema = pa.schema([(n, pa.int64()) for n in names])
     for batch in batches:
-        rows = [{"group_id": r["group_id"], "n_records": r["n_records"]} | choose_sources(r["profiles"]) for r in batch.to_pylist()]
+        rows = [{"group_id": r["group_id"], "n_records": r["n_records"]} | choose_sources([p for p in r["profiles"] if p is not None]) for r in batch.to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], pa.int64()) for n in names], schema=schema)
 
 
+def _candidates(reads: DataFrame, read_groups: DataFrame, contigs: DataFrame) -> DataFrame:
+    """One row per group of two or more: (keys, n_records, group_id, profiles), the profiles those that a best choice can use, null where there is none."""
+    ends = fragment_ends(reads, read_groups, contigs)
+    record = F.struct("rank", "profile")
+    alone = [F.max(F.when(F.col(f"profile.{f}"), record)).alias(f"_{f}") for f in ("map_q", "inferred_size", "attributes")]
+    groups = ends.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_records"), (-F.max("rank.minus_id")).alias("group_id"), F.max(record).alias("_leader"), *alone).where("n_records > 1")
+    groups = staged(groups, "duplicate-groups")  # read twice
+    seq, quals = F.col("_leader.profile.seq"), F.col("_leader.profile.base_quals")
+    wanted = groups.where(seq.isNull() | quals.isNull()).select(
+        *(F.col(k).alias(f"_k_{k}") for k in KEYS),
+        # The length that bases, and that qualities, must have to stand beside what the leader holds; null where the leader has its own.
+        F.when(seq.isNull(), F.when(quals.isNull() | (quals == F.col("_leader.profile.read_length")), F.col("_leader.profile.read_length"))).alias("_seq_length"),
+        F.when(quals.isNull(), F.coalesce(seq, F.col("_leader.profile.read_length"))).alias("_quals_length"),
+    )
+    lengths = [F.col("profile.seq").alias("_seq"), F.col("profile.base_quals").alias("_quals")]
+    others = ends.where(F.col("profile.seq").isNotNull() | F.col("profile.base_quals").isNotNull()).groupBy(*KEYS, *lengths).agg(F.max(record).alias("_record"))
+    joined = others.join(wanted, [others[k].eqNullSafe(wanted[f"_k_{k}"]) for k in KEYS])
+    seq_fits, quals_fit = (F.coalesce(F.col(a) == F.col(b), F.lit(False)) for a, b in (("_seq", "_seq_length"), ("_quals", "_quals_length")))
+    classes = {"_both": seq_fits & quals_fit, "_seq_only": seq_fits, "_quals_only": quals_fit}
+    best = joined.where(seq_fits | quals_fit).groupBy(*wanted.columns[: len(KEYS)]).agg(*(F.max(F.when(c, F.col("_record"))).alias(n) for n, c in classes.items()))
+    found = groups.join(best, [groups[k].eqNullSafe(best[f"_k_{k}"]) for k in KEYS], "left")
+    return found.select("group_id", "n_records", F.array_distinct(F.array("_leader", *(f"_{f}" for f in ("map_q", "inferred_size", "attributes")), *classes)).alias("profiles"))
+
+
 def survivor_sources(reads: DataFrame, read_groups: DataFrame, contigs: DataFrame) -> DataFrame:
     """One row per group of two or more: its smallest id, the leader, its size, and the record that each field comes from."""
-    ends = fragment_ends(reads, read_groups, contigs)
-    best = ends.groupBy(*KEYS, "profile").agg(F.max("rank").alias("rank"), F.count(F.lit(1)).alias("n"), F.max(F.col("rank.minus_id")).alias("minus_min"))
-    groups = best.groupBy(*KEYS).agg(F.sum("n").alias("n_records"), (-F.max("minus_min")).alias("group_id"), F.collect_list(F.struct("profile", "rank")).alias("profiles"))
-    return groups.where("n_records > 1").select("group_id", "n_records", "profiles").mapInArrow(_search, _CHOSEN)
+    return _candidates(reads, read_groups, contigs).mapInArrow(_search, _CHOSEN)
 
 
 def survivors(reads: DataFrame, read_groups: DataFrame, contigs: DataFrame) -> DataFrame:
@@ -153,7 +183,9 @@ def survivors(reads: DataFrame, read_groups: DataFrame, contigs: DataFrame) -> D
     chosen = survivor_sources(reads, read_groups, contigs)
     wanted = chosen.select("group_id", "keep_id", "n_records", F.inline(F.array(*(F.struct(F.lit(f).alias("_field"), F.coalesce(F.col(f"{f}_from"), F.col("keep_id")).alias("_source"), F.col(f"{f}_from").isNotNull().alias("_has")) for f in FIELDS))))
     wanted = wanted.groupBy("group_id", "keep_id", "n_records", "_source").agg(F.collect_set(F.when(F.col("_has"), F.col("_field"))).alias("_fields"))
-    values = reads.select("record_id", *FIELDS).dropDuplicates(["record_id"])
+    complete, has_quality, _ = _presence()
+    trust = F.struct(complete, F.when(has_quality, F.col("map_q")), F.col("loaded_at"), *FIELDS)
+    values = reads.groupBy("record_id").agg(F.max_by(F.struct(*FIELDS), trust).alias("_v")).select("record_id", "_v.*")
     joined = wanted.join(values, wanted["_source"] == values["record_id"])
     picked = [F.max(F.when(F.array_contains("_fields", f), F.col(f))).alias(f) for f in FIELDS]
     return joined.groupBy("group_id", "keep_id", "n_records").agg(*picked)
