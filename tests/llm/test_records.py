@@ -66,6 +66,55 @@ def test_empty_terms(spark):
     assert store.counts().count() == 0 and terms.marked_terms(store.counts()).count() == 0
 
 
+def test_an_update_that_dies_changes_nothing(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, ["a", "b"], "x", 1), (2, ["a"], "x", 1)], COV)
+    store = terms.TermCounts(spark, buckets=2)
+    assert store.apply(terms.list_deltas(rows, "f", "cov_values")) == 1
+    expected = {"a": (2, 2), "b": (1, 1), None: (0, 2)}
+    more = terms.list_deltas(spark.createDataFrame([(3, ["a", "c"], "x", 1)], COV), "f", "cov_values")
+
+    # Dies after the new partitions are written, before the manifest; then after the draft of the manifest.
+    for step in ("_publish", "rename"):
+        broken = terms.TermCounts(spark, store.path)
+        if step == "_publish":
+            monkeypatch.setattr(broken, "_publish", lambda _: (_ for _ in ()).throw(KeyboardInterrupt()))
+        else:
+            draft = broken._publish
+
+            def cut(manifest, draft=draft, broken=broken):
+                broken._fs.create(broken._hadoop(f"draft-{manifest['version']}-dead"), False).close()
+                raise KeyboardInterrupt
+
+            monkeypatch.setattr(broken, "_publish", cut)
+        try:
+            broken.apply(more)
+        except KeyboardInterrupt:
+            pass
+        again = terms.TermCounts(spark, store.path)
+        assert again.version() == 1 and state(again) == expected
+    # Two writers of one number: the second gets an error, the first one's counts stand.
+    first, second = terms.TermCounts(spark, store.path), terms.TermCounts(spark, store.path)
+    stale = second._manifest()
+    monkeypatch.setattr(second, "_manifest", lambda: stale)
+    assert first.apply(more) == 2
+    try:
+        second.apply(more)
+        raise AssertionError("the second writer must fail")
+    except RuntimeError:
+        pass
+    assert state(terms.TermCounts(spark, store.path)) == {"a": (3, 3), "b": (1, 1), "c": (1, 1), None: (0, 3)}
+
+
+def test_buckets_follow_the_number_of_terms(spark):
+    store = terms.TermCounts(spark, buckets=1, bucket_rows=8, writer_rows=4)
+    rows = [(i, [f"t{i % 30}"], "x", 1) for i in range(60)]
+    for part in (rows[:5], rows[5:20], rows[20:]):
+        store.apply(terms.list_deltas(spark.createDataFrame(part, COV), "f", "cov_values"))
+    assert state(store) == counted(rows) | {None: (0, 60)}
+    manifest = store._manifest()
+    assert manifest["n_buckets"] >= 4 and len(manifest["buckets"]) > 2
+
+
 READS = "record_id bigint, flag int, contig_id int, contig_name string, contig_position int, map_q int, cigar string, mate_contig_name string, mate_position int, inferred_size int, seq string, base_quals string, attributes array<string>, read_group string, loaded_at timestamp, rank int, profile string"
 
 
