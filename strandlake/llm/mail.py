@@ -16,7 +16,6 @@ _HEADER = re.compile(r"([!-9;-~]+)[ \t]*:(.*)")
 _BOUNDARY = re.compile(r"boundary\s*=\s*(?:\"([^\"]*)\"|([^\s;]+))", re.IGNORECASE)
 _CHARSET = re.compile(r"charset\s*=\s*\"?([^\s;\"]+)", re.IGNORECASE)
 _NOT_BASE64 = re.compile(r"[^A-Za-z0-9+/]")
-MAX_DEPTH = 12
 
 
 def _headers(text: str) -> tuple[dict[str, str], str]:
@@ -66,29 +65,48 @@ def _decoded(body: str, encoding: str, content_type: str) -> str:
     return body
 
 
-def _leaf_parts(text: str, depth: int = 0) -> list[tuple[str, str]]:
-    """(kind, decoded text) of the parts to read: of alternatives the plain one, no attachments, no messages inside."""
-    fields, body = _headers(text)
-    content_type = fields.get("content-type", "text/plain")
-    kind = content_type.split(";")[0].strip().lower()
+def _multipart(kind: str, content_type: str, body: str) -> list[str] | None:
+    """The texts of the parts of a multipart body, in order; None for any other body, or where no boundary is found in it."""
     boundary = _BOUNDARY.search(content_type)
-    if kind.startswith("multipart/") and boundary and depth < MAX_DEPTH:
-        mark = "--" + (boundary[1] or boundary[2] or "")
-        pieces = ("\n" + body).split("\n" + mark)
-        found = []
-        for piece in pieces[1:]:
-            if piece.startswith("--"):
-                break
-            found += _leaf_parts(piece.partition("\n")[2], depth + 1)
-        if len(pieces) == 1:
-            return [("text/plain", body)]
-        if kind == "multipart/alternative":
+    if not kind.startswith("multipart/") or not boundary:
+        return None
+    pieces = ("\n" + body).split("\n--" + (boundary[1] or boundary[2] or ""))
+    if len(pieces) == 1:
+        return None
+    parts = []
+    for piece in pieces[1:]:
+        if piece.startswith("--"):
+            break
+        parts.append(piece.partition("\n")[2])
+    return parts
+
+
+def _leaf_parts(text: str) -> list[tuple[str, str]]:
+    """(kind, decoded text) of the parts to read: of alternatives the plain ones, no attachments, no messages inside. Nested to any depth."""
+    root: list = []
+    # Each entry: a text still to read, the list its parts go to, or (None, list, target): children are read, choose among them.
+    stack: list[tuple[str | None, list, list]] = [(text, root, root)]
+    while stack:
+        part, found, target = stack.pop()
+        if part is None:
             plain = [p for p in found if p[0] == "text/plain" and p[1].strip()]
-            return plain or found
-        return found
-    if fields.get("content-disposition", "").lower().startswith("attachment") or not kind.startswith("text/"):
-        return []
-    return [(kind, _decoded(body, fields.get("content-transfer-encoding", ""), content_type))]
+            target += plain or found
+            continue
+        fields, body = _headers(part)
+        content_type = fields.get("content-type", "text/plain")
+        kind = content_type.split(";")[0].strip().lower()
+        inner = _multipart(kind, content_type, body)
+        if inner is not None:
+            into = found
+            if kind == "multipart/alternative":
+                into = []
+                stack.append((None, into, found))
+            stack += [(x, into, into) for x in reversed(inner)]
+        elif kind.startswith("multipart/") and _BOUNDARY.search(content_type):
+            found.append(("text/plain", body))
+        elif kind.startswith("text/") and not fields.get("content-disposition", "").lower().startswith("attachment"):
+            found.append((kind, _decoded(body, fields.get("content-transfer-encoding", ""), content_type)))
+    return root
 
 
 _DROPPED_ELEMENTS = re.compile(r"<(style|script|head|title|blockquote)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)", re.IGNORECASE | re.DOTALL)

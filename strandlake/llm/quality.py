@@ -3,7 +3,8 @@
 The own text of a message is measured line by line. Tables show in the vertical alignment of delimiters (the same number of delimiters, or
 gaps that begin or end in the same columns, in neighbouring lines), lists in markers, periodic indentation and short lines whose
 lengths follow each other closely (autocorrelation), junk in the lack of what all prose has: common words among its words, few
-symbols. A document is not prose if most of its lines and most of its characters are of such kinds.
+symbols. The document's verdict comes from one sum of all measures: the share of its lines and characters of such kinds, how it is laid out
+(alignment, periodicity, autocorrelation) and how it is worded (common words, symbols, ends of lines, lengths of words).
 
 Defined results: a null or empty text, or one without own lines, has zero statistics and is prose; repeated ids are measured each on their
 own; texts are measured whole; an empty table yields no rows; columns other than the id and the text are ignored.
@@ -60,6 +61,11 @@ _SYMBOL = re.compile(r"[^\w\s.,;:!?'\"()’«»¿¡-]")
 MIN_COMMON, MIN_COMMON_LOOSE, ITEM_WORDS = 0.2, 0.13, 4
 #: Share of lines indented like the lines some steps above, and correlation of neighbouring line lengths, from which lines are laid out as items.
 PERIODIC, CORRELATED = 0.75, 0.6
+#: Weights of what a document's lines are, of its layout and of its wording in the verdict, and the value of each (0 as in prose, 1 its opposite) that
+#: speaks for neither side. The lines alone decide where they are clear; the others where about half of a text is of other kinds.
+WEIGHTS, NEUTRAL = {"lines": 1.0, "layout": 0.1, "wording": 0.3}, {"lines": 0.5, "layout": 0.1, "wording": 0.27}
+#: Common words, symbols and mean word lengths from which wording counts as that of prose, or as its opposite.
+USUAL_COMMON, MANY_SYMBOLS, USUAL_LENGTHS, CONSISTENT = 0.3, 0.1, (3.0, 6.5), 0.6
 
 
 def _delimiters(line: str) -> tuple[dict[str, int], set[int], set[int]]:
@@ -158,21 +164,41 @@ def measure(text: str | None) -> tuple:
         size[kind][1] += c
     other = {k: v for k, v in size.items() if k != "prose"}
     line_share, char_share = sum(v[0] for v in other.values()) / len(lines), sum(v[1] for v in other.values()) / sum(chars)
-    kind = max(other, key=lambda k: other[k][1]) if line_share > 0.5 and char_share > 0.5 else "prose"
-    return (
-        len(lines),
-        n_words,
-        sum(len(w) for ws in words for w in ws) / max(1, n_words),
-        sum(len(_SYMBOL.findall(x)) for x in lines) / sum(chars),
-        sum(x.rstrip()[-1] in ".!?…:;," for x in lines) / len(lines),
-        sum(common) / max(1, n_words),
-        aligned / len(lines),
-        _periodicity([len(x) - len(x.lstrip()) for x in lines]),
-        _autocorrelation(chars),
-        line_share,
-        char_share,
-        kind,
-    )
+    mean_length = sum(len(w) for ws in words for w in ws) / max(1, n_words)
+    symbols = sum(len(_SYMBOL.findall(x)) for x in lines) / sum(chars)
+    punctuated = sum(x.rstrip()[-1] in ".!?…:;," for x in lines) / len(lines)
+    common_share = sum(common) / max(1, n_words)
+    alignment, periodicity, correlation = aligned / len(lines), _periodicity([len(x) - len(x.lstrip()) for x in lines]), _autocorrelation(chars)
+    layout = max(alignment, periodicity, min(1.0, max(0.0, correlation)))
+    evidence = {"lines": min(line_share, char_share), "layout": layout, "wording": _wording(common_share, symbols, punctuated, mean_length)}
+    kind = "prose"
+    if sum(WEIGHTS[k] * (v - NEUTRAL[k]) for k, v in evidence.items()) > 0:
+        weight = {k: v[1] for k, v in other.items()}
+        if weight["table"] and _consistency([x for x, k in zip(lines, kinds, strict=True) if k == "table"]) < CONSISTENT:
+            # Delimiters that agree here and there by chance: no columns.
+            weight = weight | {"junk": weight["junk"] + weight["table"], "table": 0}
+        kind = max(weight, key=lambda k: weight[k])
+    return (len(lines), n_words, mean_length, symbols, punctuated, common_share, alignment, periodicity, correlation, line_share, char_share, kind)
+
+
+def _wording(common: float, symbols: float, punctuated: float, mean_length: float) -> float:
+    """How unlike prose the words are, from 0 to 1: the mean of four measures."""
+    low, high = USUAL_LENGTHS
+    odd_length = min(1.0, max(0.0, low - mean_length, mean_length - high) / low)
+    return (1 - min(1.0, common / USUAL_COMMON) + min(1.0, symbols / MANY_SYMBOLS) + (1 - punctuated) + odd_length) / 4
+
+
+def _consistency(lines: list[str]) -> float:
+    """The largest share of lines with the same number of one delimiter, or with wide gaps."""
+    delimited = [_delimiters(x) for x in lines]
+    found = [sum(bool(x[2]) for x in delimited)]
+    for d in "|\t;,":
+        counts: dict[int, int] = {}
+        for x in delimited:
+            if n := x[0].get(d):
+                counts[n] = counts.get(n, 0) + 1
+        found += counts.values()
+    return max(found) / len(lines)
 
 
 def text_quality(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:

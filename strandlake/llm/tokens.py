@@ -5,10 +5,9 @@ The vocabulary's folder and file are parameters; nothing of it is kept here. Tex
 
 from __future__ import annotations
 
+import ast
 import base64
-import importlib.util
 import re
-import sys
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,18 +19,41 @@ from strandlake.session import tokenizer_dir
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
-def _encoding(folder: str, vocabulary: str):
+class _Counter:
+    """A tokenizer, and the same merges over whole texts without the pattern that splits them."""
+
+    def __init__(self, folder: str, vocabulary: str):
+        import tiktoken
+
+        with open(f"{folder}/{vocabulary}", "rb") as lines:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        self.plain = tiktoken.Encoding(vocabulary, pat_str=_pattern(folder), mergeable_ranks=ranks, special_tokens={})
+        self.encode_ordinary = self.plain.encode_ordinary
+        self._make_whole = lambda: tiktoken.Encoding(vocabulary + "-whole", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+        self._whole = None
+
+    def encode_piece(self, piece: str) -> list[int]:
+        if self._whole is None:
+            self._whole = self._make_whole()
+        return self._whole.encode_ordinary(piece)
+
+
+def _pattern(folder: str) -> str:
+    """The splitting pattern, a string literal in the folder's description; read as data, not run."""
+    with open(f"{folder}/__init__.py", encoding="utf-8") as description:
+        for node in ast.parse(description.read()).body:
+            if isinstance(node, ast.Assign) and [getattr(t, "id", None) for t in node.targets] == ["PATTERN"]:
+                return ast.literal_eval(node.value)
+    raise ValueError(f"{folder} names no PATTERN")
+
+
+def _encoding(folder: str, vocabulary: str) -> _Counter:
     """The tokenizer, built once per Python worker."""
     import tiktoken
 
-    held = sys.modules["tiktoken"].__dict__.setdefault("_strandlake_encodings", {})
+    held = tiktoken.__dict__.setdefault("_strandlake_encodings", {})
     if (folder, vocabulary) not in held:
-        spec = importlib.util.spec_from_file_location("_strandlake_vocabularies", f"{folder}/__init__.py")
-        described = importlib.util.module_from_spec(spec)
-        spec.loader.exec_module(described)
-        with open(f"{folder}/{vocabulary}", "rb") as lines:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        held[folder, vocabulary] = tiktoken.Encoding(vocabulary, pat_str=described.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        held[folder, vocabulary] = _Counter(folder, vocabulary)
     return held[folder, vocabulary]
 
 
@@ -50,7 +72,7 @@ def count_tokens(text: str | None, encoding) -> int:
     total, at = 0, 0
     for run in _LONG_RUN.finditer(text):
         end = run.end() if run.end() == len(text) else run.end() - 1
-        total += len(encoding.encode_ordinary(text[at : run.start()])) + len(encoding._encode_single_piece(text[run.start() : end]))
+        total += len(encoding.encode_ordinary(text[at : run.start()])) + len(encoding.encode_piece(text[run.start() : end]))
         at = end
     return total + len(encoding.encode_ordinary(text[at:] if at else text))
 

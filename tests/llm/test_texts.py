@@ -107,6 +107,11 @@ def test_token_counts(spark):
     encoding = tokens._encoding(tokens.tokenizer_dir(), tokens.VOCABULARY)
     for text in ("", "a b", "x" + " " * 9000 + "y", "\n" * 5000, " " * 4096 + "\tz", "héllo wörld 123"):
         assert tokens.count_tokens(text, encoding) == len(encoding.encode_ordinary(text))
+    rnd = random.Random(12)
+    for _ in range(60):  # runs of white space around the length from which they are cut
+        pieces = [rnd.choice(["a", "don't", "12", "é", "?!", "\u3000x"]) + rnd.choice([" ", "\n", "\t", "\xa0", " \n"]) * rnd.choice([1, 2, 1365, 2047, 2048, 4095, 4096, 4097, 5000]) for _ in range(rnd.randint(1, 4))]
+        text = "".join(pieces) + rnd.choice(["", "end"])
+        assert tokens.count_tokens(text, encoding) == len(encoding.encode_ordinary(text)), [p[:4] for p in pieces]
     assert tokens.count_tokens(" " * 2_000_000 + "end", encoding) > 0
     df = spark.createDataFrame([(1, "hello world", 9), (2, None, 9)], "doc_id bigint, text string, n_tokens int").drop("n_tokens")
     assert {(r.doc_id, r.n_tokens) for r in tokens.token_counts(df, ["doc_id"]).collect()} == {(1, 2), (2, 0)}
@@ -157,6 +162,26 @@ def test_parts():
     assert mail.own_lines("no headers here\nat all") == ["no headers here", "at all"]
 
 
+def test_parts_of_any_depth():
+    for depth in (0, 1, 12, 13, 50, 400):
+        body = "Content-Type: text/plain\n\nfirst\nsecond"
+        for i in range(depth):
+            kind = "mixed" if i % 3 else "alternative"
+            body = f"Content-Type: multipart/{kind}; boundary=b{i}x\n\n--b{i}x\n{body}\n--b{i}x--\n"
+        assert mail.own_lines("Subject: x\n" + body) == ["first", "second"], depth
+    # A multipart without its boundary is read as it is; an unending chain of parts keeps its order.
+    assert mail.own_lines("Content-Type: multipart/mixed; boundary=zz\n\nno part\nat all") == ["no part", "at all"]
+    many = "Content-Type: multipart/mixed; boundary=q\n\n" + "".join(f"--q\nContent-Type: text/plain\n\nline {i}\n" for i in range(50))
+    assert mail.own_lines(many) == [f"line {i}" for i in range(50)]
+
+
+def test_random_strings_with_delimiters_are_junk():
+    rnd = random.Random(8)
+    body = "\n".join("".join(rnd.choice("qwzxkjvbnm ;") for _ in range(60)) for _ in range(8))
+    assert quality.measure(letter(body))[-1] == "junk"
+    assert quality.measure(letter("x;y;z\n1;2;3\n4;5;6\n"))[-1] == "table"
+
+
 def test_quality_of_odd_tables(spark):
     schema = "doc_id bigint, text string, kind string, n_words int"
     rows = [(1, None, "k", 1), (2, "", "k", 1), (2, "", "k", 1), (3, letter("word " * 400_000), "k", 1), (None, letter(PROSE), None, None), (4, "\0\0", "k", 1)]
