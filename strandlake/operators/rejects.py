@@ -12,8 +12,10 @@ length; columns of the input other than the id and the text are ignored, whateve
 from __future__ import annotations
 
 import csv
+import itertools
 import re
-from collections.abc import Iterable, Iterator
+from collections import deque
+from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -78,22 +80,59 @@ def bare_contig(name: str) -> str:
     return "MT" if bare == "M" else bare
 
 
-def assemble(lines: Iterable[str], delimiter: str = "\t") -> Iterator[str]:
-    """Join physical lines into records: a line that ends inside an open quoted field goes on in the next one.
+#: Lines that a quoted field may go on over.
+MAX_LINES = 1000
 
-    A field is open if it starts with a quote and holds an odd number of quotes up to the line's end. A quote that never closes
-    makes the rest one record, which the parser then rejects.
+
+def assemble(lines: Iterable[str], delimiter: str = "\t", max_lines: int = MAX_LINES) -> Iterator[tuple[int, str]]:
+    """(number of its first line from 0, text) of the records that physical lines hold: a line that ends inside an open quoted field goes on in the next one.
+
+    A field is open if it starts with a quote and holds an odd number of quotes up to the line's end. Where it doesn't close within ``max_lines``, or
+    where what it closes to is broken, its first line is a record of its own (which the parser rejects) and the lines after it are
+    judged anew, so that one lost quote takes no other record with it.
     """
-    held: list[str] = []
-    is_open = False
-    for line in lines:
-        is_open = _ends_open(line, is_open, delimiter)
-        held.append(line)
-        if not is_open:
-            yield "\n".join(held)
-            held = []
-    if held:
-        yield "\n".join(held)
+    source, ahead, at = iter(lines), deque(), 0
+    while True:
+        if not ahead:
+            line = next(source, None)
+            if line is None:
+                return
+            ahead.append(line)
+        held = 1
+        if '"' in ahead[0] and _ends_open(ahead[0], False, delimiter):
+            held = _closing(ahead, source, delimiter, max_lines)
+        yield at, "\n".join(ahead.popleft() for _ in range(held))
+        at += held
+
+
+def ends_open(line: str, delimiter: str = "\t") -> bool:
+    """Whether a line that begins a record ends inside a quoted field."""
+    return _ends_open(line, False, delimiter)
+
+
+def closing(lines: Sequence[str], max_lines: int = MAX_LINES, delimiter: str = "\t") -> int:
+    """How many of the lines make the record that the first one, which ends inside a quoted field, begins; 1 where it doesn't close soundly."""
+    return _closing(deque(lines), iter(()), delimiter, max_lines)
+
+
+def _closing(ahead: deque, source: Iterator[str], delimiter: str, max_lines: int) -> int:
+    """How many lines the record at the head of ``ahead`` has; lines are drawn from ``source`` as needed."""
+    is_open, n = True, 1
+    while is_open and n < max_lines:
+        if n == len(ahead):
+            line = next(source, None)
+            if line is None:
+                return 1
+            ahead.append(line)
+        is_open = _ends_open(ahead[n], True, delimiter)
+        n += 1
+    if is_open:
+        return 1
+    try:
+        split_record("\n".join(itertools.islice(ahead, n)), delimiter)
+    except Rejected:
+        return 1
+    return n
 
 
 def _ends_open(line: str, is_open: bool, delimiter: str) -> bool:
@@ -115,26 +154,47 @@ def _ends_open(line: str, is_open: bool, delimiter: str) -> bool:
         at = following + 1
 
 
-def split_record(text: str, delimiter: str = "\t") -> list[str]:
-    """The fields of one record; raises ``Rejected('quote')`` for broken quoting.
+def _absent(text: str, taken: str = "") -> str:
+    """A character of the private area that the text doesn't hold."""
+    return next(chr(c) for c in range(0xE000, 0xF8FF) if chr(c) not in text and chr(c) not in taken)
 
-    The strict reader faults quotes that never close or are followed by other text. It lets a quote inside an unquoted field pass,
-    so the fields are laid over the text once more: an unquoted one may not hold a quote.
-    """
-    if '"' not in text:
-        return text.split(delimiter)
-    swaps = []
-    for end in ("\r", "\n", "\0"):  # line ends are data here, the reader would end the record
-        if end in text:
-            stand_in = next(chr(c) for c in range(0xE000, 0xF8FF) if chr(c) not in text and chr(c) not in (s for _, s in swaps))
-            swaps.append((end, stand_in))
+
+def _strict_fields(text: str, delimiter: str, quoted: bool) -> list[str]:
+    """The fields as Python's strict csv reader sees them; line ends are data here, where the reader would end the record."""
+    if not text:
+        return [""]
+    swaps: list[tuple[str, str]] = []
+    for end in ("\r", "\n", "\0"):
+        if end in text and end != delimiter:
+            swaps.append((end, _absent(text, "".join(s for _, s in swaps))))
     for end, stand_in in swaps:
         text = text.replace(end, stand_in)
-    csv.field_size_limit(max(len(text), 1 << 17))  # no field is too long
+    if delimiter == "\n":  # the reader takes no line end as a delimiter
+        delimiter = _absent(text, "".join(s for _, s in swaps))
+        text = text.replace("\n", delimiter)
+    if len(text) > 1 << 17:
+        csv.field_size_limit(max(len(text), csv.field_size_limit()))  # no field is too long
     try:
-        (fields,) = csv.reader([text], delimiter=delimiter, quotechar='"', doublequote=True, strict=True)
+        if quoted:
+            (fields,) = csv.reader((text,), delimiter=delimiter, quotechar='"', doublequote=True, strict=True)
+        else:
+            (fields,) = csv.reader((text,), delimiter=delimiter, quoting=csv.QUOTE_NONE, quotechar=None, strict=True)
     except (csv.Error, ValueError) as fault:
         raise Rejected("quote") from fault
+    for end, stand_in in swaps:
+        fields = [v.replace(stand_in, end) for v in fields]
+    return fields
+
+
+def split_record(text: str, delimiter: str = "\t") -> list[str]:
+    """The fields of one record; raises ``Rejected('quote')`` for broken quoting.
+
+    The strict reader faults quotes that never close or are followed by other text. It lets a quote inside an unquoted field pass,
+    so the fields of a text with quotes are laid over it once more: an unquoted one may not hold a quote.
+    """
+    fields = _strict_fields(text, delimiter, quoted=True)
+    if '"' not in text:
+        return fields
     at = 0
     for value in fields:
         quotes = value.count('"')
@@ -145,8 +205,6 @@ def split_record(text: str, delimiter: str = "\t") -> list[str]:
         else:
             at += len(value)
         at += 1
-    for end, stand_in in swaps:
-        fields = [v.replace(stand_in, end) for v in fields]
     return fields
 
 
@@ -193,8 +251,8 @@ def vcf_record(text: str, contigs: dict[str, tuple[str, int]]) -> tuple:
 
 
 def fastq_record(text: str) -> tuple:
-    """The typed fields of one FASTQ record, or ``Rejected``. Quotes are quality values here, so lines are the fields."""
-    lines = text.split("\n")
+    """The typed fields of one FASTQ record, or ``Rejected``. Its lines are the fields, and the reader takes quotes as what they are here, quality values."""
+    lines = _strict_fields(text, "\n", quoted=False)
     ended = lines[:-1] if lines[-1] == "" and len(lines) > 1 else None
     lines = [x.removesuffix("\r") for x in ended] if ended is not None else [*(x.removesuffix("\r") for x in lines[:-1]), lines[-1]]
     if len(lines) != 4:
@@ -218,39 +276,44 @@ def _is_vcf_record(text: str | None) -> bool:
     return text is None or (text != "" and text[0] != "#")
 
 
-def _mapper(parse, is_record, schema: T.StructType):
+def _mapped(raw: DataFrame, raw_id: str, text: str, parse, is_record, schema: T.StructType, kept: Sequence[str]) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    arrow, width = to_arrow_schema(schema), len(schema) - 2
+    chosen = raw.select(F.col(raw_id).cast("bigint").alias("_id"), F.col(text).alias("_text"), *(F.col(k).alias(f"_kept{i}") for i, k in enumerate(kept)))
+    out = T.StructType([*schema.fields, *(T.StructField(k, f.dataType) for k, f in zip(kept, chosen.schema.fields[2:], strict=True))])
+    arrow, width = to_arrow_schema(out), len(schema) - 2
 
     def parsed(batches):
         blank = (None,) * width
         for batch in batches:
-            rows = []
-            for raw_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if not is_record(text):
+            rows, places = [], []
+            for place, (key, value) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if not is_record(value):
                     continue
+                places.append(place)
                 try:
-                    if text is None:
+                    if value is None:
                         raise Rejected("null_text")
-                    rows.append((raw_id, None, *parse(text)))
+                    rows.append((key, None, *parse(value)))
                 except Rejected as fault:
-                    rows.append((raw_id, str(fault), *blank))
-            columns = zip(*rows, strict=True) if rows else ((),) * len(arrow)
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), type=f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+                    rows.append((key, str(fault), *blank))
+            columns = zip(*rows, strict=True) if rows else ((),) * (width + 2)
+            own = [pa.array(list(c), type=f.type) for c, f in zip(columns, list(arrow)[: width + 2], strict=True)]
+            carried = [c.take(pa.array(places, pa.int64())) for c in batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays([*own, *carried], schema=arrow)
 
-    return parsed
+    return chosen.mapInArrow(parsed, out)
 
 
-def parse_vcf(raw: DataFrame, contigs: DataFrame, raw_id: str = "raw_id", text: str = "line_text") -> DataFrame:
-    """One row per VCF record of ``raw``: typed fields, or nulls and a ``reason``."""
+def parse_vcf(raw: DataFrame, contigs: DataFrame, raw_id: str = "raw_id", text: str = "line_text", kept: Sequence[str] = ()) -> DataFrame:
+    """One row per VCF record of ``raw``: typed fields, or nulls and a ``reason``; then the columns ``kept``."""
     known = contig_lengths(contigs)
-    return raw.select(F.col(raw_id).cast("bigint"), F.col(text)).mapInArrow(_mapper(lambda t: vcf_record(t, known), _is_vcf_record, VCF_ROW), VCF_ROW)
+    return _mapped(raw, raw_id, text, lambda t: vcf_record(t, known), _is_vcf_record, VCF_ROW, kept)
 
 
-def parse_fastq(raw: DataFrame, raw_id: str = "raw_id", text: str = "record_text") -> DataFrame:
-    """One row per FASTQ record of ``raw``: typed fields, or nulls and a ``reason``."""
-    return raw.select(F.col(raw_id).cast("bigint"), F.col(text)).mapInArrow(_mapper(fastq_record, lambda _: True, FASTQ_ROW), FASTQ_ROW)
+def parse_fastq(raw: DataFrame, raw_id: str = "raw_id", text: str = "record_text", kept: Sequence[str] = ()) -> DataFrame:
+    """One row per FASTQ record of ``raw``: typed fields, or nulls and a ``reason``; then the columns ``kept``."""
+    return _mapped(raw, raw_id, text, fastq_record, lambda _: True, FASTQ_ROW, kept)
 
 
 def valid(parsed: DataFrame) -> DataFrame:

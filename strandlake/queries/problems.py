@@ -35,8 +35,11 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _p2_stats(spark: SparkSession, sf: str, level: str) -> DataFrame:
+    """The mean is rounded to six places in whole numbers: quals have at most six, so their sum in millionths is exact."""
     got = hotkeys.key_statistics(table(spark, sf, "variants"), table(spark, sf, "contigs")).where(F.col("key_level") == level)
-    return got.withColumn("mean_qual", F.round(F.col("mean_qual") + 1e-9, 6)).drop("key_level")
+    micro = F.round(F.col("qual_sum") * 1e6).cast("bigint")
+    mean = F.when(F.col("qual_n") > 0, F.floor((2 * micro + F.col("qual_n")) / (2 * F.col("qual_n")).cast("decimal(38,0)")).cast("bigint") / 1e6)
+    return got.withColumn("mean_qual", mean).drop("key_level", "qual_sum", "qual_n")
 
 
 def p2_contig_stats(spark: SparkSession, sf: str) -> DataFrame:
@@ -95,6 +98,7 @@ fq AS (SELECT *, CASE
     WHEN length(l[4]) <> length(l[2]) THEN 'quality_length'
     END AS reason FROM cut)"""
 
+_MEAN = "CASE WHEN count(qual) > 0 THEN ((2 * CAST(round(sum(qual) * 1000000) AS HUGEINT) + count(qual)) // (2 * count(qual))) / 1000000.0 END"
 _KEYED = f"known AS ({contigs()}), v AS (SELECT variants.*, cname FROM (SELECT *, {contig_key()} AS k FROM variants) variants LEFT JOIN known ON ckey = k)"
 
 _SPANS = f"""
@@ -123,8 +127,8 @@ ORACLES = {
     "p1_fastq_rows": f"""WITH {_FASTQ_SQL} SELECT raw_id, substr(l[1], 2) AS description, regexp_replace(regexp_extract(l[1], '(?s)^@([^ ]*)', 1), '/[12]$', '') AS read_name, l[2] AS seq, l[4] AS base_quals FROM fq WHERE reason IS NULL""",
     "p2_found": f"""WITH {_KEYED} SELECT 'contig' AS key_level, cname AS contig_name, CAST(0 AS BIGINT) AS contig_position FROM v WHERE cname IS NOT NULL GROUP BY cname HAVING count(*) > 0.08 * (SELECT count(*) FROM v)
         UNION ALL SELECT 'site', cname, CAST(contig_position AS BIGINT) FROM v WHERE cname IS NOT NULL GROUP BY cname, contig_position HAVING count(*) > 0.02 * (SELECT count(*) FROM v)""",
-    "p2_contig_stats": f"WITH {_KEYED} SELECT cname AS contig_name, count(*) AS n_rows, round(avg(qual) + 1e-9, 6) AS mean_qual, count(DISTINCT sample_name) AS n_samples FROM v GROUP BY cname",
-    "p2_site_stats": f"WITH {_KEYED} SELECT cname AS contig_name, CAST(contig_position AS BIGINT) AS contig_position, count(*) AS n_rows, round(avg(qual) + 1e-9, 6) AS mean_qual, count(DISTINCT sample_name) AS n_samples FROM v GROUP BY ALL",
+    "p2_contig_stats": f"WITH {_KEYED} SELECT cname AS contig_name, count(*) AS n_rows, {_MEAN} AS mean_qual, count(DISTINCT sample_name) AS n_samples FROM v GROUP BY cname",
+    "p2_site_stats": f"WITH {_KEYED} SELECT cname AS contig_name, CAST(contig_position AS BIGINT) AS contig_position, count(*) AS n_rows, {_MEAN} AS mean_qual, count(DISTINCT sample_name) AS n_samples FROM v GROUP BY ALL",
     "p3_found": f"WITH {_SPANS} SELECT * FROM pieces",
     "p3_sample_coverage": f"""WITH {_SPANS} SELECT track, sample_name, count(*) FILTER (WHERE piece = 'period') AS periods, CAST(coalesce(sum(to_position - from_position + 1) FILTER (WHERE piece = 'period'), 0) AS BIGINT) AS covered,
         CAST(coalesce(sum(to_position - from_position + 1) FILTER (WHERE piece = 'gap'), 0) AS BIGINT) AS uncovered FROM pieces GROUP BY track, sample_name""",

@@ -62,6 +62,14 @@ def staged(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
+def expected_splits(df: DataFrame) -> int:
+    """About how many splits the files under ``df`` are read in, from the optimizer's estimate of their size. No job runs."""
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    per = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728b"))
+    return max(1, min(1 << 24, -(-size // per)))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores where its input has fewer splits than that (a small or unsplittable file); else as it is, without a shuffle.
 

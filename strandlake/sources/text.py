@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandlake.operators import rejects
+from strandlake.operators import intervals, rejects
+from strandlake.session import staged
 from strandlake.tables import NO_CONTIG, with_contig
 
 _SAM = [("read_name", "string"), ("flag", "int"), ("contig_name", "string"), ("contig_position", "int"), ("map_q", "int"), ("cigar", "string"), ("mate_contig_name", "string"), ("mate_position", "int"), ("inferred_size", "int"), ("seq", "string"), ("base_quals", "string")]
@@ -33,7 +37,7 @@ def read_sam(spark: SparkSession, path: str, contigs: DataFrame, drop_unknown: b
 
 
 def sam_header(spark: SparkSession, path: str) -> list[str]:
-    """Header lines. They lead the file, so the read stops with its first other line."""
+    """Header lines of the files of a glob, in the order of files and lines; see ``_leading``."""
     return _leading(spark, path, "@")
 
 
@@ -41,23 +45,134 @@ def vcf_header(spark: SparkSession, path: str) -> list[str]:
     return _leading(spark, path, "##")
 
 
-def _leading(spark: SparkSession, path: str, prefix: str, most: int = 100_000) -> list[str]:
-    rows = spark.read.text(path).where(F.col("value").startswith(prefix)).limit(most).collect()  # headers are a few lines per contig
-    return [r[0] for r in rows]
+def _leading(spark: SparkSession, path: str, prefix: str, most: int = 1_000_000, step: int = 1 << 16) -> list[str]:
+    """The lines that begin with ``prefix`` at the head of each file. Read through Hadoop's file systems from a file's begin to its first other line; no job runs.
+
+    A header has a few lines per contig; more than ``most`` are an error.
+    """
+    jvm = spark._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [f for f in fs.globStatus(place) or []]
+    files = sorted(str(x.getPath()) for f in found for x in (fs.listStatus(f.getPath()) if f.isDirectory() else [f]) if not x.getPath().getName().startswith(("_", ".")))
+    if not files:
+        raise FileNotFoundError(path)
+    lines: list[str] = []
+    for name in files:
+        file = jvm.org.apache.hadoop.fs.Path(name)
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(spark._jsc.hadoopConfiguration()).getCodec(file)
+        stream = fs.open(file)
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec is not None else stream, "UTF-8"), step)
+        try:
+            while (line := reader.readLine()) is not None and line.startswith(prefix):
+                lines.append(line)
+                if len(lines) > most:
+                    raise ValueError(f"{path} has more than {most} header lines")
+        finally:
+            reader.close()
+    return lines
+
+
+_LINES = "file_name string, block bigint, at bigint, line_text string, opens boolean"
+#: Lines of a chunk whose open fields are closed in one task.
+CHUNK_LINES = 8192
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file_name, file_line, line_text, opens) of text files: the number of each physical line in its file from 1, the same in every evaluation, and if it ends inside a quoted field.
+
+    Lines are counted within the splits in which Spark reads a file; a split's first number comes from the counts of the splits before it.
+    """
+    raw = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file_name"), F.col("_metadata.file_block_start").alias("block"), "value")
+
+    def numbered(batches):
+        of, at = None, 0
+        for batch in batches:
+            places, opens = [], []
+            for file, block, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if (file, block) != of:
+                    of, at = (file, block), 0
+                places.append(at)
+                at += 1
+                opens.append('"' in text and rejects.ends_open(text))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(places, pa.int64()), batch.column(2), pa.array(opens, pa.bool_())], names=["file_name", "block", "at", "line_text", "opens"])
+
+    blocks = raw.groupBy("file_name", "block").agg(F.count(F.lit(1)).alias("_n"))
+    before = W.partitionBy("file_name").orderBy("block").rowsBetween(W.unboundedPreceding, -1)  # a row per split
+    firsts = blocks.select("file_name", "block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return raw.mapInArrow(numbered, _LINES).join(firsts, ["file_name", "block"]).select("file_name", (F.col("_before") + F.col("at") + 1).alias("file_line"), "line_text", "opens")
+
+
+def text_records(spark: SparkSession, path: str, max_lines: int = rejects.MAX_LINES, chunk: int = CHUNK_LINES) -> DataFrame:
+    """(file_name, file_line, line_text) of the records of text files, assembled quote-aware as ``rejects.assemble`` does, wherever Spark splits a file.
+
+    Where a line ends inside a quoted field, the lines of its chunk and the ``max_lines`` after it tell where the field closes. Such stretches that overlap
+    are taken from the first on; lines they cover are no records of their own. Carriage returns at the end of a record are dropped.
+    """
+    lines = numbered_lines(spark, path)
+    plain = lines.select("file_name", "file_line", F.regexp_replace("line_text", "\r$", "").alias("line_text"))
+    if lines.where("opens").limit(1).count() == 0:
+        return plain
+    index = F.expr(f"(file_line - 1) div {chunk}")
+    needed = lines.where("opens").select("file_name", index.alias("chunk")).distinct()
+    # A chunk sees its own lines and the next ``max_lines``, which belong to one or more chunks after it.
+    back = -(-max_lines // chunk)
+    spread = lines.select("*", F.explode(F.sequence(F.lit(0), F.lit(back))).alias("_back")).withColumn("chunk", index - F.col("_back"))
+    spread = spread.where((F.col("chunk") >= 0) & (F.col("file_line") <= (F.col("chunk") + 1) * chunk + max_lines)).join(needed, ["file_name", "chunk"], "left_semi")
+
+    def closed(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        rows = table.sort_by("file_line")
+        texts, numbers, opens = rows.column("line_text").to_pylist(), rows.column("file_line").to_pylist(), rows.column("opens").to_pylist()
+        last_own = (key[1].as_py() + 1) * chunk
+        found = []
+        for i, (number, is_open) in enumerate(zip(numbers, opens, strict=True)):
+            if is_open and number <= last_own:
+                n = rejects.closing(texts[i : i + max_lines], max_lines)
+                if n > 1:
+                    found.append((key[0].as_py(), number, number + n - 1, "\n".join(texts[i : i + n])))
+        columns = list(zip(*found, strict=True)) or [[], [], [], []]
+        return pa.table({"file_name": pa.array(columns[0], pa.string()), "first": pa.array(columns[1], pa.int64()), "last": pa.array(columns[2], pa.int64()), "line_text": pa.array(columns[3], pa.string())})
+
+    stretches = staged(spread.select("file_name", "chunk", "file_line", "line_text", "opens").groupBy("file_name", "chunk").applyInArrow(closed, "file_name string, first bigint, last bigint, line_text string"), "quoted-stretches")
+    islands = intervals.merged(stretches, ["file_name"], "first", "last", abutting=False).select(F.col("file_name").alias("_file"), "from_position", "to_position")
+    grouped = stretches.join(islands, (F.col("file_name") == F.col("_file")) & F.col("first").between(F.col("from_position"), F.col("to_position")))
+
+    def from_the_first(pdf: pd.DataFrame) -> pd.DataFrame:
+        taken, end = [], 0
+        for row in pdf.sort_values("first").itertuples():
+            if row.first > end:
+                taken.append((row.file_name, row.first, row.last, row.line_text))
+                end = row.last
+        return pd.DataFrame(taken, columns=["file_name", "first", "last", "line_text"])
+
+    kept = staged(grouped.groupBy("_file", "from_position").applyInPandas(from_the_first, "file_name string, first bigint, last bigint, line_text string"), "quoted-records")
+    covered = kept.select("file_name", F.explode(F.sequence("first", "last")).alias("file_line"))
+    return plain.join(covered, ["file_name", "file_line"], "left_anti").unionByName(kept.select("file_name", F.col("first").alias("file_line"), F.regexp_replace("line_text", "\r$", "").alias("line_text")))
 
 
 def read_vcf(spark: SparkSession, path: str, contigs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(variants, rejected lines with the reason) of VCF text files."""
-    raw = spark.read.text(path).select(F.monotonically_increasing_id().alias("raw_id"), F.col("value").alias("line_text"))
-    parsed = rejects.parse_vcf(raw, contigs)
-    return rejects.valid(parsed), parsed.where("reason is not null").select("raw_id", "reason")
+    """(variants, rejected records) of VCF text files, both with file_name and file_line; records may hold line ends in quotes. The rejected ones have the reason and their text."""
+    raw = text_records(spark, path)
+    parsed = rejects.parse_vcf(raw, contigs, "file_line", "line_text", kept=["file_name", "file_line", "line_text"]).drop("raw_id")
+    return rejects.valid(parsed).drop("line_text"), parsed.where("reason is not null").select("file_name", "file_line", "reason", "line_text")
+
+
+def interval_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file_name, file_line, contig_name, start_position, stop_position, reason) of tab separated intervals; lines that start with ``@`` are headers.
+
+    Each other line comes out, with nulls and a reason where it is malformed: ``field_count`` under three fields, ``contig`` without a name, ``position`` for a bound that is no number, ``order`` where the end lies before the start.
+    """
+    parts = F.split(F.regexp_replace("line_text", "\r$", ""), "\t")
+    got = numbered_lines(spark, path).where(~F.col("line_text").startswith("@") & (F.trim("line_text") != "")).select(
+        "file_name", "file_line", F.size(parts).alias("_n"), F.get(parts, F.lit(0)).alias("contig_name"), F.get(parts, F.lit(1)).try_cast("bigint").alias("start_position"), F.get(parts, F.lit(2)).try_cast("bigint").alias("stop_position")
+    )
+    reason = F.when(F.col("_n") < 3, "field_count").when(F.trim("contig_name") == "", "contig").when(F.col("start_position").isNull() | F.col("stop_position").isNull(), "position").when(F.col("start_position") > F.col("stop_position"), "order")
+    return got.withColumn("reason", reason).drop("_n")
 
 
 def read_intervals(spark: SparkSession, path: str) -> DataFrame:
-    """(contig_name, start_position, stop_position) of tab separated intervals; lines that start with ``@`` are headers, malformed ones are left out."""
-    parts = F.split("value", "\t")
-    rows = spark.read.text(path).where(~F.col("value").startswith("@")).select(F.get(parts, F.lit(0)).alias("contig_name"), F.get(parts, F.lit(1)).try_cast("bigint").alias("start_position"), F.get(parts, F.lit(2)).try_cast("bigint").alias("stop_position"))
-    return rows.where("start_position <= stop_position")
+    """(contig_name, start_position, stop_position) of the sound lines of ``interval_lines``."""
+    return interval_lines(spark, path).where("reason is null").select("contig_name", "start_position", "stop_position")
 
 
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:

@@ -45,6 +45,46 @@ def test_fasta(spark, tmp_path):
     assert sorted(map(tuple, rows)) == [("1", 0, "ACGT"), ("1", 1, "ACGN"), ("chr2", 0, "TTNN")]
 
 
+def test_records_over_lines_wherever_files_are_split(spark, tmp_path):
+    """Quoted line ends, lost quotes and carriage returns: the same records as assembling the whole file, for any split size."""
+    from strandlake.operators import rejects
+
+    rnd = random.Random(21)
+    for kind in ("some", "many", "none"):
+        lines = []
+        for i in range(300):
+            r = rnd.random() if kind != "none" else 1
+            if r < (0.05 if kind == "some" else 0.3):
+                lines += [f'1\t{i}\t"a', *(rnd.choice(["", "mid", '"', "x\ty"]) for _ in range(rnd.randint(0, 4))), 'end"\tA\tC']
+            elif r < 0.4:
+                lines.append(rnd.choice(['1\t"lost', '"x"y\tz', 'a"b\tc']))
+            else:
+                lines.append(f"1\t{i}\t.\tA\tC" + ("\r" if i % 5 == 0 else ""))
+        path = tmp_path / f"{kind}.vcf"
+        path.write_text("\n".join(lines) + "\n", newline="")
+        expected = [(n + 1, t.removesuffix("\r")) for n, t in rejects.assemble(lines, max_lines=5)]
+        before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+        try:
+            for size in ("97b", "1000b", "1m"):
+                spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+                got = sorted((r.file_line, r.line_text) for r in text.text_records(spark, str(path), max_lines=5, chunk=7).collect())
+                assert got == expected, (kind, size)
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_headers_end_with_their_first_other_line(spark, tmp_path):
+    (tmp_path / "h").mkdir()
+    (tmp_path / "h" / "a.vcf").write_text("##a\n##b\n#CHROM\n##late\n")
+    (tmp_path / "h" / "b.vcf.gz").write_bytes(gzip.compress("".join(f"##c{i}\n" for i in range(150_000)).encode()))
+    assert text.vcf_header(spark, str(tmp_path / "h" / "a.vcf")) == ["##a", "##b"]
+    assert len(text.vcf_header(spark, str(tmp_path / "h"))) == 150_002
+    with pytest.raises(ValueError, match="more than 10"):
+        text._leading(spark, str(tmp_path / "h"), "##", most=10)
+    (tmp_path / "p.list").write_text("@SQ\n1\t5\t9\t+\ta\n1\tx\t9\n1\t9\t5\nq\n\t1\t2\n")
+    assert sorted((r.file_line, r.reason) for r in text.interval_lines(spark, str(tmp_path / "p.list")).collect()) == [(2, None), (3, "position"), (4, "order"), (5, "field_count"), (6, "contig")]
+
+
 def test_text_readers(spark, tmp_path):
     (tmp_path / "d.dict").write_text("@HD\tVN:1\n@SQ\tSN:1\tLN:100\tM5:x\tUR:file:/a.fa\n@SQ\tSN:MT\tLN:10\n")
     contigs = text.read_dictionary(spark, str(tmp_path / "d.dict"))

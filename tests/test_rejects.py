@@ -120,10 +120,14 @@ def test_split_against_brute_force():
 
 
 def test_assemble():
-    assert list(R.assemble(["a\tb", '"c', 'd"\te', "f"])) == ["a\tb", '"c\nd"\te', "f"]
-    assert list(R.assemble(['x"y', "z"])) == ['x"y', "z"]
-    assert list(R.assemble(['"a""', 'b"', "c"])) == ['"a""\nb"', "c"]
-    assert list(R.assemble(['"never', "closed"])) == ['"never\nclosed']
+    texts = lambda lines, **k: [t for _, t in R.assemble(lines, **k)]
+    assert list(R.assemble(["a\tb", '"c', 'd"\te', "f"])) == [(0, "a\tb"), (1, '"c\nd"\te'), (3, "f")]
+    assert texts(['x"y', "z"]) == ['x"y', "z"]
+    assert texts(['"a""', 'b"', "c"]) == ['"a""\nb"', "c"]
+    # A quote that never closes, closes too late or closes to something broken costs its own line only.
+    assert texts(['"never', "closed"]) == ['"never', "closed"]
+    assert texts(['"a', "b", 'c"'], max_lines=2) == ['"a', "b", 'c"']
+    assert texts(['"a', 'b"c\td', '"e', 'f"']) == ['"a', 'b"c\td', '"e\nf"']
 
 
 @pytest.mark.parametrize(
