@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from strandlake.session import expected_splits
 from strandlake.tables import with_contig
 
-#: Width of a block of sites in positions (2**16), rows a split holds before it scatters them, and splits whose blocks one group of the first round sums.
-BLOCK_BITS, FLUSH_ROWS, FAN_IN = 16, 1 << 20, 64
+#: Widest and narrowest block of sites in positions (powers of 2), rows a split holds before it scatters them, and splits whose blocks one group of a round sums.
+WIDEST, NARROWEST, FLUSH_ROWS, FAN_IN = 20, 6, 1 << 20, 64
 
 _POS_BITS = 42
 _NULL_POS = -(1 << (_POS_BITS - 1))
@@ -197,12 +197,19 @@ def tree_shape(splits: int, fan_in: int = FAN_IN) -> tuple[int, int]:
     return parts, max(1, -(-splits // (parts * fan_in)))
 
 
-def key_statistics(variants: DataFrame, contigs: DataFrame, block_bits: int = BLOCK_BITS, flush_rows: int = FLUSH_ROWS, fan_in: int = FAN_IN, splits: int | None = None) -> DataFrame:
+def block_width(splits: int, fan_in: int = FAN_IN) -> int:
+    """Bits of a block of sites: the more rows there are, the narrower, so that a block has about as many rows at any size."""
+    return min(WIDEST, max(NARROWEST, WIDEST + (fan_in - 1).bit_length() - (max(1, splits) - 1).bit_length()))
+
+
+def key_statistics(variants: DataFrame, contigs: DataFrame, block_bits: int | None = None, flush_rows: int = FLUSH_ROWS, fan_in: int = FAN_IN, splits: int | None = None) -> DataFrame:
     """Rows (key_level, contig_name, contig_position, n_rows, mean_qual, n_samples): ``contig`` with position 0 for each contig, ``site`` for each (contig, position).
 
     qual_sum and qual_n, which the mean is of, are given too. splits: how many are expected; by default from the size of the input's files.
     """
-    parts, branches = tree_shape(splits or expected_splits(variants), fan_in)
+    splits = splits or expected_splits(variants)
+    parts, branches = tree_shape(splits, fan_in)
+    block_bits = block_width(splits) if block_bits is None else block_bits
     rows = with_contig(variants, contigs, "contig_name", "contig_id", out="_contig", code="_code").select(
         F.col("_code").cast("int").alias("code"), F.col("contig_position").cast("bigint").alias("position"), F.col("qual").cast("double").alias("qual"), F.col("sample_name").alias("sample")
     )

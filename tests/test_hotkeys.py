@@ -51,6 +51,7 @@ def test_no_group_of_the_tree_grows_with_splits_or_samples():
     splits, fan = 5000, H.FAN_IN
     parts, branches = H.tree_shape(splits, fan)
     assert -(-splits // (parts * branches)) <= fan and branches <= 2 * fan
+    assert [H.block_width(x) for x in (1, 64, 65, 1 << 20, 1 << 40)] == [20, 20, 19, 6, 6]
     names = [f"s{i}" for i in range(10_000)]
     rnd = np.random.default_rng(1)
     rounds = defaultdict(lambda: [0, 0])
