@@ -85,7 +85,7 @@ def qd(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rms_mq(spark: SparkSession, sf: str) -> DataFrame:
-    got = A.mapping_quality(_elements(spark, sf)).where("depth >= 2")
+    got = A.mapping_quality(_elements(spark, sf))
     return got.select("contig", "position", "depth", F.round("mq", 5).alias("mq"), "mq0", F.round("share_zero", 5).alias("share_zero"), F.round("share_low", 5).alias("share_low"))
 
 
@@ -167,7 +167,7 @@ ORACLES = {
     "allele_balance": f"""WITH {_GT}, b AS (SELECT contig, contig_position, gt[1] <> gt[2] AS het, ad[gt[1] + 1] AS a, ad[gt[2] + 1] AS b, list_sum(list_transform(ad, lambda x: coalesce(x, 0))) AS t FROM gts WHERE contig IS NOT NULL AND len(gt) = 2 AND ad IS NOT NULL)
         SELECT contig, contig_position, round(avg(CASE WHEN het AND a + b > 0 THEN a / (a + b) END) + 1e-9, 5) AS ab_het, round(avg(CASE WHEN NOT het THEN a / t END) + 1e-9, 5) AS ab_hom, round(avg((t - CASE WHEN het THEN a + b ELSE a END) / t) + 1e-9, 5) AS ond FROM b WHERE t > 0 AND a IS NOT NULL AND b IS NOT NULL GROUP BY ALL""",
     "qd": f"WITH {_GT} SELECT record_id, round(qual / dp + 1e-9, 5) AS qd FROM gts WHERE len(list_filter(gt, lambda x: x > 0)) > 0 AND qual IS NOT NULL AND dp > 0",
-    "rms_mq": f"WITH {_ELEMENTS} SELECT contig, position, count(*) AS depth, round(sqrt(avg(map_q * map_q)), 5) AS mq, count(*) FILTER (WHERE map_q = 0) AS mq0, round(count(*) FILTER (WHERE map_q = 0) / count(*), 5) AS share_zero, round(count(*) FILTER (WHERE map_q <= 10) / count(*), 5) AS share_low FROM els WHERE map_q IS NOT NULL AND map_q <> 255 AND NOT is_deletion GROUP BY contig, position HAVING count(*) >= 2",
+    "rms_mq": f"WITH {_ELEMENTS} SELECT contig, position, count(*) AS depth, round(sqrt(avg(map_q * map_q)), 5) AS mq, count(*) FILTER (WHERE map_q = 0) AS mq0, round(count(*) FILTER (WHERE map_q = 0) / count(*), 5) AS share_zero, round(count(*) FILTER (WHERE map_q <= 10) / count(*), 5) AS share_low FROM els WHERE map_q IS NOT NULL AND map_q <> 255 AND NOT is_deletion GROUP BY contig, position",
     "sor": f"""WITH {_ELEMENTS}, {_CONSENSUS}, {_STRANDS}, o AS (SELECT contig, position, alt, ref_forward + 1.0 AS a, ref_reverse + 1.0 AS b, alt_forward + 1.0 AS c, alt_reverse + 1.0 AS d FROM strands)
         SELECT contig, position, alt, round(ln(a * d / (b * c) + b * c / (a * d)) + ln(least(a, b) / greatest(a, b)) - ln(least(c, d) / greatest(c, d)), 6) AS sor FROM o""",
     "rank_sum_z": f"WITH {_ELEMENTS}, {_CONSENSUS}, {_STRANDS}, {_STATS} SELECT contig, position, statistic, n_ref, n_alt, CASE WHEN var_ > 0 THEN round((w - n_alt * (n_alt + 1) / 2 - n_alt * n_ref / 2) / sqrt(var_), 6) END AS z FROM va",

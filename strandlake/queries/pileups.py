@@ -14,16 +14,13 @@ from strandlake.queries.sqlparts import cigar_sum, contig_key, contigs
 from strandlake.session import spread
 from strandlake.tables import table
 
-#: Loci that more than one element covers.
-_DEEP = 2
-
 
 def _elements(spark: SparkSession, sf: str) -> DataFrame:
     return pileup.elements(*(table(spark, sf, n) for n in ("reads", "read_groups", "contigs")))
 
 
 def pileup_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return pileup.base_counts(_elements(spark, sf)).where(F.col("depth") + F.col("deletions") >= _DEEP)
+    return pileup.base_counts(_elements(spark, sf))
 
 
 def pileup_sample_depth(spark: SparkSession, sf: str) -> DataFrame:
@@ -48,7 +45,7 @@ def allele_fraction(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def quality_sums(spark: SparkSession, sf: str) -> DataFrame:
-    return pileup.quality_sums(_elements(spark, sf)).where(F.col("n") >= _DEEP)
+    return pileup.quality_sums(_elements(spark, sf))
 
 
 def fragment_overlaps(spark: SparkSession, sf: str) -> DataFrame:
@@ -64,7 +61,7 @@ def indel_alleles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pileup_strings(spark: SparkSession, sf: str) -> DataFrame:
-    return pileup.pileup_strings(_elements(spark, sf), min_depth=4)
+    return pileup.pileup_strings(_elements(spark, sf))
 
 
 def quality_filters(spark: SparkSession, sf: str) -> DataFrame:
@@ -111,7 +108,7 @@ def cigar_functions(spark: SparkSession, sf: str) -> DataFrame:
 
 def kmer_counts(spark: SparkSession, sf: str) -> DataFrame:
     rows = spread(table(spark, sf, "reads")).where("seq is not null").select(F.explode(B.kmers(F.upper("seq"), 8)).alias("kmer"))
-    return rows.groupBy("kmer").agg(F.count(F.lit(1)).alias("n")).where("n >= 4")
+    return rows.groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
 
 
 def nonunique_kmers(spark: SparkSession, sf: str) -> DataFrame:
@@ -139,6 +136,7 @@ def array_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return packed.select("read_group", "n", upper.alias("upper_median"), F.round(F.sqrt(F.col("sq") / F.col("n")), 6).alias("rms"))
 
 
+#: Parts that are read several times are made once, or DuckDB expands them anew for each reader.
 _ELEMENTS = f"""known AS ({contigs()}),
 pr AS (SELECT r.*, sample_name AS sample, cname AS contig, regexp_replace(read_name, '/[12]$', '') AS name, flag & 16 <> 0 AS is_reverse, CASE WHEN base_quals IN ('', '*') THEN NULL ELSE base_quals END AS quals,
     CAST(regexp_extract_all(cigar, '(\\d+)[MIDNSHP=X]', 1) AS BIGINT[]) AS lens, regexp_extract_all(cigar, '\\d+([MIDNSHP=X])', 1) AS ops
@@ -147,14 +145,14 @@ opr AS (SELECT *, unnest(range(1, len(ops) + 1)) AS i FROM pr),
 opp AS (SELECT *, ops[i] AS op, lens[i] AS l, contig_position + coalesce(list_sum(list_transform(range(1, i), lambda j: CASE WHEN ops[j] IN ('M', 'D', 'N', '=', 'X') THEN lens[j] ELSE 0 END)), 0) AS rf,
     coalesce(list_sum(list_transform(range(1, i), lambda j: CASE WHEN ops[j] IN ('M', 'I', 'S', '=', 'X') THEN lens[j] ELSE 0 END)), 0) AS off FROM opr),
 exl AS (SELECT *, unnest(range(0, CAST(l AS BIGINT))) AS o FROM opp WHERE op IN ('M', '=', 'X', 'D')),
-els AS (SELECT record_id, sample, contig, name, is_reverse, map_q, read_group, flag, length(seq) AS read_length, CAST(rf + o AS BIGINT) AS position, op = 'D' AS is_deletion, CASE WHEN op <> 'D' THEN upper(substr(seq, CAST(off + o + 1 AS BIGINT), 1)) END AS base,
+els AS MATERIALIZED (SELECT record_id, sample, contig, name, is_reverse, map_q, read_group, flag, length(seq) AS read_length, CAST(rf + o AS BIGINT) AS position, op = 'D' AS is_deletion, CASE WHEN op <> 'D' THEN upper(substr(seq, CAST(off + o + 1 AS BIGINT), 1)) END AS base,
     CASE WHEN op <> 'D' THEN ascii(substr(quals, CAST(off + o + 1 AS BIGINT), 1)) - 33 END AS qual, CASE WHEN op = 'D' THEN off - 1 ELSE off + o END AS read_offset,
     CASE WHEN op <> 'D' AND o = l - 1 AND ops[i + 1] IN ('I', 'D') THEN ops[i + 1] END AS next_op, CASE WHEN op <> 'D' AND o = l - 1 AND ops[i + 1] IN ('I', 'D') THEN lens[i + 1] END AS next_len,
     CASE WHEN op <> 'D' AND o = l - 1 AND ops[i + 1] = 'I' THEN substr(seq, CAST(off + o + 2 AS BIGINT), lens[i + 1]) END AS inserted FROM exl)"""
-_CONSENSUS = """cb AS (SELECT contig, position, base, count(*) AS n FROM els WHERE base IN ('A', 'C', 'G', 'T') GROUP BY ALL),
-cons AS (SELECT contig, position, base AS ref FROM (SELECT *, row_number() OVER (PARTITION BY contig, position ORDER BY n DESC, base) AS p FROM cb) WHERE p = 1)"""
-_STRANDS = """sb AS (SELECT contig, position, base, count(*) FILTER (WHERE NOT is_reverse) AS f, count(*) FILTER (WHERE is_reverse) AS r FROM els WHERE base IN ('A', 'C', 'G', 'T') GROUP BY ALL),
-alts AS (SELECT *, row_number() OVER (PARTITION BY contig, position ORDER BY f + r DESC, base) AS p FROM sb JOIN cons USING (contig, position) WHERE base <> ref),
+_CONSENSUS = """cb AS MATERIALIZED (SELECT contig, position, base, count(*) AS n FROM els WHERE base IN ('A', 'C', 'G', 'T') GROUP BY ALL),
+cons AS MATERIALIZED (SELECT contig, position, base AS ref FROM (SELECT *, row_number() OVER (PARTITION BY contig, position ORDER BY n DESC, base) AS p FROM cb) WHERE p = 1)"""
+_STRANDS = """sb AS MATERIALIZED (SELECT contig, position, base, count(*) FILTER (WHERE NOT is_reverse) AS f, count(*) FILTER (WHERE is_reverse) AS r FROM els WHERE base IN ('A', 'C', 'G', 'T') GROUP BY ALL),
+alts AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY contig, position ORDER BY f + r DESC, base) AS p FROM sb JOIN cons USING (contig, position) WHERE base <> ref),
 strands AS (SELECT a.contig, a.position, a.ref, a.base AS alt, coalesce(s.f, 0) AS ref_forward, coalesce(s.r, 0) AS ref_reverse, a.f AS alt_forward, a.r AS alt_reverse
     FROM alts a LEFT JOIN sb s ON s.contig = a.contig AND s.position = a.position AND s.base = a.ref WHERE p = 1)"""
 _RULES = {"all": "TRUE", "base_20": "is_deletion OR qual >= 20", "mapping_30": "map_q >= 30", "both": "map_q >= 30 AND (is_deletion OR qual >= 20)", "not_map_q_zero": "map_q > 0"}
@@ -172,17 +170,17 @@ QUERIES = {
 ORACLES = {
     "pileup_counts": f"WITH {_ELEMENTS} SELECT contig, position, count(*) FILTER (WHERE NOT is_deletion) AS depth, count(*) FILTER (WHERE is_deletion) AS deletions, "
     + ", ".join(f"count(*) FILTER (WHERE base = '{b}') AS n_{b.lower()}" for b in "ACGTN")
-    + ", count(*) FILTER (WHERE NOT is_deletion AND NOT is_reverse) AS forward, count(*) FILTER (WHERE NOT is_deletion AND is_reverse) AS reverse, count(*) FILTER (WHERE map_q = 0) AS map_q_zero, count(*) FILTER (WHERE next_op = 'I') AS insertions_follow, count(*) FILTER (WHERE next_op = 'D') AS deletions_follow FROM els GROUP BY contig, position HAVING count(*) >= 2",
+    + ", count(*) FILTER (WHERE NOT is_deletion AND NOT is_reverse) AS forward, count(*) FILTER (WHERE NOT is_deletion AND is_reverse) AS reverse, count(*) FILTER (WHERE map_q = 0) AS map_q_zero, count(*) FILTER (WHERE next_op = 'I') AS insertions_follow, count(*) FILTER (WHERE next_op = 'D') AS deletions_follow FROM els GROUP BY contig, position",
     "pileup_sample_depth": f"WITH {_ELEMENTS}, p AS (SELECT sample, is_reverse, contig, position, count(*) FILTER (WHERE NOT is_deletion) AS d, count(*) FILTER (WHERE is_deletion) AS x FROM els GROUP BY ALL) SELECT sample, is_reverse, count(*) AS n_positions, CAST(sum(d) AS BIGINT) AS n_bases, CAST(sum(x) AS BIGINT) AS n_deletions, max(d) AS max_depth FROM p GROUP BY ALL",
     "consensus_bases": f"WITH {_ELEMENTS}, {_CONSENSUS} SELECT contig, ref, count(*) AS n FROM cons GROUP BY ALL",
     "strand_table": f"WITH {_ELEMENTS}, {_CONSENSUS}, {_STRANDS} SELECT * FROM strands",
     "allele_fraction": f"WITH {_ELEMENTS}, {_CONSENSUS}, {_STRANDS} SELECT contig, position, ref, alt, round((alt_forward + alt_reverse) / (ref_forward + ref_reverse + alt_forward + alt_reverse), 6) AS fraction FROM strands",
-    "quality_sums": f"WITH {_ELEMENTS} SELECT contig, position, base, count(*) AS n, CAST(sum(qual) AS BIGINT) AS qual_sum FROM els WHERE base IS NOT NULL GROUP BY ALL HAVING count(*) >= 2",
+    "quality_sums": f"WITH {_ELEMENTS} SELECT contig, position, base, count(*) AS n, CAST(sum(qual) AS BIGINT) AS qual_sum FROM els WHERE base IS NOT NULL GROUP BY ALL",
     "fragment_overlaps": f"""WITH {_ELEMENTS}, g AS (SELECT contig, position, sample, name, count(*) AS n, count(DISTINCT coalesce(base, '-')) AS b FROM els GROUP BY ALL),
         t AS (SELECT contig, position, CAST(sum(n) AS BIGINT) AS plain, count(*) FILTER (WHERE b = 1) AS once FROM g GROUP BY ALL) SELECT * FROM t WHERE plain > 1 AND once <> plain""",
     "indel_alleles": f"""WITH {_ELEMENTS}, t AS (SELECT contig, position, CASE next_op WHEN 'I' THEN '+' || upper(inserted) WHEN 'D' THEN '-' || next_len END AS indel, is_deletion FROM els), d AS (SELECT contig, position, count(*) FILTER (WHERE NOT is_deletion) AS depth FROM t GROUP BY ALL),
         c AS (SELECT contig, position, indel, count(*) FILTER (WHERE NOT is_deletion) AS n FROM t WHERE indel IS NOT NULL GROUP BY ALL) SELECT contig, position, indel, n, depth FROM c JOIN d USING (contig, position) WHERE n >= 2 AND n >= 0.25 * depth""",
-    "pileup_strings": f"""WITH {_ELEMENTS} SELECT contig, position, CAST(0 AS INT) AS chunk, string_agg(CASE WHEN is_deletion THEN '*' WHEN is_reverse THEN lower(base) ELSE base END, '' ORDER BY record_id) AS bases, string_agg(chr(CAST(coalesce(qual, 0) + 33 AS INT)), '' ORDER BY record_id) AS quals FROM els GROUP BY contig, position HAVING count(*) >= 4""",
+    "pileup_strings": f"""WITH {_ELEMENTS} SELECT contig, position, CAST(0 AS INT) AS chunk, string_agg(CASE WHEN is_deletion THEN '*' WHEN is_reverse THEN lower(base) ELSE base END, '' ORDER BY record_id) AS bases, string_agg(chr(CAST(coalesce(qual, 0) + 33 AS INT)), '' ORDER BY record_id) AS quals FROM els GROUP BY contig, position""",
     "quality_filters": f"WITH {_ELEMENTS} " + " UNION ALL ".join(f"SELECT sample, count(*) AS n, '{k}' AS rule FROM els WHERE {w} GROUP BY sample" for k, w in _RULES.items()),
     "read_mismatches": f"WITH {_ELEMENTS}, {_CONSENSUS} SELECT record_id, count(*) AS mismatches, CAST(coalesce(sum(qual), 0) AS BIGINT) AS qual_sum FROM els JOIN cons USING (contig, position) WHERE base IN ('A', 'C', 'G', 'T') AND base <> ref GROUP BY record_id",
     "base_functions": f"""SELECT record_id, CAST(instr('ACGT', upper(substr(seq, 1, 1))) - 1 AS INT) AS first_index, upper(substr(seq, 1, 1)) IN ('A', 'C', 'G', 'T') AS first_regular, {_REVCOMP} AS revcomp, regexp_replace(seq, '[^ACGTNacgtn.*-]', 'N', 'g') AS cleaned,
@@ -192,7 +190,7 @@ ORACLES = {
     "cigar_functions": rf"""SELECT record_id, CAST({cigar_sum("MDN=X")} AS BIGINT) AS ref_len, CAST({cigar_sum("MIS=X")} AS BIGINT) AS read_len, CAST({cigar_sum("SH", r"regexp_extract(cigar, '^((\d+[SH])+)', 1)")} AS BIGINT) AS lead_clip,
         CAST({cigar_sum("SH", r"regexp_extract(cigar, '[^0-9SH]((\d+[SH])+)$', 1)")} AS BIGINT) AS trail_clip, CAST(len(regexp_extract_all(cigar, '\d+M')) AS INT) AS blocks, round({cigar_sum("S")} / {cigar_sum("MIDNSHP=X")}, 6) AS soft_share, CAST({cigar_sum("H")} AS BIGINT) AS hard_bases,
         list_aggregate(list_reverse(regexp_extract_all(cigar, '\d+[MIDNSHP=X]')), 'string_agg', '') AS inverted FROM reads WHERE cigar <> '*' AND cigar <> ''""",
-    "kmer_counts": "SELECT kmer, count(*) AS n FROM (SELECT unnest(list_transform(range(1, length(seq) - 6), lambda i: substr(upper(seq), i, 8))) AS kmer FROM reads WHERE length(seq) >= 8) GROUP BY kmer HAVING count(*) >= 4",
+    "kmer_counts": "SELECT kmer, count(*) AS n FROM (SELECT unnest(list_transform(range(1, length(seq) - 6), lambda i: substr(upper(seq), i, 8))) AS kmer FROM reads WHERE length(seq) >= 8) GROUP BY kmer",
     "nonunique_kmers": "SELECT record_id, kmer, count(*) AS n FROM (SELECT record_id, unnest(list_transform(range(1, length(seq) - 8), lambda i: substr(upper(seq), i, 10))) AS kmer FROM reads WHERE length(seq) >= 10) GROUP BY ALL HAVING count(*) > 1",
     "phred_functions": """SELECT DISTINCT map_q, round(pow(10, map_q / -10.0), 9) AS error, round(1 - pow(10, map_q / -10.0), 9) AS probability, round(map_q / -10.0, 6) AS error_log10, greatest(1, least(map_q, 93)) AS bounded, greatest(1, least(map_q, 93)) AS back,
         CASE WHEN map_q > 0 THEN round(log10(1 - pow(10, map_q / -10.0)), 9) END AS log10_one_minus, round(log10(pow(10, map_q / -10.0) + 0.1 + 0.01), 9) AS log10_sum, round(exp(-pow((map_q - 30.0) / 10.0, 2) / 2) / (10.0 * sqrt(2 * pi())), 9) AS density FROM reads WHERE map_q IS NOT NULL""",

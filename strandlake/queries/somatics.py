@@ -50,12 +50,12 @@ def downsample_by_start(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def genotype_gl(spark: SparkSession, sf: str) -> DataFrame:
-    gl = somatic.genotype_likelihoods(_elements(spark, sf)).where("depth >= 4")
+    gl = somatic.genotype_likelihoods(_elements(spark, sf))
     return gl.select("sample", "contig", "position", "depth", *(F.round(f"gl_{g}", 5).alias(f"gl_{g}") for g in somatic.GENOTYPES))
 
 
 def best_genotype(spark: SparkSession, sf: str) -> DataFrame:
-    got = somatic.best_genotype(somatic.genotype_likelihoods(_elements(spark, sf)).where("depth >= 4"))
+    got = somatic.best_genotype(somatic.genotype_likelihoods(_elements(spark, sf)))
     return got.select("sample", "contig", "position", "genotype", F.round("lead", 4).alias("lead"))
 
 
@@ -85,7 +85,7 @@ _ACT = f"""{_ELEMENTS}, {_CONSENSUS}, {_STRANDS}, act AS (SELECT contig, positio
 prof AS (SELECT contig, position + o AS position, CAST(sum(activity * w) AS BIGINT) AS activity FROM act, kern WHERE position + o >= 1 GROUP BY 1, 2)"""
 _SEG = """isl0 AS (SELECT *, CASE WHEN position = lag(position) OVER (PARTITION BY contig ORDER BY position) + 1 THEN 0 ELSE 1 END AS s FROM prof WHERE activity > 10000), isl1 AS (SELECT *, sum(s) OVER (PARTITION BY contig ORDER BY position) AS i FROM isl0),
 isl2 AS (SELECT *, (position - min(position) OVER (PARTITION BY contig, i)) // 300 AS part FROM isl1), seg AS (SELECT contig, min(position) AS start, max(position) AS stop, max(activity) AS activity FROM isl2 GROUP BY contig, i, part)"""
-_GL = "gl AS (SELECT sample, contig, position, count(*) AS depth, " + ", ".join(f"sum(log10(((CASE WHEN base = '{g[0]}' THEN 1 - e ELSE e / 3 END) + (CASE WHEN base = '{g[1]}' THEN 1 - e ELSE e / 3 END)) / 2)) AS gl_{g}" for g in somatic.GENOTYPES) + " FROM (SELECT *, pow(10, qual / -10.0) AS e FROM els WHERE base IN ('A', 'C', 'G', 'T') AND qual >= 5) GROUP BY sample, contig, position HAVING count(*) >= 4)"
+_GL = "gl AS (SELECT sample, contig, position, count(*) AS depth, " + ", ".join(f"sum(log10(((CASE WHEN base = '{g[0]}' THEN 1 - e ELSE e / 3 END) + (CASE WHEN base = '{g[1]}' THEN 1 - e ELSE e / 3 END)) / 2)) AS gl_{g}" for g in somatic.GENOTYPES) + " FROM (SELECT *, pow(10, qual / -10.0) AS e FROM els WHERE base IN ('A', 'C', 'G', 'T') AND qual >= 5) GROUP BY sample, contig, position)"
 
 
 def _ll(f: str) -> str:
