@@ -31,6 +31,14 @@ def slices(bases: DataFrame, size: int = SLICE) -> DataFrame:
     return packed.select("contig", "slice", filled(F.col("p.o"), F.col("p.b")).alias("seq"))
 
 
+def overlapping(refs: DataFrame, margin: int, size: int = SLICE) -> DataFrame:
+    """(contig, slice, seq) of slices that go on for ``margin`` positions into the next one; N where the reference has no slice."""
+    head = F.struct(F.col("slice").alias("slice"), F.col("seq").alias("own"), F.lit(None).cast("string").alias("next"))
+    tail = F.struct((F.col("slice") - 1).alias("slice"), F.lit(None).cast("string").alias("own"), F.left("seq", F.lit(margin)).alias("next"))
+    parts = refs.select("contig", F.inline(F.array(head, tail))).groupBy("contig", "slice").agg(F.max("own").alias("own"), F.max("next").alias("next"))
+    return parts.select("contig", "slice", F.concat(F.coalesce("own", F.lit("N" * size)), F.coalesce("next", F.lit("N" * margin))).alias("seq"))
+
+
 def bases(refs: DataFrame, size: int = SLICE) -> DataFrame:
     """(contig, position, ref) of slices, without N."""
     letters = refs.select("contig", "slice", F.posexplode(F.split("seq", "")).alias("o", "ref"))

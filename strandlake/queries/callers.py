@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 from strandlake.functions import cigar as C
 from strandlake.kernels import align
 from strandlake.operators import annotations, calling, pileup, reference, variants
-from strandlake.queries.pileups import _elements
+from strandlake.queries.pileups import _consensus
 from strandlake.queries.somatics import active_regions
 from strandlake.session import staged
 from strandlake.tables import table
 
 
 def _groups(spark: SparkSession, sf: str) -> DataFrame:
-    refs = staged(reference.slices(pileup.consensus(_elements(spark, sf))), "reference-slices")
+    refs = staged(reference.slices(_consensus(spark, sf)), "reference-slices")
     return calling.region_groups(staged(active_regions(spark, sf), "regions"), *(table(spark, sf, n) for n in ("reads", "read_groups", "contigs")), refs)
 
 
@@ -30,7 +30,7 @@ def region_calls(spark: SparkSession, sf: str) -> DataFrame:
 
 def alignment_quality(spark: SparkSession, sf: str) -> DataFrame:
     """Reads whose base qualities the alignment caps, and by how much in all."""
-    refs = reference.slices(pileup.consensus(_elements(spark, sf)))
+    refs = reference.slices(_consensus(spark, sf))
     rows = pileup.read_rows(*(table(spark, sf, n) for n in ("reads", "read_groups", "contigs"))).where("base_quals not in ('', '*') and seq not in ('', '*')")
     capped = calling.with_alignment_quality(rows.select("record_id", "contig", "contig_position", "cigar", "seq", "base_quals"), refs)
     return capped.where("baq <> base_quals").select("record_id", "baq")
@@ -49,7 +49,7 @@ def sw_align(spark: SparkSession, sf: str) -> DataFrame:
         found = [align.smith_waterman(r, s.upper(), align.REALIGN_COSTS) for r, s in zip(ref, seq, strict=True)]
         return pd.DataFrame([(o, align.cigar_text(ops), score) for o, ops, score in found], columns=["start", "cigar", "score"])
 
-    refs = reference.slices(pileup.consensus(_elements(spark, sf)))
+    refs = reference.slices(_consensus(spark, sf))
     rows = pileup.read_rows(*(table(spark, sf, n) for n in ("reads", "read_groups", "contigs"))).where("seq not in ('', '*') and cigar rlike '[ID]' and not cigar like '%N%'")
     rows = rows.select("record_id", "contig", "contig_position", "seq", (F.col("contig_position") + C.reference_length(F.col("cigar")) - 1).alias("end"))
     with_ref = reference.with_reference(rows, refs, "contig_position", "end", padding=10)

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.operators import annotations as A
-from strandlake.operators import pileup
+from strandlake.operators import pileup, tallies
 from strandlake.operators import variants as V
-from strandlake.queries.pileups import _CONSENSUS, _ELEMENTS, _STRANDS, _elements
+from strandlake.queries.pileups import _CONSENSUS, _ELEMENTS, _STRANDS, _counts, _elements
 from strandlake.queries.sqlparts import contig_key, contigs
 from strandlake.tables import table
 
@@ -90,22 +90,22 @@ def rms_mq(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sor(spark: SparkSession, sf: str) -> DataFrame:
-    t = pileup.strand_tables(_elements(spark, sf))
+    t = tallies.strand_tables(_counts(spark, sf))
     return t.select("contig", "position", "alt", F.round(A.strand_odds(*(F.col(c) for c in ("ref_forward", "ref_reverse", "alt_forward", "alt_reverse"))), 6).alias("sor"))
 
 
 def fisher_strand(spark: SparkSession, sf: str) -> DataFrame:
-    return A.with_strand_bias(pileup.strand_tables(_elements(spark, sf))).select("contig", "position", "alt", F.round("fs", 3).alias("fs"))
+    return A.with_strand_bias(tallies.strand_tables(_counts(spark, sf))).select("contig", "position", "alt", F.round("fs", 3).alias("fs"))
 
 
 def rank_sum_z(spark: SparkSession, sf: str) -> DataFrame:
     els = _elements(spark, sf)
-    sites = pileup.strand_tables(els).select("contig", "position", "ref", "alt")
+    sites = tallies.strand_tables(_counts(spark, sf)).select("contig", "position", "ref", "alt")
     return A.rank_sums(els, sites).withColumn("z", F.round("z", 6))
 
 
 def base_shares(spark: SparkSession, sf: str) -> DataFrame:
-    got = A.base_shares(pileup.base_counts(_elements(spark, sf)))
+    got = A.base_shares(tallies.base_counts(_counts(spark, sf)))
     return got.where("share_n > 0 or share_deleted > 0").withColumns({c: F.round(c, 6) for c in ("share_n", "share_deleted")})
 
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.operators import bins, matrix, pileup
+from strandlake.operators import bins, matrix, tallies
 from strandlake.queries.genome import _BINNED
-from strandlake.queries.pileups import _CONSENSUS, _ELEMENTS, _STRANDS, _elements
+from strandlake.queries.pileups import _CONSENSUS, _ELEMENTS, _STRANDS, _counts, _elements
 from strandlake.tables import table
 
 
@@ -39,7 +39,7 @@ def mate_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 def _matrix(spark: SparkSession, sf: str) -> DataFrame:
     els = _elements(spark, sf)
-    return matrix.from_elements(els, pileup.strand_tables(els))
+    return matrix.from_elements(els, tallies.strand_tables(_counts(spark, sf)))
 
 
 def likelihoods_normalized(spark: SparkSession, sf: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandlake.functions import bases as B
 from strandlake.functions import cigar as C
 from strandlake.functions import quality as Q
-from strandlake.operators import filters, pileup, reference
+from strandlake.operators import filters, pileup, reference, tallies
 from strandlake.queries.genome import _kept
 from strandlake.queries.sqlparts import cigar_sum, contig_key, contigs
 from strandlake.session import spread
@@ -19,8 +19,16 @@ def _elements(spark: SparkSession, sf: str) -> DataFrame:
     return pileup.elements(*(table(spark, sf, n) for n in ("reads", "read_groups", "contigs")))
 
 
+def _counts(spark: SparkSession, sf: str) -> DataFrame:
+    return tallies.position_counts(*(table(spark, sf, n) for n in ("reads", "read_groups", "contigs")))
+
+
+def _consensus(spark: SparkSession, sf: str) -> DataFrame:
+    return tallies.consensus(_counts(spark, sf))
+
+
 def pileup_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return pileup.base_counts(_elements(spark, sf))
+    return tallies.base_counts(_counts(spark, sf))
 
 
 def pileup_sample_depth(spark: SparkSession, sf: str) -> DataFrame:
@@ -31,11 +39,11 @@ def pileup_sample_depth(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def consensus_bases(spark: SparkSession, sf: str) -> DataFrame:
-    return pileup.consensus(_elements(spark, sf)).groupBy("contig", "ref").agg(F.count(F.lit(1)).alias("n"))
+    return _consensus(spark, sf).groupBy("contig", "ref").agg(F.count(F.lit(1)).alias("n"))
 
 
 def strand_table(spark: SparkSession, sf: str) -> DataFrame:
-    return pileup.strand_tables(_elements(spark, sf))
+    return tallies.strand_tables(_counts(spark, sf))
 
 
 def allele_fraction(spark: SparkSession, sf: str) -> DataFrame:
@@ -78,7 +86,7 @@ def quality_filters(spark: SparkSession, sf: str) -> DataFrame:
 def read_mismatches(spark: SparkSession, sf: str) -> DataFrame:
     """Mismatches with the consensus and the sum of their qualities, per read that has any."""
     els = _elements(spark, sf)
-    per = els.join(pileup.consensus(els), pileup.LOCUS).where(F.col("base").isin("A", "C", "G", "T") & (F.col("base") != F.col("ref")))
+    per = els.join(_consensus(spark, sf), pileup.LOCUS).where(F.col("base").isin("A", "C", "G", "T") & (F.col("base") != F.col("ref")))
     return per.groupBy("record_id").agg(F.count(F.lit(1)).alias("mismatches"), F.coalesce(F.sum("qual"), F.lit(0)).alias("qual_sum"))
 
 
@@ -86,7 +94,7 @@ def reference_windows(spark: SparkSession, sf: str) -> DataFrame:
     """The reference that each read covers, with 5 bases around it, from slices of the consensus."""
     rows = pileup.read_rows(*(table(spark, sf, n) for n in ("reads", "read_groups", "contigs"))).select("record_id", "contig", "contig_position", "cigar")
     rows = rows.withColumn("end", F.col("contig_position") + C.reference_length(F.col("cigar")) - 1)
-    refs = reference.slices(pileup.consensus(_elements(spark, sf)))
+    refs = reference.slices(_consensus(spark, sf))
     return reference.with_reference(rows, refs, "contig_position", "end", padding=5).select("record_id", "ref_start", "ref_seq")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.operators import clipping, pileup, reference
-from strandlake.queries.pileups import _elements
+from strandlake.queries.pileups import _consensus
 from strandlake.queries.somatics import event_targets
 from strandlake.session import staged
 from strandlake.tables import table
@@ -32,7 +32,7 @@ def mended_mates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def realigned_reads(spark: SparkSession, sf: str) -> DataFrame:
-    refs = staged(reference.slices(pileup.consensus(_elements(spark, sf))), "reference-slices")
+    refs = staged(reference.slices(_consensus(spark, sf)), "reference-slices")
     return clipping.realigned(staged(event_targets(spark, sf), "targets"), *_tables(spark, sf), refs)
 
 

@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.operators import periods, pileup, recal, regions, somatic
-from strandlake.queries.pileups import _CONSENSUS, _ELEMENTS, _STRANDS, _elements
+from strandlake.operators import periods, recal, regions, somatic, tallies
+from strandlake.queries.pileups import _CONSENSUS, _ELEMENTS, _STRANDS, _consensus, _counts, _elements
 from strandlake.queries.sqlparts import contig_key
 from strandlake.tables import table
 
@@ -19,7 +19,7 @@ def event_targets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _activity(spark: SparkSession, sf: str) -> DataFrame:
-    t = pileup.strand_tables(_elements(spark, sf))
+    t = tallies.strand_tables(_counts(spark, sf))
     alt = F.col("alt_forward") + F.col("alt_reverse")
     return t.where(alt >= 2).select("contig", "position", alt.alias("activity"))
 
@@ -35,7 +35,7 @@ def activity_segments(spark: SparkSession, sf: str) -> DataFrame:
 def active_regions(spark: SparkSession, sf: str) -> DataFrame:
     """Regions by likelihoods, for what has no SQL; ``activity_segments`` counts mismatches as its SQL does."""
     els = _elements(spark, sf)
-    return regions.regions(regions.smoothed(regions.activity(els, pileup.consensus(els))), threshold=10_000)
+    return regions.regions(regions.smoothed(regions.activity(els, _consensus(spark, sf))), threshold=10_000)
 
 
 def active_region_reads(spark: SparkSession, sf: str) -> DataFrame:
@@ -62,7 +62,7 @@ def best_genotype(spark: SparkSession, sf: str) -> DataFrame:
 def _candidates(spark: SparkSession, sf: str) -> DataFrame:
     els = _elements(spark, sf)
     first = table(spark, sf, "read_groups").agg(F.min("sample_name").alias("m")).collect()[0]["m"]  # one value
-    return somatic.candidates(els, pileup.consensus(els), F.col("sample") != first, F.col("sample") == first)
+    return somatic.candidates(els, _consensus(spark, sf), F.col("sample") != first, F.col("sample") == first)
 
 
 def somatic_lod(spark: SparkSession, sf: str) -> DataFrame:
