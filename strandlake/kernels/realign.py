@@ -7,8 +7,8 @@ import numpy as np
 from strandlake.kernels.align import compact
 from strandlake.kernels.reads import Read, columns
 
-#: Improvement (in tens of phred) that a consensus needs, how far a read may move, and mismatch quality beyond the consensus.
-MIN_LOD, MAX_MOVE, BEYOND = 5.0, 200, 99
+#: Improvement (in tens of phred) that a consensus needs, and mismatch quality beyond the consensus.
+MIN_LOD, BEYOND = 5.0, 99
 
 
 def indel_of(read: Read) -> tuple[int, int, str] | None:
@@ -59,6 +59,15 @@ def raw_mismatches(read: Read, ref: str, ref_start: int) -> int:
     return total
 
 
+def best_place(read: Read, target: str, ref_start: int) -> tuple[int, int]:
+    """(offset, mismatching qualities) of the best place of a read on the whole consensus; of equal ones the nearest to where it is, then the first."""
+    near = read.start - ref_start
+    offsets = np.arange(0, max(0, len(target) - len(read.seq)) + 1)
+    sums = mismatch_sums(read.seq, read.quals, target, offsets)
+    at = int(np.lexsort((np.abs(offsets - near), sums))[0])
+    return int(offsets[at]), int(sums[at])
+
+
 def placed(offset: int, length: int, event: tuple[int, int, str], ref_start: int) -> tuple[int, tuple[tuple[str, int], ...]]:
     """Start and CIGAR of a read at an offset of the consensus."""
     after, gone, new = event
@@ -93,16 +102,10 @@ def realigned(reads: list[Read], ref: str, ref_start: int, known: list[tuple[int
         for i, r in enumerate(plain):
             if r is None or not raw[i]:
                 continue
-            near = r.start - ref_start
-            offsets = np.arange(max(0, near - MAX_MOVE), min(len(target) - len(r.seq), near + MAX_MOVE) + 1)
-            if not len(offsets):
-                continue
-            sums = mismatch_sums(r.seq, r.quals, target, offsets)
-            # Of equally good places the one nearest to where the read is.
-            at = int(np.lexsort((np.abs(offsets - near), sums))[0])
-            if sums[at] < raw[i]:
-                gain += raw[i] - int(sums[at])
-                start, ops = placed(int(offsets[at]), len(r.seq), event, ref_start)
+            offset, cost = best_place(r, target, ref_start)
+            if cost < raw[i]:
+                gain += raw[i] - cost
+                start, ops = placed(offset, len(r.seq), event, ref_start)
                 changed[i] = Read(start, ops, r.seq, r.quals)
         if gain / 10 > best[0]:
             best = (gain / 10, changed)

@@ -1,4 +1,4 @@
-"""Cutting of reads, mending of overlapping mates and realignment of targets: per read, per pair, and per bounded group."""
+"""Cutting of reads and mending of overlapping mates: per read and per pair."""
 
 from __future__ import annotations
 
@@ -9,13 +9,11 @@ from pyspark.sql import functions as F
 from strandlake import tables as t
 from strandlake.functions import cigar as C
 from strandlake.kernels import reads as R
-from strandlake.kernels import realign as A
-from strandlake.operators import intervals, pileup, reference, regions
+from strandlake.operators import pileup
 
 #: Fixed value: qualities up to this are cut from the ends.
 LOW_ENDS = 9
 _CUT = "struct<start:bigint,cigar:string,seq:string,base_quals:string>"
-_CHANGED = "contig string, start bigint, record_id bigint, new_position bigint, new_cigar string, lod double"
 
 
 def finalized(rows: DataFrame, low: int = LOW_ENDS, keep_soft_clips: bool = False) -> DataFrame:
@@ -72,24 +70,15 @@ def mended_mates(rows: DataFrame, cap: int = 20) -> DataFrame:
     return mended.select(F.inline(F.array(F.struct(F.col("record_id1").alias("record_id"), F.col("q.a").alias("base_quals")), F.struct(F.col("record_id2").alias("record_id"), F.col("q.b").alias("base_quals")))))
 
 
-def realigned(targets: DataFrame, reads: DataFrame, read_groups: DataFrame, contigs: DataFrame, refs: DataFrame, padding: int = 30, per_start: int = 20) -> DataFrame:
-    """(contig, start, record_id, new_position, new_cigar, lod) of reads that the best indel consensus of a target aligns better.
+def ready_for_calling(reads: DataFrame, read_groups: DataFrame, contigs: DataFrame, low: int = LOW_ENDS) -> DataFrame:
+    """Reads as assembly and likelihoods take them: overlapping mates mended, then cut as ``finalized`` does; reads of which nothing is left go.
 
-    A target has at most 500 positions and its reads are capped per start (an option), so a group is bounded.
+    Reads without CIGAR, sequence or qualities stay as they are.
     """
-    rows = pileup.read_rows(reads, read_groups, contigs, "do_not_realign").where("seq not in ('', '*') and length(seq) = length(base_quals)")
-    rows = rows.where(C.read_length(F.col("cigar")) == F.length("seq"))
-    rows = regions.capped_by_start(rows.select("record_id", "contig", F.col("contig_position").cast("bigint").alias("a"), (F.col("contig_position") + C.reference_length(F.col("cigar")) - 1).alias("b"), "cigar", "seq", "base_quals"), ["contig", "a"], per_start)
-    keyed = targets.select("contig", "start", "stop").withColumn("target", F.concat_ws(":", "contig", "start"))
-    with_ref = reference.with_reference(keyed, refs, "start", "stop", key="target", padding=padding + 200)
-    groups = intervals.range_join(with_ref, rows, ["contig"], "start", "stop", "a", "b", width=1 << 12)
-
-    def per_target(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("record_id").reset_index(drop=True)
-        first = pdf.iloc[0]
-        held = [R.Read.of(int(a), c, s.upper(), q) for a, c, s, q in zip(pdf.a, pdf.cigar, pdf.seq, pdf.base_quals, strict=True)]
-        lod, changed = A.realigned(held, first.ref_seq, int(first.ref_start))
-        out = [(first.contig, first.start, int(pdf.record_id[i]), r.start, r.cigar, lod) for i, r in changed.items() if (r.start, r.cigar) != (held[i].start, held[i].cigar)]
-        return pd.DataFrame(out, columns=["contig", "start", "record_id", "new_position", "new_cigar", "lod"])
-
-    return groups.groupBy("contig", "start").applyInPandas(per_target, _CHANGED)
+    placed = pileup.read_rows(reads, read_groups, contigs, "active_region").where("seq not in ('', '*') and base_quals not in ('', '*')")
+    mended = mended_mates(placed).groupBy(F.col("record_id").alias("_id")).agg(F.min("base_quals").alias("_mended"))
+    joined = reads.join(mended, reads["record_id"] == mended["_id"], "left").withColumn("base_quals", F.coalesce("_mended", "base_quals")).drop("_id", "_mended")
+    sound = F.coalesce(F.expr("cigar not in ('', '*') and seq not in ('', '*') and base_quals not in ('', '*') and contig_position >= 1"), F.lit(False))
+    cut = finalized(joined.where(sound), low).where("length(cut.seq) > 0")
+    cut = cut.withColumns({"contig_position": F.col("cut.start").cast("int"), "cigar": F.col("cut.cigar"), "seq": F.col("cut.seq"), "base_quals": F.col("cut.base_quals")}).select(*reads.columns)
+    return cut.unionByName(joined.where(~sound).select(*reads.columns))

@@ -13,6 +13,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandlake.functions import cigar as C
 from strandlake.kernels import columns as K2
@@ -234,17 +235,19 @@ def _shifts(table: pa.Table, max_cycle: int) -> tuple[float, np.ndarray, np.ndar
 
 
 def recalibrated(reads: DataFrame, estimated: DataFrame, max_cycle: int = MAX_CYCLE, block: int = 50_000) -> DataFrame:
-    """(record_id, old_quals, base_quals) of reads: the shifts of read group, quality, context and cycle added up for each base; qualities under ``MIN_QUALITY`` stay.
+    """The reads with new ``base_quals`` and the old ones as ``old_quals``: the shifts of read group, quality, context and cycle added up for each base; qualities under ``MIN_QUALITY`` stay.
 
-    reads: record_id, read_group, flag, seq, base_quals; those without one of them, or with texts of two lengths, aren't changed and don't come out. The tables of a read group
+    Reads without a read group, sequence or qualities, or with texts of two lengths, come out as they are. The tables of a read group
     meet its reads in blocks of about ``block``, so neither a large group nor many groups are gathered or sent to all tasks.
     """
     flag = lambda bit: F.col("flag").bitwiseAND(bit) != 0
-    rows = reads.where("read_group is not null and seq not in ('', '*') and base_quals not in ('', '*') and length(seq) = length(base_quals)")
-    rows = rows.select("record_id", "read_group", flag(FLAG_REVERSE).alias("is_reverse"), (flag(FLAG_PAIRED) & flag(FLAG_SECOND)).alias("is_second"), "seq", "base_quals")
-    sizes = rows.groupBy("read_group").agg(F.expr(f"(count(1) + {block - 1}) div {block}").alias("_blocks"))
-    parts = rows.join(sizes, "read_group").withColumn("_block", F.pmod(F.xxhash64("record_id", "seq"), F.col("_blocks"))).drop("_blocks")
-    copies = estimated.select("read_group", "level", "qual", "covariate", "value", "reported", "empirical").join(sizes, "read_group").withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1))).drop("_blocks")
+    sound = F.coalesce(F.expr("read_group is not null and seq not in ('', '*') and base_quals not in ('', '*') and length(seq) = length(base_quals)"), F.lit(False))
+    rows = reads.where(sound).withColumns({"_reverse": F.coalesce(flag(FLAG_REVERSE), F.lit(False)), "_second": F.coalesce(flag(FLAG_PAIRED) & flag(FLAG_SECOND), F.lit(False))})
+    sizes = rows.groupBy(F.col("read_group").alias("_group")).agg(F.expr(f"(count(1) + {block - 1}) div {block}").alias("_blocks"))
+    parts = rows.join(sizes, F.col("read_group") == F.col("_group")).withColumn("_block", F.pmod(F.xxhash64("record_id", "seq"), F.col("_blocks"))).drop("_blocks")
+    copies = estimated.select(F.col("read_group").alias("_group"), "level", "qual", "covariate", "value", "reported", "empirical").join(sizes, "_group").withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1))).drop("_blocks")
+
+    names = reads.columns
 
     def applied(left: pa.Table, right: pa.Table) -> pa.Table:
         left = left.combine_chunks()
@@ -253,7 +256,7 @@ def recalibrated(reads: DataFrame, estimated: DataFrame, max_cycle: int = MAX_CY
         if not old:
             new: list[str] = []
         else:
-            batch = _Reads(left.column("seq").to_pylist(), old, get("is_reverse").astype(bool), get("is_second").astype(bool))
+            batch = _Reads(left.column("seq").to_pylist(), old, get("_reverse").astype(bool), get("_second").astype(bool))
             read = np.repeat(np.arange(len(old)), batch.size)
             offset = np.arange(len(read)) - np.repeat(batch.quals[1], batch.size)
             quality = batch.quality(read, offset)
@@ -265,10 +268,13 @@ def recalibrated(reads: DataFrame, estimated: DataFrame, max_cycle: int = MAX_CY
             total = np.clip(np.floor(here + more[0] + more[1] + 0.5), 1, K.MAX_REPORTED)
             text = (np.where(quality < MIN_QUALITY, quality, total).astype(np.uint8) + 33).tobytes().decode("latin-1")
             new = [text[b : b + n] for b, n in zip(batch.quals[1].tolist(), batch.size.tolist(), strict=True)]
-        return pa.table({"record_id": left.column("record_id"), "old_quals": pa.array(old, pa.string()), "base_quals": pa.array(new, pa.string())})
+        out = left.select(names)
+        return out.set_column(out.schema.get_field_index("base_quals"), "base_quals", pa.array(new, pa.string())).append_column("old_quals", pa.array(old, pa.string()))
 
-    key = ["read_group", "_block"]
-    return parts.groupBy(*key).cogroup(copies.groupBy(*key)).applyInArrow(applied, "record_id bigint, old_quals string, base_quals string")
+    schema = T.StructType([*reads.schema.fields, T.StructField("old_quals", T.StringType())])
+    key = ["_group", "_block"]
+    done = parts.groupBy(*key).cogroup(copies.groupBy(*key)).applyInArrow(applied, schema)
+    return done.unionByName(reads.where(~sound).withColumn("old_quals", F.col("base_quals")))
 
 
 def recalibration(rows: DataFrame) -> tuple[DataFrame, DataFrame]:

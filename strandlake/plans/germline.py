@@ -1,29 +1,40 @@
-"""The germline path as a plan: filter, remove duplicates, recalibrate, find active regions, call."""
+"""The germline path as a plan: remove duplicates, realign, recalibrate, cut reads, find active regions, call. Each stage's output is read by a later one."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlake.operators import calling, dedup, pileup, recal, reference, regions
+from strandlake.operators import calling, clipping, dedup, pileup, realignment, recal, reference, regions, tallies
 from strandlake.plans.stages import Plan, Stage
 from strandlake.session import staged
 
 INPUTS = ("reads", "read_groups", "contigs", "variants")
+_PLACES = ("read_groups", "contigs")
 
 
 def germline(spark: SparkSession, tables: dict[str, DataFrame], threshold: int = 10_000) -> Plan:
-    """A plan over reads, read_groups, contigs and variants (known sites). A reference may be given as ``reference`` slices; else it is the consensus."""
+    """A plan over reads, read_groups, contigs and variants (known sites). A reference may be given as ``reference`` slices; else it is the consensus of the unique reads."""
     plan = Plan(spark, tables)
-    plan.add(Stage("remove_duplicates", ("reads", "read_groups", "contigs"), ("unique_reads",), lambda r, g, c: staged(dedup.deduplicated(r, g, c).drop("_sample", "_contig", "_code"), "unique-reads"), fusible=False))
-    plan.add(Stage("pile_up", ("unique_reads", "read_groups", "contigs"), ("elements",), pileup.elements))
+
+    def stage(name: str, inputs: tuple[str, ...], output: str, run, keep: bool = False) -> None:
+        plan.add(Stage(name, inputs, (output,), (lambda *t: staged(run(*t), name.replace("_", "-"))) if keep else run, fusible=not keep))
+
+    stage("remove_duplicates", ("reads", *_PLACES), "unique_reads", lambda r, g, c: dedup.deduplicated(r, g, c).select(*r.columns), keep=True)
     if "reference" not in tables:
-        plan.add(Stage("take_consensus", ("elements",), ("reference",), lambda e: staged(reference.slices(pileup.consensus(e)), "reference-slices"), fusible=False))
-    plan.add(Stage("find_known_sites", ("variants",), ("known_sites",), recal.known_sites))
-    plan.add(Stage("count_covariates", ("unique_reads", "read_groups", "contigs", "reference", "known_sites"), ("covariate_bases",), recal.covariate_bases))
-    plan.add(Stage("estimate_qualities", ("covariate_bases",), ("recal_counts", "recal_tables"), recal.recalibration, fusible=False))
-    plan.add(Stage("score_activity", ("elements", "reference"), ("activity",), lambda e, r: regions.activity(e, reference.bases(r))))
-    plan.add(Stage("smooth_activity", ("activity",), ("profile",), regions.smoothed))
-    plan.add(Stage("cut_regions", ("profile",), ("regions",), lambda p: staged(regions.regions(p, threshold), "regions"), fusible=False))
-    plan.add(Stage("gather_regions", ("regions", "unique_reads", "read_groups", "contigs", "reference"), ("region_groups",), calling.region_groups))
+        stage("take_consensus", ("unique_reads", *_PLACES), "reference", lambda r, g, c: reference.slices(tallies.consensus(tallies.position_counts(r, g, c))), keep=True)
+    stage("find_targets", ("unique_reads", *_PLACES, "variants"), "targets", lambda r, g, c, v: regions.targets(regions.indel_events(pileup.elements(r, g, c), v)), keep=True)
+    stage("realign", ("targets", "unique_reads", *_PLACES, "reference", "variants"), "moves", realignment.realigned)
+    stage("move_reads", ("unique_reads", "moves"), "realigned_reads", realignment.with_moves, keep=True)
+    stage("find_known_sites", ("variants",), "known_sites", recal.known_sites)
+    stage("meet_reference", ("realigned_reads", *_PLACES, "reference", "known_sites"), "reads_on_reference", recal.reads_on_reference)
+    stage("count_covariates", ("reads_on_reference",), "recal_counts", recal.counted, keep=True)
+    stage("estimate_qualities", ("recal_counts",), "recal_tables", lambda n: recal.with_empirical(recal.tables(n)), keep=True)
+    stage("recalibrate", ("realigned_reads", "recal_tables"), "recalibrated_reads", lambda r, t: recal.recalibrated(r, t).drop("old_quals"), keep=True)
+    stage("pile_up", ("recalibrated_reads", *_PLACES), "elements", pileup.elements)
+    stage("score_activity", ("elements", "reference"), "activity", lambda e, r: regions.activity(e, reference.bases(r)))
+    stage("smooth_activity", ("activity",), "profile", regions.smoothed)
+    stage("cut_regions", ("profile",), "regions", lambda p: regions.regions(p, threshold), keep=True)
+    stage("cut_reads", ("recalibrated_reads", *_PLACES), "calling_reads", clipping.ready_for_calling, keep=True)
+    stage("gather_regions", ("regions", "calling_reads", *_PLACES, "reference"), "region_groups", calling.region_groups)
     plan.add(Stage("call", ("region_groups",), ("calls",), calling.called, fusible=False))
     return plan

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandlake.operators import rejects
 from strandlake.plans.germline import germline
+from strandlake.queries.genome import _DEDUP
 from strandlake.queries.sqlparts import contig_key
 from strandlake.session import new_path
 from strandlake.sources import fastq, sinks, text
@@ -61,6 +62,17 @@ def germline_plan(spark: SparkSession, sf: str) -> DataFrame:
     return plan.run()["calls"]
 
 
+def germline_reads(spark: SparkSession, sf: str) -> DataFrame:
+    """Reads, bases and sound quality texts that come out of each stage of the germline plan that changes reads; none may lose or gain a read or a base."""
+    tables = germline(spark, {n: table(spark, sf, n) for n in ("reads", "read_groups", "contigs", "variants")}).run(until="recalibrated_reads")
+    per = []
+    for name in ("unique_reads", "realigned_reads", "recalibrated_reads"):
+        sound = F.count_if((F.length("base_quals") == F.length("seq")) & ~F.col("base_quals").isin("", "*"))
+        rows = tables[name].agg(F.count(F.lit(1)).alias("n_reads"), F.sum(F.length("seq")).alias("n_bases"), F.sum("record_id").alias("ids"), sound.alias("with_quals"))
+        per.append(rows.withColumn("stage", F.lit(name)))
+    return per[0].unionByName(per[1]).unionByName(per[2]).select("stage", "n_reads", "n_bases", "ids", "with_quals")
+
+
 def stage_topology(spark: SparkSession, sf: str) -> DataFrame:
     """The order of the germline plan's stages and the chains it can run as one."""
     plan = germline(spark, {n: table(spark, sf, n) for n in ("reads", "read_groups", "contigs", "variants")})
@@ -75,9 +87,13 @@ def _star(c: str) -> str:
 _MATE = f"CASE WHEN mate_contig_name = '=' THEN '=' WHEN ({contig_key('mate_contig_name')}) = ({contig_key('contig_name')}) THEN '=' ELSE {_star('mate_contig_name')} END"
 _QUAL = "CASE WHEN qual IS NULL THEN '.' ELSE regexp_replace(printf('%.2f', qual), '\\.00$', '') END"
 
-QUERIES = {f.__name__: f for f in (sam_lines, sam_round_trip, vcf_lines, vcf_round_trip, fastq_round_trip, events_windows, events_sessions, germline_plan, stage_topology)}
+QUERIES = {f.__name__: f for f in (sam_lines, sam_round_trip, vcf_lines, vcf_round_trip, fastq_round_trip, events_windows, events_sessions, germline_plan, germline_reads, stage_topology)}
+
+_STAGES = " UNION ALL ".join(f"SELECT '{x}' AS stage" for x in ("unique_reads", "realigned_reads", "recalibrated_reads"))
 
 ORACLES = {
+    "germline_reads": f"""WITH {_DEDUP}, u AS (SELECT count(*) AS n_reads, CAST(sum(length(seq)) AS BIGINT) AS n_bases, CAST(sum(record_id) AS BIGINT) AS ids, count(*) FILTER (WHERE length(seq) = length(base_quals) AND base_quals NOT IN ('', '*')) AS with_quals FROM reads SEMI JOIN finally USING (record_id))
+        SELECT stage, n_reads, n_bases, ids, with_quals FROM u, ({_STAGES})""",
     "sam_lines": f"""SELECT record_id, concat_ws(chr(9), {_star('read_name')}, coalesce(flag, 0), {_star('contig_name')}, coalesce(contig_position, 0), coalesce(map_q, 255), {_star('cigar')}, {_MATE}, coalesce(mate_position, 0), coalesce(inferred_size, 0), {_star('seq')}, {_star('base_quals')},
         CASE WHEN len(attributes) > 0 THEN array_to_string(attributes, chr(9)) END) AS line FROM reads""",
     "sam_round_trip": f"SELECT {_star('read_name')} AS read_name, coalesce(flag, 0) AS flag, {_star('contig_name')} AS contig_name, coalesce(contig_position, 0) AS contig_position, coalesce(map_q, 255) AS map_q, {_star('cigar')} AS cigar, coalesce(mate_position, 0) AS mate_position, coalesce(inferred_size, 0) AS inferred_size, {_star('seq')} AS seq, {_star('base_quals')} AS base_quals, CAST(coalesce(len(attributes), 0) AS INT) AS n_tags FROM reads",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.operators import clipping, pileup, reference
+from strandlake.operators import clipping, pileup, realignment, reference
 from strandlake.queries.pileups import _consensus
 from strandlake.queries.somatics import event_targets
 from strandlake.session import staged
@@ -33,7 +33,7 @@ def mended_mates(spark: SparkSession, sf: str) -> DataFrame:
 
 def realigned_reads(spark: SparkSession, sf: str) -> DataFrame:
     refs = staged(reference.slices(_consensus(spark, sf)), "reference-slices")
-    return clipping.realigned(staged(event_targets(spark, sf), "targets"), *_tables(spark, sf), refs)
+    return realignment.realigned(staged(event_targets(spark, sf), "targets"), *_tables(spark, sf), refs, table(spark, sf, "variants"))
 
 
 QUERIES = {f.__name__: f for f in (finalized_reads, reverted_clips, mended_mates, realigned_reads)}

@@ -112,3 +112,64 @@ def test_realignment():
         for i, p in enumerate(places(read)):
             assert p is None or ref[p - 1000] == read.seq[i]
     assert A.realigned([shown], ref, 1000) == (0.0, {}) or not A.realigned([shown], ref, 1000)[1]
+
+
+def test_block_wise_realignment_equals_one_group(spark):
+    """The same moves as scoring all reads of a target at once, for any size of block, with a known indel that no read shows and with a deep start."""
+    import random
+
+    from strandlake.kernels import realign as A
+    from strandlake.kernels import reads as K
+    from strandlake.operators import realignment, reference
+
+    rnd = random.Random(11)
+    ref = "".join(rnd.choice("ACGT") for _ in range(900))
+    rows, held = [], {}
+    for i in range(160):
+        site, gone = (400, 3) if i % 2 else (620, 2)
+        start = 350 + 7 if i % 5 == 0 else rnd.randint(site - 45, site - 10)
+        sample = ref[: site] + ref[site + gone :]
+        seq, cigar = sample[start - 1 : start + 49], "50M"
+        if site == 400 and i % 3 == 0 and site - start > 5:
+            cigar = f"{site - start + 1}M{gone}D{50 - (site - start + 1)}M"
+        if i % 4 == 0:
+            seq = ref[start - 1 : start + 49]
+            cigar = "50M"
+        rows.append((i, f"r{i}", 0, 0, "1", start, 60, cigar, None, None, None, seq, "I" * 50, ["NM:i:3", "XX:i:1"], "g"))
+        held[i] = K.Read.of(start, cigar, seq, "I" * 50)
+    reads = spark.createDataFrame(rows, "record_id bigint, read_name string, flag int, contig_id int, contig_name string, contig_position int, map_q int, cigar string, mate_contig_name string, mate_position int, inferred_size int, seq string, base_quals string, attributes array<string>, read_group string")
+    groups = spark.createDataFrame([("g", "s")], "read_group string, sample_name string")
+    contigs = spark.createDataFrame([(0, "1", 900)], "contig_id int, contig_name string, contig_length bigint")
+    refs = reference.slices(spark.createDataFrame([("1", i + 1, b) for i, b in enumerate(ref)], "contig string, position bigint, ref string"))
+    targets = spark.createDataFrame([("1", 395, 410), ("1", 615, 630)], "contig string, start bigint, stop bigint")
+    variants = spark.createDataFrame([("chr1", 620, ref[619:622], ref[619]), ("1", 5, "A", "<DEL>"), ("1", None, None, None)], "contig_name string, contig_position int, ref_allele string, alt string")
+    expected = {}
+    for start, stop, known in ((395, 410, []), (615, 630, [(620, 2, "")])):
+        near = {i: r for i, r in held.items() if r.start <= stop and r.end >= start}
+        lo = max(1, start - 230)
+        window = ref[lo - 1 : min(900, stop + 230)] + "N" * max(0, stop + 230 - 900)
+        lod, changed = A.realigned(list(near.values()), window, lo, known)
+        ids = list(near)
+        expected |= {(start, ids[k]): (r.start, r.cigar, lod) for k, r in changed.items() if (r.start, r.cigar) != (near[ids[k]].start, near[ids[k]].cigar)}
+    assert len({s for s, _ in expected}) == 2
+    for block in (7, 512):
+        got = realignment.realigned(targets, reads, groups, contigs, refs, variants, block=block, entropy=False)
+        assert {(r.start, r.record_id): (r.new_position, r.new_cigar, r.lod) for r in got.collect()} == expected
+    cleaned = realignment.realigned(targets, reads, groups, contigs, refs, variants, block=16)
+    assert {(r.start, r.record_id) for r in cleaned.collect()} == set(expected)
+    moved = {r.record_id: r for r in realignment.with_moves(reads, cleaned).collect()}
+    assert len(moved) == len(rows)
+    for (_, i), (start, cigar, _) in expected.items():
+        assert (moved[i].contig_position, moved[i].cigar, moved[i].map_q, moved[i].attributes) == (start, cigar, 70, ["XX:i:1"])
+    assert realignment.realigned(targets, reads.limit(0), groups, contigs, refs, variants).count() == 0
+
+
+def test_every_stage_of_the_germline_plan_is_read(spark):
+    from conftest import SMALL
+
+    from strandlake.plans.germline import INPUTS, germline
+    from strandlake.tables import table
+
+    plan = germline(spark, {n: table(spark, SMALL, n) for n in INPUTS})
+    assert plan.unread() == {"calls"}
+    assert {"realign", "recalibrate", "cut_reads"} <= plan.needed("calls")
