@@ -68,6 +68,25 @@ def allele_balance(calls: DataFrame) -> DataFrame:
     return rows.groupBy(*SITE).agg(F.avg(hets).alias("ab_het"), F.avg(homs).alias("ab_hom"), F.avg(rest).alias("ond"))
 
 
+def allele_balance_by_sample(calls: DataFrame) -> DataFrame:
+    """(record_id, sample_name, ab): the reference's share of the two alleles' reads, per heterozygous record with one reference allele."""
+    het = calls.where((F.size("gt") == 2) & (F.array_min("gt") == 0) & (F.array_max("gt") > 0))
+    a, b = F.get("ad", F.lit(0)), F.get("ad", F.array_max("gt"))
+    return het.where((a + b) > 0).select("record_id", "sample_name", (a / (a + b)).alias("ab"))
+
+
+def strand_bias_by_sample(els: DataFrame, sites: DataFrame) -> DataFrame:
+    """The four strand counts of each sample at ``sites`` (contig, position, ref, alt)."""
+    rows = els.join(sites.select(*LOCUS, "ref", "alt"), LOCUS)
+    n = lambda allele, reverse: F.count_if((F.col("base") == F.col(allele)) & (F.col("is_reverse") == F.lit(reverse))).alias(f"{allele}_{'reverse' if reverse else 'forward'}")
+    return rows.groupBy("sample", *LOCUS).agg(*(n(a, r) for a in ("ref", "alt") for r in (False, True)))
+
+
+def mapping_quality_zero_by_sample(els: DataFrame) -> DataFrame:
+    """(sample, contig, position, mq0) where a sample has reads of mapping quality 0."""
+    return els.where("map_q = 0").groupBy("sample", *LOCUS).agg(F.count(F.lit(1)).alias("mq0"))
+
+
 def quality_by_depth(calls: DataFrame) -> DataFrame:
     """QUAL over the depth of the record's variant sample, per record."""
     variant = F.exists("gt", lambda g: g > 0)
@@ -115,10 +134,11 @@ def rank_sum_z(values: DataFrame, keys: list[str], is_alt: str, value: str) -> D
 
 
 def rank_sums(els: DataFrame, sites: DataFrame) -> DataFrame:
-    """Base quality, mapping quality and read position rank sums at ``sites`` (contig, position, ref, alt)."""
+    """Base quality, mapping quality and read position rank sums at ``sites`` (contig, position, ref, alt); hard-clipped bases too where ``els`` has ``hard_clipped``."""
     rows = els.join(sites, LOCUS).where((F.col("base") == F.col("ref")) | (F.col("base") == F.col("alt")))
     rows = rows.withColumns({"is_alt": F.col("base") == F.col("alt"), "end_distance": F.least(F.col("read_offset"), F.col("read_length") - 1 - F.col("read_offset"))})
-    named = F.array(*(F.struct(F.lit(n).alias("statistic"), F.col(c).alias("value")) for n, c in (("BaseQRankSum", "qual"), ("MQRankSum", "map_q"), ("ReadPosRankSum", "end_distance"))))
+    statistics = [("BaseQRankSum", "qual"), ("MQRankSum", "map_q"), ("ReadPosRankSum", "end_distance"), *([("ClippingRankSum", "hard_clipped")] if "hard_clipped" in els.columns else [])]
+    named = F.array(*(F.struct(F.lit(n).alias("statistic"), F.col(c).cast("bigint").alias("value")) for n, c in statistics))
     return rank_sum_z(rows.select(*LOCUS, "is_alt", F.inline(named)), [*LOCUS, "statistic"], "is_alt", "value")
 
 

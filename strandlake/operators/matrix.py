@@ -60,3 +60,37 @@ def with_non_ref(rows: DataFrame, name: str = "<NON_REF>") -> DataFrame:
 def reads_by_allele(best: DataFrame) -> DataFrame:
     """Informative reads per allele and sample: the depth that annotations count."""
     return best.where("informative").groupBy("sample", *LOCUS, "allele").agg(F.count(F.lit(1)).alias("depth"))
+
+
+def covering(rows: DataFrame, spans: DataFrame, margin: int = 0) -> DataFrame:
+    """Rows of reads (spans: record_id, from_position, to_position) that cover their site and ``margin`` positions on both sides."""
+    span = spans.select("record_id", F.col("from_position").alias("_a"), F.col("to_position").alias("_b"))
+    return rows.join(span, "record_id").where((F.col("position") - margin >= F.col("_a")) & (F.col("position") + margin <= F.col("_b"))).drop("_a", "_b")
+
+
+def with_changed_reads(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows under the reads' new ids (ids: record_id, new_id); reads without one keep theirs."""
+    renamed = rows.join(ids.select(F.col("record_id").alias("_old"), "new_id"), F.col("record_id") == F.col("_old"), "left")
+    return renamed.withColumn("record_id", F.coalesce("new_id", "record_id")).drop("_old", "new_id")
+
+
+def with_added_reads(rows: DataFrame, reads: DataFrame, value: float) -> DataFrame:
+    """With rows of further reads (sample, contig, position, record_id): ``value`` for each allele that the sample has at the site."""
+    alleles = rows.select(F.col("sample").alias("_s"), F.col("contig").alias("_c"), F.col("position").alias("_p"), "allele").distinct()
+    more = reads.join(alleles, F.col("sample").eqNullSafe(F.col("_s")) & (F.col("contig") == F.col("_c")) & (F.col("position") == F.col("_p")))
+    return rows.select("sample", *READ, "allele", "ll").unionByName(more.select("sample", *READ, "allele", F.lit(float(value)).alias("ll")))
+
+
+def per_read(rows: DataFrame) -> DataFrame:
+    """One row per read and site with ``lls``, a map of its alleles to likelihoods."""
+    return rows.groupBy("sample", *READ).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("allele", "ll")))).alias("lls"))  # a read has few alleles
+
+
+def best_diploid(rows: DataFrame) -> DataFrame:
+    """(sample, contig, position, ll_ref, ll_het, ll_alt, best, n) of the three allele pairs of a biallelic site (rows with ``is_ref``): each read speaks for either allele of a pair with the same chance."""
+    per = rows.groupBy("sample", *READ).agg(F.max(F.when(F.col("is_ref"), F.col("ll"))).alias("a"), F.max(F.when(~F.col("is_ref"), F.col("ll"))).alias("b"))
+    top = F.greatest("a", "b")
+    het = top + F.log10((F.pow(F.lit(10.0), F.col("a") - top) + F.pow(F.lit(10.0), F.col("b") - top)) / 2)
+    sums = per.groupBy("sample", *LOCUS).agg(F.sum("a").alias("ll_ref"), F.sum(het).alias("ll_het"), F.sum("b").alias("ll_alt"), F.count(F.lit(1)).alias("n"))
+    best = F.when((F.col("ll_ref") >= F.col("ll_het")) & (F.col("ll_ref") >= F.col("ll_alt")), "0/0").when(F.col("ll_het") >= F.col("ll_alt"), "0/1").otherwise("1/1")
+    return sums.withColumn("best", best)

@@ -71,10 +71,10 @@ def aligned_bases(reads: DataFrame, carried: list[str]) -> DataFrame:
     )
 
 
-def elements(reads: DataFrame, read_groups: DataFrame, contigs: DataFrame, preset: str = "locus_walker") -> DataFrame:
-    """Pileup elements of all samples with the columns per-position operators need."""
-    rows = read_rows(reads, read_groups, contigs, preset).withColumns({"is_reverse": F.col("flag").bitwiseAND(FLAG_REVERSE) != 0, "name": F.regexp_replace("read_name", "/[12]$", ""), "read_length": F.length("seq")})
-    return aligned_bases(rows, ["record_id", "sample", "contig", "name", "is_reverse", "map_q", "read_group", "read_length"])
+def elements(reads: DataFrame, read_groups: DataFrame, contigs: DataFrame, preset: str = "locus_walker", carried: list[str] = ()) -> DataFrame:
+    """Pileup elements of all samples with the columns per-position operators need, and further columns of the reads (``carried``; ``read_start`` is the read's position)."""
+    rows = read_rows(reads, read_groups, contigs, preset).withColumns({"is_reverse": F.col("flag").bitwiseAND(FLAG_REVERSE) != 0, "name": F.regexp_replace("read_name", "/[12]$", ""), "read_length": F.length("seq"), "read_start": F.col("contig_position").cast("bigint")})
+    return aligned_bases(rows, ["record_id", "sample", "contig", "name", "is_reverse", "map_q", "read_group", "read_length", *carried])
 
 
 LOCUS = ["contig", "position"]
