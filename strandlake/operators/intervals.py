@@ -132,3 +132,51 @@ def parse_location(text: Column) -> Column:
     to = F.when(open_end, F.lit(None).cast("bigint")).otherwise(F.coalesce(stop, start))
     found = F.struct(F.regexp_extract(clean, pattern, 1).alias("contig"), F.coalesce(start, F.lit(1)).alias("from_position"), to.alias("to_position"))
     return F.when(clean.rlike(pattern) & F.coalesce(to >= F.coalesce(start, F.lit(1)), F.lit(True)), found)
+
+
+def joined_location(a1: Column, a2: Column, b1: Column, b2: Column) -> Column:
+    """struct<from_position, to_position> of two locations that touch or overlap, else null."""
+    return F.when(contiguous(a1, a2, b1, b2), endpoint_span(a1, a2, b1, b2))
+
+
+def endpoint_span(a1: Column, a2: Column, b1: Column, b2: Column) -> Column:
+    """From the first start to the last end, whatever lies between."""
+    return F.struct(F.least(a1, b1).alias("from_position"), F.greatest(a2, b2).alias("to_position"))
+
+
+def is_before(a2: Column, b1: Column) -> Column:
+    return a2 < b1
+
+
+def is_past(a1: Column, b2: Column) -> Column:
+    return a1 > b2
+
+
+def compared(a_contig: Column, a1: Column, a2: Column, b_contig: Column, b1: Column, b2: Column) -> Column:
+    """-1, 0 or 1 in the order of contig number, start and end; a null contig (unmapped) is last."""
+    big = F.lit(1 << 40)
+    a, b = F.struct(F.coalesce(a_contig, big).alias("c"), a1.alias("x"), a2.alias("y")), F.struct(F.coalesce(b_contig, big).alias("c"), b1.alias("x"), b2.alias("y"))
+    return F.when(a < b, -1).when(a == b, 0).otherwise(1)
+
+
+def padded(a1: Column, a2: Column, padding: int, contig_length: Column) -> Column:
+    """The location with ``padding`` on both sides, inside the contig."""
+    return F.struct(F.greatest(F.lit(1), a1 - padding).alias("from_position"), F.least(contig_length, a2 + padding).alias("to_position"))
+
+
+def location_fault(a1: Column, a2: Column, contig_length: Column) -> Column:
+    """Why a location is none on its contig: ``contig`` (unknown), ``order``, ``start``, ``stop``; null for a valid one."""
+    return F.when(contig_length.isNull(), "contig").when(a1 > a2, "order").when(a1 < 1, "start").when(a2 > contig_length, "stop")
+
+
+def trimmed_to(rows: DataFrame, pieces: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
+    """One row per interval of ``pieces`` (keys, from_position, to_position) that a row meets, cut to it."""
+    other = pieces.withColumnsRenamed({"from_position": "_pf", "to_position": "_pt"})
+    met = range_join(rows, other, keys, start, end, "_pf", "_pt", width=1 << 12)
+    return met.withColumns({start: F.greatest(start, "_pf"), end: F.least(end, "_pt")}).drop("_pf", "_pt")
+
+
+def owned_by(rows: DataFrame, bins: DataFrame, position: str) -> DataFrame:
+    """Rows of a binned table whose position lies in the bin's own range (bins: bin_id, contig_name, from_position, to_position); copies that overlap gave to neighbours go."""
+    own = bins.select(F.col("bin_id").alias("_bin_id"), F.col("from_position").alias("_of"), F.col("to_position").alias("_ot"))
+    return rows.join(own, F.col("bin_id") == F.col("_bin_id")).where(F.col(position).between(F.col("_of"), F.col("_ot"))).drop("_bin_id", "_of", "_ot")

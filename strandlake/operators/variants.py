@@ -187,3 +187,63 @@ def _weighted_middle(value: str) -> Column:
 
 def reverse_complemented(allele: Column) -> Column:
     return F.when(is_symbolic(allele), allele).otherwise(F.reverse(F.translate(allele, "ACGTacgt", "TGCAtgca")))
+
+
+def pruned_info(info: Column, kept: list[str]) -> Column:
+    """INFO with the listed keys only, in their order there; ``.`` if none is left."""
+    parts = F.filter(F.split(F.coalesce(info, F.lit("")), ";"), lambda x: F.substring_index(x, "=", 1).isin(list(kept)))
+    return F.when(F.size(parts) > 0, F.array_join(parts, ";")).otherwise(".")
+
+
+def alleles_within(inner: Column, outer: Column) -> Column:
+    """Whether all alleles of one list are in the other."""
+    return F.size(F.array_except(inner, outer)) == 0
+
+
+def allele_permutation(of: Column, to: Column) -> Column:
+    """For each allele of one list its index in the other, -1 where it isn't there."""
+    return F.transform(of, lambda a: (F.array_position(to, a) - 1).cast("int"))
+
+
+def called_alternates(gt: Column, alternates: Column) -> Column:
+    """The distinct alternates that a genotype (indices) has."""
+    return F.array_compact(F.transform(F.array_distinct(F.filter(gt, lambda g: g > 0)), lambda g: F.get(alternates, g - 1)))
+
+
+def mean_alternate_size(ref: Column, called: Column) -> Column:
+    """Mean size of called alternates: mismatches of equally long alleles, else the change of length; 1 for symbolic ones. Null without any."""
+
+    def size(a: Column) -> Column:
+        differing = F.size(F.filter(F.sequence(F.lit(1), F.length(ref)), lambda i: F.substring(ref, i, F.lit(1)) != F.substring(a, i, F.lit(1))))
+        return F.when(is_symbolic(a), 1).when(F.length(a) == F.length(ref), differing).otherwise(F.abs(F.length(a) - F.length(ref)))
+
+    return F.when(F.size(called) > 0, F.aggregate(F.transform(called, size), F.lit(0), lambda s, x: s + x) / F.size(called))
+
+
+def total_ploidy(gt_text: Column) -> Column:
+    """Alleles of a genotype text, called or not; 0 without one."""
+    return F.when(gt_text.isNull(), 0).otherwise(F.size(F.split(gt_text, "[/|]")))
+
+
+def _pl_index(a: Column, b: Column) -> Column:
+    lo, hi = F.least(a, b), F.greatest(a, b)
+    return (hi * (hi + 1) / 2 + lo).cast("int")
+
+
+def allele_subset(rows: DataFrame, kept: Column) -> DataFrame:
+    """Records cut to some of their alleles: ``kept`` holds their indices, 0 first. Adds ``new_alts``, ``new_ad``, ``new_pl`` (from 0) and ``new_gt``, the likeliest genotype left.
+
+    rows: alt, format_keys, genotype. AD and PL are null where the record has none or not one for each allele; without PL the genotype is ``./.``.
+    """
+    n = F.size(alts(F.col("alt"))) + 1
+    numbers = lambda key: F.transform(F.split(sample_value(F.col("format_keys"), F.col("genotype"), key), ","), lambda x: x.try_cast("int"))
+    rows = rows.withColumns({"_kept": kept, "_ad": numbers("AD"), "_pl": numbers("PL")})
+    pairs = F.flatten(F.transform("_kept", lambda b, j: F.transform(F.slice("_kept", F.lit(1), j + 1), lambda a: F.struct(a.alias("a"), b.alias("b")))))
+    picked = F.transform(pairs, lambda p: F.get("_pl", _pl_index(p["a"], p["b"])))
+    rows = rows.withColumns({"_new_pl": F.when(F.size("_pl") == (n * (n + 1) / 2).cast("int"), picked), "new_alts": F.transform(F.filter("_kept", lambda k: k > 0), lambda k: F.get(alts(F.col("alt")), k - 1))})
+    least = F.array_min("_new_pl")
+    rows = rows.withColumns({"new_pl": F.transform("_new_pl", lambda x: x - least), "new_ad": F.when(F.size("_ad") == n, F.transform("_kept", lambda k: F.get("_ad", k)))})
+    # The place of a pair among the kept alleles, in the order of PL, is that of its genotype.
+    order = F.flatten(F.transform("_kept", lambda b, j: F.transform(F.sequence(F.lit(0), j), lambda i: F.concat_ws("/", i.cast("string"), j.cast("string")))))
+    best = F.get(order, (F.array_position("new_pl", F.lit(0)) - 1).cast("int"))
+    return rows.withColumn("new_gt", F.coalesce(F.when(~F.exists("new_pl", lambda x: x.isNull()), best), F.lit("./."))).drop("_kept", "_ad", "_pl", "_new_pl")

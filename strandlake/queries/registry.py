@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strandlake.queries import callers, calls, contexts, formats, genome, joins, pileups, problems, readchanges, recalibration, somatics
+from strandlake.queries import callers, calls, contexts, formats, genome, joins, parts, pileups, problems, readchanges, recalibration, somatics
 
-_MODULES = (problems, genome, pileups, recalibration, calls, somatics, callers, formats, readchanges, joins, contexts)
+_MODULES = (problems, genome, pileups, recalibration, calls, somatics, callers, formats, readchanges, joins, contexts, parts)
 
 
 def queries() -> dict:
