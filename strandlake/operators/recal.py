@@ -8,6 +8,8 @@ rolled up from their sums.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -119,11 +121,12 @@ _CELL = ["read_group", "qual", "covariate", "value"]
 _COUNTS = "read_group string, qual int, covariate string, value string, observations bigint, errors bigint"
 
 
-def counted(rows: DataFrame, max_cycle: int = MAX_CYCLE) -> DataFrame:
+def counted(rows: DataFrame, max_cycle: int = MAX_CYCLE, more: dict[str, Callable[[str, str, bool], list[str | None]]] | None = None) -> DataFrame:
     """(read_group, qual, covariate, value, observations, errors) of the bases of ``reads_on_reference``: all bases under a null covariate, and again by context and by cycle.
 
     Left out: positions without reference, irregular bases, qualities below ``MIN_QUALITY``, known sites. The value is null where a base has no context (at the
     start of a read or next to an N) or no cycle (beyond ``max_cycle``); such bases count like all others.
+    more: further covariates by name, each a function of a read's sequence, qualities and strand that gives a value for each base, or None.
     """
 
     def tally(batches):
@@ -146,7 +149,14 @@ def counted(rows: DataFrame, max_cycle: int = MAX_CYCLE) -> DataFrame:
             context, cycle = reads.covariates(read, offset, max_cycle)
             here = group[read] * 128 + quality
             # Each covariate is counted by itself: (read group, quality) by nothing, by context, by cycle.
-            for covariate, value, texts in ((None, None, [None]), ("Context", context, contexts), ("Cycle", cycle, cycles)):
+            own = [(None, None, [None]), ("Context", context, contexts), ("Cycle", cycle, cycles)]
+            for name, values_of in (more or {}).items():
+                given = [values_of(s, q, bool(r)) for s, q, r in zip(batch.column("seq").to_pylist(), batch.column("base_quals").to_pylist(), reads.reverse, strict=True)]
+                begins = np.cumsum([0, *map(len, given)])
+                coded = pa.array([v for values in given for v in values], pa.string()).dictionary_encode()
+                codes = coded.indices.fill_null(len(coded.dictionary)).to_numpy(zero_copy_only=False).astype(np.int64)
+                own.append((name, codes[begins[read] + offset], [*coded.dictionary.to_pylist(), None]))
+            for covariate, value, texts in own:
                 size = len(texts)
                 code, place = np.unique(here if value is None else here * size + value, return_inverse=True)
                 n, errors = np.bincount(place, minlength=len(code)).astype(np.int64), np.bincount(place, weights=wrong, minlength=len(code)).astype(np.int64)
