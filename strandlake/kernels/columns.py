@@ -18,13 +18,14 @@ M, INSERTION, DELETION, SOFT = _CODE["M"], _CODE["I"], _CODE["D"], _CODE["S"]
 
 @dataclass
 class Elements:
-    """read: index of the read; position: on the reference; offset: in the read from 0 (for a deletion that of the base before it); next_op: code of the operation after the last element of one, else -1."""
+    """read: index of the read; position: on the reference; offset: in the read from 0 (for a deletion that of the base before it); next_op and prev_op: code of the operation after the last and before the first element of one, else -1."""
 
     read: np.ndarray
     position: np.ndarray
     offset: np.ndarray
     deletion: np.ndarray
     next_op: np.ndarray
+    prev_op: np.ndarray
 
 
 def operations(cigars: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -62,10 +63,11 @@ def elements(cigars: list[str], starts: np.ndarray) -> Elements:
     op = np.repeat(shown, n)
     i = np.arange(len(op)) - np.repeat(np.cumsum(n) - n, n)
     deletion = code[op] == DELETION
-    following = np.full(len(code), -1)
+    following, leading = np.full(len(code), -1), np.full(len(code), -1)
     if len(code) > 1:
-        following[:-1] = np.where(read[1:] == read[:-1], code[1:], -1)
-    return Elements(read[op], ref[op] + i, np.where(deletion, offset[op] - 1, offset[op] + i), deletion, np.where(i == length[op] - 1, following[op], -1))
+        same = read[1:] == read[:-1]
+        following[:-1], leading[1:] = np.where(same, code[1:], -1), np.where(same, code[:-1], -1)
+    return Elements(read[op], ref[op] + i, np.where(deletion, offset[op] - 1, offset[op] + i), deletion, np.where(i == length[op] - 1, following[op], -1), np.where(i == 0, leading[op], -1))
 
 
 def letters(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -113,3 +113,116 @@ def biased_removal(counts: list[int], remove: int) -> list[int]:
             best[i] -= take
             left -= take
     return [a - b for a, b in zip(counts, best, strict=True)]
+
+
+def pooled_posterior(gls: list[np.ndarray], heterozygosity: float = 1e-3, priors: np.ndarray | None = None) -> np.ndarray:
+    """log10 posterior of the number of alternates over samples or pools of any ploidy, from their log10 likelihoods of 0..ploidy alternates.
+
+    The samples are independent draws of one population; ``priors`` (log10, one for each count) stand in for those of the heterozygosity.
+    """
+    ways, scale, n = np.array([1.0]), 0.0, 0
+    for gl in gls:
+        m = len(gl) - 1
+        top = gl.max()
+        ways = np.convolve(ways, 10.0 ** (gl - top) * np.array([math.comb(m, k) for k in range(m + 1)], float))
+        peak = ways.max()
+        ways, scale, n = ways / peak, scale + top + math.log10(peak), n + m
+    choose = np.array([math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) for k in range(n + 1)]) / math.log(10)
+    with np.errstate(divide="ignore"):
+        joint = np.log10(ways) + scale - choose + (log10_priors(n, heterozygosity) if priors is None else priors)
+    return joint - log10_sum(joint)
+
+
+def linear_posterior(gls: list[np.ndarray], heterozygosity: float = 1e-3) -> np.ndarray:
+    """The same for diploid samples by the recurrence over samples: what j chromosomes of k samples can be, from k - 1 samples."""
+    column = np.array([1.0])
+    scale = 0.0
+    for k, gl in enumerate(gls, 1):
+        top = gl.max()
+        a, b, c = 10.0 ** (gl - top)
+        j = np.arange(2 * k + 1)
+        held = np.zeros(2 * k + 3)
+        held[2 : 2 + len(column)] = column
+        new = (2 * k - j) * (2 * k - j - 1) * a * held[2:][: 2 * k + 1] + 2 * j * (2 * k - j) * b * held[1:][: 2 * k + 1] + j * (j - 1) * c * held[: 2 * k + 1]
+        new /= max(1, 2 * k * (2 * k - 1))
+        peak = new.max()
+        column, scale = new / peak, scale + top + math.log10(peak)
+    with np.errstate(divide="ignore"):
+        joint = np.log10(column) + scale + log10_priors(2 * len(gls), heterozygosity)
+    return joint - log10_sum(joint)
+
+
+#: Fixed value: alternates of a site that are looked at one by one.
+MAX_ALTERNATES = 6
+
+
+def independent_alleles(gls: list[list[np.ndarray]], heterozygosity: float = 1e-3) -> tuple[float, list[int]]:
+    """(phred of the chance that there is no alternate at all, likeliest count of each) of several alternates, each against the rest.
+
+    gls: for each alternate, the samples' likelihoods of 0, 1 and 2 copies of it. Alternates are taken to be independent, so their chances to be absent multiply.
+    """
+    if len(gls) > MAX_ALTERNATES:
+        raise ValueError(f"more than {MAX_ALTERNATES} alternates; keep the likeliest with allele_subset")
+    posteriors = [pooled_posterior(g, heterozygosity) for g in gls]
+    return float(-10 * sum(p[0] for p in posteriors)) + 0.0, [int(p.argmax()) for p in posteriors]
+
+
+def calculator(ploidy: int, n_alternates: int):
+    """The frequency calculator for a ploidy and number of alternates: a function of likelihoods, by sample or for several alternates by alternate and sample."""
+    if ploidy == 2 and n_alternates > 1:
+        return independent_alleles
+    return allele_count_posterior if ploidy == 2 else pooled_posterior
+
+
+def pool_likelihoods(bases: list[str], quals: list[int], ref: str, alt: str, ploidy: int, error: np.ndarray | None = None) -> np.ndarray:
+    """log10 likelihood of 0..ploidy alternates in a pool. error: chances of qualities 0.. of the site (see ``site_errors``), which replace the bases' own where given."""
+    share = np.arange(ploidy + 1) / ploidy
+    out = np.zeros(ploidy + 1)
+    if error is None:
+        for b, q in zip(bases, quals, strict=True):
+            e = 10 ** (-q / 10)
+            hit, miss = 1 - e, e / 3
+            out += np.log10((1 - share) * (hit if b == ref else miss) + share * (hit if b == alt else miss))
+        return out
+    per = np.full((len(error), ploidy + 1), -np.inf)
+    for q, chance in enumerate(error):
+        if chance > 0:
+            e = min(0.75, 10 ** (-q / 10))
+            counts = {x: sum(b == x for b in bases) for x in {ref, alt}}
+            other = len(bases) - sum(counts.values())
+            at = lambda own: (1 - share) * (1 - e if own == ref else e / 3) + share * (1 - e if own == alt else e / 3)
+            per[q] = math.log10(chance) + counts[ref] * np.log10(at(ref)) + (counts[alt] * np.log10(at(alt)) if alt != ref else 0) + other * math.log10(e / 3)
+    return np.array([log10_sum(per[:, k][np.isfinite(per[:, k])]) for k in range(ploidy + 1)])
+
+
+def site_errors(n_errors: int, depth: int, highest: int = 40) -> np.ndarray:
+    """Chance of each site quality 0..highest after a sample that has no alternate shows so many errors: binomial, all qualities alike before."""
+    e = np.clip(10 ** (-np.arange(highest + 1) / 10), 1e-9, 1 - 1e-9)
+    log = n_errors * np.log10(e) + (depth - n_errors) * np.log10(1 - e)
+    chance = 10 ** (log - log.max())
+    return chance / chance.sum()
+
+
+def phase_sets(events: list[set], hets: list) -> dict:
+    """event -> (set number, ``0|1`` or ``1|0``) of heterozygous events that haplotypes hold together or apart; events is the set of each haplotype.
+
+    Two events are in phase where the same haplotypes have both, in opposite phase where each haplotype with an alternate has just one of them and no other
+    haplotype has either. An event goes with the first earlier one that it can be phased with.
+    """
+    carriers = {e: frozenset(i for i, own in enumerate(events) if e in own) for e in hets}
+    out: dict = {}
+    numbers = 0
+    for i, b in enumerate(hets):
+        for a in hets[:i]:
+            if not carriers[a] or not carriers[b]:
+                continue
+            together = carriers[a] == carriers[b]
+            apart = not carriers[a] & carriers[b] and all(j in carriers[a] | carriers[b] or not own for j, own in enumerate(events))
+            if together or apart:
+                if a not in out:
+                    out[a] = (numbers, "0|1")
+                    numbers += 1
+                set_of, side = out[a]
+                out[b] = (set_of, side if together else "1|0" if side == "0|1" else "0|1")
+                break
+    return out

@@ -56,3 +56,17 @@ def with_reference(rows: DataFrame, refs: DataFrame, start: str, end: str, key:
     joined = found.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("slice", piece.alias("s")))).alias("_p"), F.first("_lo").alias("ref_start"))
     joined = joined.select("_key", "ref_start", F.concat_ws("", F.col("_p.s")).alias(out))
     return rows.join(joined, rows[key] == joined["_key"]).drop("_key")
+
+
+def on_slices(rows: DataFrame, refs: DataFrame, span: str, extra: int = 0, margin: int = 512, size: int = SLICE) -> DataFrame:
+    """Rows (record_id, contig, contig_position, ``span``) with ``ref_seq`` from their position over the span and ``extra`` bases.
+
+    A row meets the overlapping slice of its position in one equi-join and nothing is joined back; rows longer than the margin take the way over all slices.
+    """
+    wide = F.col(span) + extra
+    near = overlapping(refs, margin, size).withColumnRenamed("seq", "_slice_seq")
+    short = rows.where(wide <= margin).withColumn("slice", F.expr(f"(contig_position - 1) div {size}")).join(near, ["contig", "slice"])
+    cut = F.substring("_slice_seq", (F.col("contig_position") - F.col("slice") * size).cast("int"), wide.cast("int"))
+    short = short.withColumn("ref_seq", cut).select(*rows.columns, "ref_seq")
+    long = with_reference(rows.where(wide > margin).withColumn("_end", F.col("contig_position") + wide - 1), refs, "contig_position", "_end")
+    return short.unionByName(long.select(*rows.columns, "ref_seq"))
