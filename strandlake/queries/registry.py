@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strandlake.queries import callers, calls, confidence, contexts, formats, genome, joins, parts, pileups, reports, problems, readchanges, recalibration, somatics
+from strandlake.queries import callers, calls, confidence, contexts, extended, formats, genome, joins, parts, pileups, reports, problems, readchanges, recalibration, somatics
 
-_MODULES = (problems, genome, pileups, recalibration, calls, somatics, callers, formats, readchanges, joins, contexts, parts, reports, confidence)
+_MODULES = (problems, genome, pileups, recalibration, calls, somatics, callers, formats, readchanges, joins, contexts, parts, reports, confidence, extended)
 
 
 def queries() -> dict:

@@ -63,6 +63,24 @@ def fastq_text() -> Column:
     return F.concat(F.lit("@"), F.col("description"), F.lit("\n"), F.col("seq"), F.lit("\n+\n"), F.col("base_quals"))
 
 
+def pair_columns() -> tuple[Column, Column]:
+    """A pair of reads (read_name, seq1, quals1, seq2, quals2) as two FASTQ records."""
+    record = lambda n: F.concat(F.lit("@"), F.col("read_name"), F.lit(f"/{n}\n"), F.col(f"seq{n}"), F.lit("\n+\n"), F.col(f"quals{n}"))
+    return record(1), record(2)
+
+
+def write_fastq_pairs(pairs: DataFrame, path: str, partitions: int | None = None, seed: int = 11) -> None:
+    """Pairs as FASTQ text under ``path/1`` and ``path/2``: part n of one folder holds the mates of part n of the other, in the same order.
+
+    Pairs are dealt by a hash of the name and sorted within their part, so both writes lay them out alike, however often they are evaluated.
+    """
+    first, second = pair_columns()
+    n = partitions or int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = pairs.select("read_name", first.alias("_1"), second.alias("_2")).repartition(n, F.xxhash64("read_name", F.lit(seed))).sortWithinPartitions("read_name", "_1", "_2")
+    dealt.select(F.col("_1").alias("value")).write.mode("errorifexists").text(f"{path}/1")
+    dealt.select(F.col("_2").alias("value")).write.mode("errorifexists").text(f"{path}/2")
+
+
 def sam_header_lines(contigs: DataFrame, read_groups: DataFrame, is_sorted: bool = True, max_rows: int = 1_000_000) -> list[str]:
     """Header of a SAM file: a line per contig and read group, whose number doesn't grow with the reads of a file; too many are an error."""
     sq, rg = contigs.orderBy("contig_id").limit(max_rows + 1).collect(), read_groups.orderBy("read_group").limit(max_rows + 1).collect()
