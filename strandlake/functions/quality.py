@@ -83,3 +83,33 @@ def dot(a: Column, b: Column) -> Column:
 def quality_at(quals: Column, offset: Column) -> Column:
     """Phred score at a 0-based offset of a quality text."""
     return F.ascii(F.substring(quals, offset + 1, F.lit(1))) - 33
+
+
+def added(a: Column, b: Column, sign: float = 1.0) -> Column:
+    """Sum (or with -1 difference) of two arrays, item by item."""
+    return F.zip_with(a, b, lambda x, y: x + y * sign)
+
+
+def rounded(x: Column) -> Column:
+    """To the nearest whole number, halves away from zero."""
+    return (F.signum(x) * F.floor(F.abs(x) + 0.5)).cast("int")
+
+
+#: Step of a table of log10(1 + 10**-d), and the difference from which it is 0.
+TABLE_STEP, TABLE_END = 1e-4, 8.0
+
+
+def log10_sum_by_table(a: Column, b: Column) -> Column:
+    """log10(10**a + 10**b) with the smaller one's share taken at steps of ``TABLE_STEP`` of the difference, as a table has it."""
+    d = F.abs(a - b)
+    share = F.log10(1 + F.pow(F.lit(10.0), -F.round(d / TABLE_STEP) * TABLE_STEP))
+    return F.greatest(a, b) + F.when(d >= TABLE_END, 0.0).otherwise(share)
+
+
+def log10_spaced(first: int, last: int, n: int) -> Column:
+    """Array of ``n`` whole numbers from first to last, evenly spaced in their logarithms; equal ones once."""
+    import math
+
+    low, high = math.log10(first), math.log10(last)
+    values = dict.fromkeys(round(10 ** (low + (high - low) * i / max(1, n - 1))) for i in range(n))
+    return F.array(*(F.lit(v) for v in values))

@@ -132,7 +132,9 @@ def repeated_kmers(seq: str, k: int) -> set[str]:
 
 
 def _paths(ref: str, reads: list[str | tuple[str, int]], k: int, least: int, most: int) -> list[tuple[float, str]]:
-    """Haplotypes of one k-mer size; none where the reference repeats a k-mer or the graph has a cycle."""
+    """Haplotypes of one k-mer size; none where the reference repeats a k-mer or the graph has a cycle. Ends that dangle are joined to the reference where they agree with it."""
+    from strandlake.kernels import seqgraph  # which is built on this module's graph
+
     if len(ref) <= k or repeated_kmers(ref, k) or "N" in ref:
         return []
     graph = KmerGraph(k)
@@ -143,7 +145,12 @@ def _paths(ref: str, reads: list[str | tuple[str, int]], k: int, least: int, mos
     if graph.has_cycle():
         return []
     graph.prune(least)
-    return graph.best_paths(ref[:k], ref[-k:], most)
+    source, sink = ref[:k], ref[-k:]
+    seqgraph.drop_beyond_reference(graph, source, sink)
+    if seqgraph.recover_dangling(graph, ref) and graph.has_cycle():
+        return []
+    seqgraph.drop_unconnected_paths(graph, source, sink)
+    return seqgraph.unique_best(graph.best_paths(source, sink, most), most)
 
 
 def assemble(ref: str, reads: list[str | tuple[str, int]], sizes: tuple[int, ...] = KMER_SIZES, least: int = MIN_WEIGHT, most: int = MAX_HAPLOTYPES, larger: tuple[int, ...] = LARGER_SIZES) -> list[tuple[float, str]]:
