@@ -159,16 +159,17 @@ def with_alignment_quality(reads: DataFrame, refs: DataFrame, band: int = 7) ->
 
 
 def allele_frequencies(calls: DataFrame) -> DataFrame:
-    """(contig, contig_position, qual, alt_count, n_samples) by the exact posterior, from biallelic diploid PLs, one record per sample and site.
+    """(contig, contig_position, ref_allele, alt, qual, alt_count, n_samples) by the exact posterior, from biallelic diploid PLs, one record per sample and alternate.
 
-    calls: contig, contig_position, sample_name, pl_ref, pl_het, pl_hom. A site's group has a row per sample, however many records it has.
+    calls: contig, contig_position, ref_allele, alt, sample_name, pl_ref, pl_het, pl_hom. An alternate's group has a row per sample, however many records it has.
     """
-    one = calls.where("pl_ref is not null and pl_het is not null and pl_hom is not null").groupBy("contig", "contig_position", "sample_name").agg(F.min(F.struct("pl_ref", "pl_het", "pl_hom")).alias("p"))
-    packed = one.groupBy("contig", "contig_position").agg(F.sort_array(F.collect_list("p")).alias("p"))
+    keys = ["contig", "contig_position", "ref_allele", "alt"]
+    one = calls.where("pl_ref is not null and pl_het is not null and pl_hom is not null").groupBy(*keys, "sample_name").agg(F.min(F.struct("pl_ref", "pl_het", "pl_hom")).alias("p"))
+    packed = one.groupBy(*keys).agg(F.sort_array(F.collect_list("p")).alias("p"))
 
     @F.pandas_udf("struct<qual:double,alt_count:int>")
     def exact(pls: pd.Series) -> pd.DataFrame:
         rows = [genotype.site_quality([np.array([x["pl_ref"], x["pl_het"], x["pl_hom"]]) / -10.0 for x in site]) for site in pls]
         return pd.DataFrame(rows, columns=["qual", "alt_count"])
 
-    return packed.select("contig", "contig_position", exact("p").alias("r"), F.size("p").alias("n_samples")).select("contig", "contig_position", "r.qual", "r.alt_count", "n_samples")
+    return packed.select(*keys, exact("p").alias("r"), F.size("p").alias("n_samples")).select(*keys, "r.qual", "r.alt_count", "n_samples")

@@ -37,7 +37,8 @@ def alignment_quality(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def af_exact(spark: SparkSession, sf: str) -> DataFrame:
-    calls = variants.biallelic(annotations.genotypes(variants.decoded(table(spark, sf, "variants")))).where("alt_index = 0 and contig is not null")
+    """Every alternate of every site against the reference allele."""
+    calls = variants.biallelic(annotations.genotypes(variants.decoded(table(spark, sf, "variants")))).where("contig is not null")
     return calling.allele_frequencies(calls)
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -44,9 +46,35 @@ def work_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_RUN = f"run-{uuid.uuid4().hex[:16]}"
+_cleaned_at_exit: list[bool] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the work folder that no earlier call returned."""
-    return f"{work_dir(spark)}/strandlake/{name}-{uuid.uuid4().hex}"
+    """A path in this run's part of the work folder that no earlier call returned. All of the part is removed when the program ends, or by ``remove_staged``."""
+    if not _cleaned_at_exit:
+        _cleaned_at_exit.append(True)
+        atexit.register(_remove_at_exit)
+    return f"{work_dir(spark)}/strandlake/{_RUN}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_staged(spark: SparkSession) -> None:
+    """Delete the tables that this run has staged so far. DataFrames that read them can't be read any more; what a caller stored elsewhere stays."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{work_dir(spark)}/strandlake/{_RUN}")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _remove_at_exit() -> None:
+    """As far as a session still runs; a lost one leaves its part of the folder, which is named by the run."""
+    try:
+        spark = SparkSession.getActiveSession()
+        if spark is not None and spark.sparkContext._jsc is not None:
+            remove_staged(spark)
+            local = spark.sparkContext._jvm.System.getProperty("strandlake.workdir")
+            if local:
+                shutil.rmtree(local.removeprefix("file://"), ignore_errors=True)
+    except Exception:  # noqa: BLE001 - nothing may fail at exit
+        pass
 
 
 def staged(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -71,12 +99,12 @@ def expected_splits(df: DataFrame) -> int:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores where its input has fewer splits than that (a small or unsplittable file); else as it is, without a shuffle.
+    """``df`` over all cores where its files give fewer splits than that (a small or unsplittable input); else as it is, without a shuffle.
 
-    For scans whose rows are about to be multiplied.
+    For scans whose rows are about to be multiplied. The number of splits is the optimizer's estimate; the plan isn't turned into anything else.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if expected_splits(df) < cores else df
 
 
 def tokenizer_dir() -> str:

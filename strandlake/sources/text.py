@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -157,6 +159,86 @@ def read_vcf(spark: SparkSession, path: str, contigs: DataFrame) -> tuple[DataFr
     return rejects.valid(parsed).drop("line_text"), parsed.where("reason is not null").select("file_name", "file_line", "reason", "line_text")
 
 
+_EDGES = "file_name string, block bigint, at bigint, n bigint, line string"
+_FASTQ_TEXT = "file_name string, file_record bigint, record_text string"
+
+
+def fastq_records(spark: SparkSession, path: str) -> DataFrame:
+    """(file_name, file_record, record_text) of FASTQ text files in any file system that Spark reads, split as it splits them: four lines each, the last record of a file as it is.
+
+    A first pass counts the lines of each split and keeps its first and last three; from the counts each split knows which of its lines begin records.
+    The second pass joins the lines inside splits; records that lie across are put together from the kept lines. Nothing else is shuffled. What the driver holds
+    is a number per split.
+    """
+    raw = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file_name"), F.col("_metadata.file_block_start").alias("block"), "value")
+
+    def lines_of(batches):
+        for batch in batches:
+            yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+
+    def edges(batches):
+        of, head, tail, n = None, [], deque(maxlen=3), 0
+
+        def rows():
+            ends = {i: t for i, t in enumerate(head)} | {n - len(tail) + i: t for i, t in enumerate(tail)}
+            return [(*of, at, n, line) for at, line in sorted(ends.items())]
+
+        def batch_of(found):
+            columns = list(zip(*found, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["file_name", "block", "at", "n", "line"])
+
+        for file, block, line in lines_of(batches):
+            if (file, block) != of:
+                if of is not None:
+                    yield batch_of(rows())
+                of, head, tail, n = (file, block), [], deque(maxlen=3), 0
+            if n < 3:
+                head.append(line)
+            tail.append(line)
+            n += 1
+        if of is not None:
+            yield batch_of(rows())
+
+    kept = staged(raw.mapInArrow(edges, _EDGES), "fastq-edges")
+    before: dict[tuple[str, int], int] = {}
+    totals: dict[str, int] = {}
+    for file, block, n in sorted(kept.select("file_name", "block", "n").distinct().collect()):
+        before[file, block] = totals.get(file, 0)
+        totals[file] = before[file, block] + n
+    held = spark.sparkContext.broadcast(before)
+
+    def inside(batches):
+        of, number, lines, out = None, 0, [], []
+        for batch in batches:
+            for file, block, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if (file, block) != of:
+                    of, number, lines = (file, block), held.value[file, block], []
+                if lines or number % 4 == 0:
+                    lines.append(line)
+                    if len(lines) == 4:
+                        out.append((file, number // 4 + 1, "\n".join(lines)))
+                        lines = []
+                number += 1
+            columns = list(zip(*out, strict=True)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string())], names=["file_name", "file_record", "record_text"])
+            out = []
+
+    starts = spark.createDataFrame([(f, b, n, totals[f]) for (f, b), n in before.items()], "_f string, _b bigint, _before bigint, _total bigint")
+    placed = kept.join(starts, (F.col("file_name") == F.col("_f")) & (F.col("block") == F.col("_b"))).withColumn("_line", F.col("_before") + F.col("at"))
+    record = F.expr("_line div 4")
+    # A record is inside one split if that split has its first line and its last one, or the file ends before.
+    first, last = record * 4, record * 4 + 3
+    whole = (first >= F.col("_before")) & (last < F.col("_before") + F.col("n"))
+    across = placed.where(~whole).groupBy("file_name", (record + 1).alias("file_record")).agg(F.array_sort(F.collect_list(F.struct("_line", "line"))).alias("_l"))
+    return raw.mapInArrow(inside, _FASTQ_TEXT).unionByName(across.select("file_name", "file_record", F.array_join("_l.line", "\n").alias("record_text")))
+
+
+def read_fastq(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(reads, rejected records) of FASTQ text files, both with file_name and file_record; the rejected ones have the reason and their text."""
+    parsed = rejects.parse_fastq(fastq_records(spark, path), "file_record", "record_text", kept=["file_name", "file_record", "record_text"]).drop("raw_id")
+    return rejects.valid(parsed).drop("record_text"), parsed.where("reason is not null").select("file_name", "file_record", "reason", "record_text")
+
+
 def interval_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file_name, file_line, contig_name, start_position, stop_position, reason) of tab separated intervals; lines that start with ``@`` are headers.
 

@@ -24,6 +24,18 @@ def spark():
     yield session
 
 
+@pytest.fixture
+def shipped(spark):
+    """The session with generated code and adaptive plans, as it is outside of tests."""
+    changed = {"spark.sql.codegen.wholeStage": "true", "spark.sql.codegen.factoryMode": "FALLBACK", "spark.sql.adaptive.enabled": "true"}
+    before = {k: spark.conf.get(k) for k in changed}
+    for k, v in changed.items():
+        spark.conf.set(k, v)
+    yield spark
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
 @pytest.fixture(scope="session")
 def duck():
     import oracle

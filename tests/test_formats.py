@@ -73,6 +73,23 @@ def test_records_over_lines_wherever_files_are_split(spark, tmp_path):
             spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_fastq_records_wherever_files_are_split(spark, tmp_path):
+    rnd = random.Random(9)
+    for n, name in ((0, "none"), (23, "many"), (6, "cut")):
+        body = "".join(f"@r{i}\n{'ACGT' * rnd.randint(1, 9)}\n+\n{'I' * rnd.randint(4, 36)}\n" for i in range(n)) + ("@last\nAC\n" if name == "cut" else "")
+        path = tmp_path / f"{name}.fastq"
+        path.write_text(body)
+        lines = body.splitlines()
+        expected = [(i // 4 + 1, "\n".join(lines[i : i + 4])) for i in range(0, len(lines), 4)]
+        before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+        try:
+            for size in ("41b", "400b", "1m"):
+                spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+                assert sorted((r.file_record, r.record_text) for r in text.fastq_records(spark, str(path)).collect()) == expected, (name, size)
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_headers_end_with_their_first_other_line(spark, tmp_path):
     (tmp_path / "h").mkdir()
     (tmp_path / "h" / "a.vcf").write_text("##a\n##b\n#CHROM\n##late\n")
