@@ -28,7 +28,7 @@ def test_same_rows_as_shipped(shipped, duck, name):
 #: Without SQL: columns that must be there, one that identifies a row, and the smallest number of rows on these tables.
 WITHOUT_SQL = {
     "active_region_reads": (["contig", "start", "stop", "n_reads"], ["contig", "start"], 1),
-    "af_exact": (["contig", "contig_position", "alt", "qual", "alt_count", "n_samples"], ["contig", "contig_position", "alt"], 1),
+    "af_exact": (["contig", "contig_position", "alt", "qual", "alt_count", "n_samples"], ["contig", "contig_position", "ref_allele", "alt"], 1),
     "alignment_quality": (["record_id", "baq"], ["record_id"], 1),
     "finalized_reads": (["record_id", "start", "cigar", "seq", "base_quals"], ["record_id"], 100),
     "hardy_weinberg": (["contig", "contig_position", "hwp"], ["contig", "contig_position"], 1),
