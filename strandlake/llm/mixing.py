@@ -91,7 +91,7 @@ def mix(docs: DataFrame, targets: DataFrame, fractions: tuple[float, ...] = (1.0
     """(documents, shares) of nested mixtures, one for each fraction of the total.
 
     docs: (doc, source, n_tokens). documents: (fraction, doc, source, n_tokens, copies). shares: (fraction, source, target_share, max_repeats,
-    source_tokens, used_tokens, reached_share, most_copies), a row for every source of the targets.
+    source_tokens, used_tokens, reached_share, deviation, token_deviation, most_copies), a row for every source of the targets; a deviation is what was reached less the target.
     """
     spark, goals = docs.sparkSession, _goals(targets)
     known = docs.select(F.col(doc).alias("_doc"), source_key(F.col("source")).alias("source"), F.col("n_tokens").cast("bigint").alias("n_tokens"))
@@ -117,4 +117,5 @@ def mix(docs: DataFrame, targets: DataFrame, fractions: tuple[float, ...] = (1.0
     per = listed.join(sums, ["fraction", "source"], "left").fillna(0, ["used_tokens", "most_copies"])
     all_used = per.groupBy("fraction").agg(F.sum("used_tokens").alias("_total"))
     shares = per.join(all_used, "fraction").withColumn("reached_share", F.when(F.col("_total") > 0, F.col("used_tokens") / F.col("_total")).otherwise(F.lit(0.0)))
-    return documents, shares.select("fraction", "source", "target_share", "max_repeats", "source_tokens", "used_tokens", "reached_share", "most_copies")
+    shares = shares.withColumns({"deviation": F.col("reached_share") - F.coalesce("target_share", F.lit(0.0)), "token_deviation": F.col("used_tokens") - F.round(F.coalesce("target_share", F.lit(0.0)) * F.col("_total")).cast("bigint")})
+    return documents, shares.select("fraction", "source", "target_share", "max_repeats", "source_tokens", "used_tokens", "reached_share", "deviation", "token_deviation", "most_copies")

@@ -86,7 +86,8 @@ def test_mixing(spark):
     for s, target in (("web", 0.5), ("code_base", 0.3), ("tiny", 0.2)):
         assert abs(report[s].reached_share - target) < 0.02, report[s]
         assert report[s].used_tokens == sum(r.n_tokens * r.copies for r in got if r.fraction == 1.0 and r.source == s)
-    assert report["absent"].used_tokens == 0
+        assert abs(report[s].deviation - (report[s].reached_share - target)) < 1e-12 and abs(report[s].token_deviation) < 0.02 * sum(r.used_tokens for r in report.values())
+    assert report["absent"].used_tokens == 0 and report["absent"].deviation == 0
     # A total that some sources can't fill: they give all they have.
     _, short = mixing.mix(docs, targets, total=10**9)
     assert all(r.most_copies == caps.get(r.source, 0) for r in short.collect())
