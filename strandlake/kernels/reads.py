@@ -237,3 +237,48 @@ def tandem_repeat(ref: str, alt: str, after: str) -> tuple[str, int, int] | None
     on_ref = repeats_at(ref[1:] + after, unit)
     on_alt = repeats_at(alt[1:] + after, unit)
     return (unit, on_ref, on_alt) if min(on_ref, on_alt) > 0 else None
+
+
+def merged_mates(first: Read, second: Read) -> Read | None:
+    """Two gapless mates that overlap as one read over both: of differing bases the better one with the difference of qualities, of equal ones the better quality; null for others."""
+    if any(op != "M" for r in (first, second) for op, _ in r.ops) or first.end < second.start or second.end < first.start:
+        return None
+    lo, hi = min(first.start, second.start), max(first.end, second.end)
+    seq, quals = [], []
+    for at in range(lo, hi + 1):
+        here = [(ord(r.quals[at - r.start]), r.seq[at - r.start]) for r in (first, second) if r.start <= at <= r.end]
+        best, other = max(here), min(here)
+        seq.append(best[1])
+        quals.append(chr(best[0] if best[1] == other[1] else max(33, 33 + best[0] - other[0])))
+    return Read(lo, (("M", hi - lo + 1),), "".join(seq), "".join(quals))
+
+
+def trimmed_haplotype(text: str, ops: list[tuple[str, int]], start: int, first: int, last: int) -> str:
+    """The bases of a haplotype (aligned from ``start``) over reference positions first to last; a deletion at an end is left out."""
+    out, at, i = [], start, 0
+    for op in columns(ops):
+        if op in "MIS=X":
+            if first <= at <= last and op != "S" and (op != "I" or at > first):
+                out.append(text[i])
+            i += 1
+        at += op in EATS_REF
+    return "".join(out)
+
+
+def with_allele(ref: str, ref_start: int, position: int, ref_allele: str, alt: str) -> str | None:
+    """The reference with an allele in place of its own; null where the reference has another."""
+    k = position - ref_start
+    return ref[:k] + alt + ref[k + len(ref_allele) :] if k >= 0 and ref[k : k + len(ref_allele)] == ref_allele else None
+
+
+def low_quality_soft_clips(read: Read, least: int) -> Read:
+    """Without soft-clipped bases under the quality at the outer ends of the clips, from the end inwards to the first better one."""
+    left = right = 0
+    ops = list(read.ops)
+    lead = ops[0][1] if ops and ops[0][0] == "S" else 0
+    trail = ops[-1][1] if len(ops) > 1 and ops[-1][0] == "S" else 0
+    while left < lead and ord(read.quals[left]) - 33 < least:
+        left += 1
+    while right < trail and ord(read.quals[-1 - right]) - 33 < least:
+        right += 1
+    return cut(read, left, right) if left or right else read

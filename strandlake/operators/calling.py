@@ -133,6 +133,34 @@ def called(groups: DataFrame, confidence: float = CONFIDENCE, block: int = BLOCK
     return per.groupBy(*site).applyInPandas(per_site, _CALLS)
 
 
+_PHASED = "contig string, start bigint, position bigint, ref string, alt string, sample string, phase_set int, phased_gt string"
+
+
+def phased(calls: DataFrame, found: DataFrame) -> DataFrame:
+    """Heterozygous calls of ``called`` that the haplotypes of their region hold together or apart: (contig, start, position, ref, alt, sample, phase_set, phased_gt).
+
+    found: ``region_haplotypes``. A region's calls and haplotypes are one group: at most a few events for each sample, and 128 haplotypes a graph.
+    """
+
+    def per_region(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(left) and len(right):
+            events = [set(assembly.haplotype_events(R.parse(h["cigar"]), piece.ref, h["haplotype"], int(piece.ref_start))) for piece in right.itertuples() for h in piece.haplotypes]
+            for sample, own in left.groupby("sample", dropna=False):
+                hets = sorted((int(x.position), x.ref, x.alt) for x in own.itertuples() if x.gt == "0/1")
+                for (position, ref, alt), (number, gt) in genotype.phase_sets(events, hets).items():
+                    rows.append((left.contig.iloc[0], left.start.iloc[0], position, ref, alt, None if pd.isna(sample) else sample, number, gt))
+        return pd.DataFrame(rows, columns=["contig", "start", "position", "ref", "alt", "sample", "phase_set", "phased_gt"])
+
+    key = ["contig", "start"]
+    return calls.groupBy(*key).cogroup(found.groupBy(*key)).applyInPandas(per_region, _PHASED)
+
+
+def region_haplotypes(groups: DataFrame) -> DataFrame:
+    """(contig, start, stop, ref_start, ref, n_reads, haplotypes) of each stretch of a region."""
+    return _regions(groups)
+
+
 def with_alignment_quality(reads: DataFrame, refs: DataFrame, band: int = 7) -> DataFrame:
     """Add ``baq``: capped base qualities as text for reads with an indel or a clip in their CIGAR; others keep theirs.
 

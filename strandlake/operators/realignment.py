@@ -19,7 +19,7 @@ from strandlake.kernels import realign as A
 from strandlake.kernels import reads as R
 from strandlake.operators import intervals, pileup, reference
 from strandlake.session import staged
-from strandlake.tables import contig_key
+from strandlake.tables import FLAG_FIRST, FLAG_SECOND, FLAG_SECONDARY, FLAG_SUPPLEMENTARY, contig_key, with_sample
 
 #: Share of a column's qualities that mismatches from which it counts as mismatching, what of that must go for a column to be cleaned,
 #: and what a moved read's mapping quality gains, up to its cap.
@@ -178,4 +178,28 @@ def with_moves(reads: DataFrame, moves: DataFrame) -> DataFrame:
     return joined.withColumns(changed).select(*reads.columns)
 
 
-__all__ = ["known_events", "realigned", "with_moves"]
+def with_mates_fixed(reads: DataFrame, moves: DataFrame, read_groups: DataFrame) -> DataFrame:
+    """Reads after ``with_moves`` whose mate has moved: mate_position follows, and inferred_size where both lie on one contig (kept else).
+
+    Only fragments with a moved read are looked at. A mate is the other read of a name in a sample (first against second, primary lines only); of several deliveries of it the
+    smallest id counts.
+    """
+    bare = F.regexp_replace("read_name", "/[12]$", "")
+    first, second = F.col("flag").bitwiseAND(FLAG_FIRST) != 0, F.col("flag").bitwiseAND(FLAG_SECOND) != 0
+    primary = F.col("flag").bitwiseAND(FLAG_SECONDARY | FLAG_SUPPLEMENTARY) == 0
+    paired = with_sample(reads, read_groups, out="_sample").where(primary & (first != second))
+    moved = paired.join(moves.select("record_id").distinct(), "record_id", "left_semi")
+    end = F.col("contig_position") + C.reference_length(F.col("cigar")) - 1
+    mate = F.struct(F.col("record_id").alias("id"), F.col("contig_position").alias("at"), end.alias("end"), contig_key(F.col("contig_name")).alias("contig"))
+    news = moved.groupBy(F.coalesce("_sample", F.lit("")).alias("_s"), bare.alias("_name"), second.alias("_first")).agg(F.min(mate).alias("_mate"))
+    keyed = with_sample(reads, read_groups, out="_sample").withColumns({"_k": F.coalesce("_sample", F.lit("")), "_bare": bare, "_is_first": F.when(primary & (first != second), first)})
+    joined = keyed.join(news, (F.col("_k") == F.col("_s")) & (F.col("_bare") == F.col("_name")) & (F.col("_is_first") == F.col("_first")), "left")
+    has = F.col("_mate").isNotNull()
+    same = F.col("_mate.contig") == contig_key(F.col("contig_name"))
+    left, right = F.least(F.col("contig_position"), F.col("_mate.at")), F.greatest(end, F.col("_mate.end"))
+    sign = F.when(F.col("contig_position") <= F.col("_mate.at"), 1).otherwise(-1)
+    changed = {"mate_position": F.when(has, F.col("_mate.at").cast("int")).otherwise(F.col("mate_position")), "inferred_size": F.when(has & same & F.col("inferred_size").isNotNull(), (sign * (right - left + 1)).cast("int")).otherwise(F.col("inferred_size"))}
+    return joined.withColumns(changed).select(*reads.columns)
+
+
+__all__ = ["known_events", "realigned", "with_mates_fixed", "with_moves"]

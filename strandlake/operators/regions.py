@@ -102,9 +102,38 @@ def capped_by_start(reads: DataFrame, keys: list[str], most: int, seed: int = 7,
 
 
 def region_reads(found: DataFrame, spans: DataFrame) -> DataFrame:
-    """Number of reads that overlap each region."""
+    """Number of reads that overlap each region, and from where to where they reach."""
     pairs = intervals.range_join(found, spans, ["contig"], "start", "stop", "from_position", "to_position", width=1 << 12)
-    return pairs.groupBy("contig", "start", "stop").agg(F.count(F.lit(1)).alias("n_reads"))
+    return pairs.groupBy("contig", "start", "stop").agg(F.count(F.lit(1)).alias("n_reads"), F.min("from_position").alias("reads_from"), F.max("to_position").alias("reads_to"))
 
 
-__all__ = ["LOCUS", "activity", "capped_by_start", "indel_events", "kernel", "region_reads", "regions", "smoothed", "targets"]
+def half_width(sigma: float, tail: float = 1e-5, most: int = HALF_WIDTH) -> int:
+    """Positions to either side at which a Gaussian has fallen below ``tail`` (as a share of its sum), at most ``most``."""
+    total = sum(math.exp(-(o * o) / (2 * sigma * sigma)) for o in range(-most, most + 1))
+    return next((o for o in range(most + 1) if math.exp(-(o * o) / (2 * sigma * sigma)) / total < tail), most)
+
+
+def spread_clips(rows: DataFrame, base: int = 0) -> DataFrame:
+    """(contig, position, activity) of rows with ``n_clips``, high-quality soft-clipped bases next to a position, shared by the positions that they would reach to either side."""
+    reach = F.sequence(-F.col("n_clips") - base, F.col("n_clips") + base)
+    reached = rows.where("n_clips > 0").select("contig", "position", F.explode(reach).alias("_o"))
+    return reached.select("contig", (F.col("position") + F.col("_o")).alias("position"), F.lit(1).alias("activity")).where("position >= 1").groupBy("contig", "position").agg(F.sum("activity").alias("activity"))
+
+
+def trimmed(found: DataFrame, events: DataFrame, snp_padding: int = 20, indel_padding: int = 150) -> DataFrame:
+    """Regions (contig, start, stop) shrunk to their events (contig, start, position, ref, alt) and a padding that indels need more of: from_position and to_position, and what is left as flanks.
+
+    A region without events has null bounds and is all flank.
+    """
+    indel = F.length("ref") != F.length("alt")
+    pad = F.when(indel, indel_padding).otherwise(snp_padding)
+    per = events.groupBy("contig", "start").agg(F.min(F.col("position") - pad).alias("_lo"), F.max(F.col("position") + F.length("ref") - 1 + pad).alias("_hi"), F.count(F.lit(1)).alias("n_events"))
+    joined = found.join(per, ["contig", "start"], "left").withColumns({"from_position": F.greatest("start", F.when(F.col("_lo").isNotNull(), F.col("_lo")).otherwise(F.lit(None))), "to_position": F.least("stop", F.when(F.col("_hi").isNotNull(), F.col("_hi")).otherwise(F.lit(None)))})
+    none = F.col("_lo").isNull()
+    flank = lambda a, b: F.when(b >= a, F.struct(a.alias("from_position"), b.alias("to_position")))
+    bounds = {"from_position": F.when(~none, F.col("from_position")), "to_position": F.when(~none, F.col("to_position"))}
+    out = joined.withColumns(bounds).withColumns({"left_flank": F.when(none, flank(F.col("start"), F.col("stop"))).otherwise(flank(F.col("start"), F.col("from_position") - 1)), "right_flank": flank(F.col("to_position") + 1, F.col("stop")), "n_events": F.coalesce("n_events", F.lit(0))})
+    return out.drop("_lo", "_hi")
+
+
+__all__ = ["LOCUS", "activity", "capped_by_start", "half_width", "indel_events", "kernel", "region_reads", "regions", "smoothed", "spread_clips", "targets", "trimmed"]

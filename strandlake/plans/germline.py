@@ -23,8 +23,8 @@ def germline(spark: SparkSession, tables: dict[str, DataFrame], threshold: int =
     if "reference" not in tables:
         stage("take_consensus", ("unique_reads", *_PLACES), "reference", lambda r, g, c: reference.slices(tallies.consensus(tallies.position_counts(r, g, c))), keep=True)
     stage("find_targets", ("unique_reads", *_PLACES, "variants"), "targets", lambda r, g, c, v: regions.targets(regions.indel_events(pileup.elements(r, g, c), v)), keep=True)
-    stage("realign", ("targets", "unique_reads", *_PLACES, "reference", "variants"), "moves", realignment.realigned)
-    stage("move_reads", ("unique_reads", "moves"), "realigned_reads", realignment.with_moves, keep=True)
+    stage("realign", ("targets", "unique_reads", *_PLACES, "reference", "variants"), "moves", realignment.realigned, keep=True)
+    stage("move_reads", ("unique_reads", "moves", "read_groups"), "realigned_reads", lambda r, m, g: realignment.with_mates_fixed(realignment.with_moves(r, m), m, g), keep=True)
     stage("find_known_sites", ("variants",), "known_sites", recal.known_sites)
     stage("meet_reference", ("realigned_reads", *_PLACES, "reference", "known_sites"), "reads_on_reference", recal.reads_on_reference)
     stage("count_covariates", ("reads_on_reference",), "recal_counts", recal.counted, keep=True)

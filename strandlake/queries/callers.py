@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import cigar as C
 from strandlake.kernels import align
-from strandlake.operators import annotations, calling, pileup, reference, variants
+from strandlake.operators import annotations, calling, pileup, reference, regions, variants
 from strandlake.queries.pileups import _consensus
 from strandlake.queries.somatics import active_regions
 from strandlake.session import staged
@@ -28,6 +28,19 @@ def region_calls(spark: SparkSession, sf: str) -> DataFrame:
     return calling.called(_groups(spark, sf))
 
 
+def phased_calls(spark: SparkSession, sf: str) -> DataFrame:
+    groups = staged(_groups(spark, sf), "region-groups")
+    return calling.phased(staged(calling.called(groups), "calls"), calling.region_haplotypes(groups))
+
+
+def trimmed_regions(spark: SparkSession, sf: str) -> DataFrame:
+    """Active regions shrunk to the events called in them."""
+    groups = staged(_groups(spark, sf), "region-groups")
+    events = staged(calling.called(groups), "calls").select("contig", "start", "position", "ref", "alt").distinct()
+    got = regions.trimmed(groups.select("contig", "start", "stop").distinct(), events)
+    return got.select("contig", "start", "stop", "from_position", "to_position", "n_events", F.col("left_flank.to_position").alias("left_to"), F.col("right_flank.from_position").alias("right_from"))
+
+
 def alignment_quality(spark: SparkSession, sf: str) -> DataFrame:
     """Reads whose base qualities the alignment caps, and by how much in all."""
     refs = reference.slices(_consensus(spark, sf))
@@ -57,5 +70,5 @@ def sw_align(spark: SparkSession, sf: str) -> DataFrame:
     return with_ref.withColumn("a", aligned("ref_seq", "seq")).select("record_id", (F.col("ref_start") + F.col("a.start")).alias("position"), "a.cigar", "a.score")
 
 
-QUERIES = {f.__name__: f for f in (assembly_haplotypes, region_calls, alignment_quality, af_exact, sw_align)}
+QUERIES = {f.__name__: f for f in (assembly_haplotypes, region_calls, phased_calls, trimmed_regions, alignment_quality, af_exact, sw_align)}
 ORACLES: dict[str, str] = {}
