@@ -6,9 +6,9 @@ form a bundle: bases and base qualities have one length, which the leader's CIGA
 of them. A branch-and-bound search chooses a source for each bundle: the most fields filled, and of equals the most trusted records, compared
 as whole numbers one after the other, with no dependency broken.
 
-No group is gathered. A first aggregate (partial before the shuffle) gives each group its leader and the best record of each field that
-stands alone. Only where the leader lacks bases or qualities are further records asked: those with the length that the leader demands, the best
-of each of three classes (bases fit, qualities fit, both), found by a second aggregate and a join. The search sees at most seven
+No group is gathered. A first aggregate (partial before the shuffle) keeps the best record of each profile: the fields that a record has, and their
+lengths. A second one gives each group its leader and the best record of each field that stands alone. Only where the leader lacks bases or qualities are further records asked: those with the length that the leader demands, the best
+of each of three classes (bases fit, qualities fit, both), found by a join and a third aggregate. The search sees at most seven
 records, however many a group has and however their lengths vary.
 
 Defined results: fields are missing if null, empty, ``*`` or a mapping quality of 255; missing qualities and load times rank last;
@@ -152,9 +152,12 @@ def _search(batches):
 def _candidates(reads: DataFrame, read_groups: DataFrame, contigs: DataFrame) -> DataFrame:
     """One row per group of two or more: (keys, n_records, group_id, profiles), the profiles those that a best choice can use, null where there is none."""
     ends = fragment_ends(reads, read_groups, contigs)
+    # Records of one profile (fields present, and their lengths) can stand in for each other, so the best of each is enough for all that follows.
+    best_of = ends.groupBy(*KEYS, "profile").agg(F.max("rank").alias("rank"), F.count(F.lit(1)).alias("n"), F.max("rank.minus_id").alias("minus_min"))
+    best_of = staged(best_of, "read-profiles")  # read twice
     record = F.struct("rank", "profile")
     alone = [F.max(F.when(F.col(f"profile.{f}"), record)).alias(f"_{f}") for f in ("map_q", "inferred_size", "attributes")]
-    groups = ends.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_records"), (-F.max("rank.minus_id")).alias("group_id"), F.max(record).alias("_leader"), *alone).where("n_records > 1")
+    groups = best_of.groupBy(*KEYS).agg(F.sum("n").alias("n_records"), (-F.max("minus_min")).alias("group_id"), F.max(record).alias("_leader"), *alone).where("n_records > 1")
     groups = staged(groups, "duplicate-groups")  # read twice
     seq, quals = F.col("_leader.profile.seq"), F.col("_leader.profile.base_quals")
     wanted = groups.where(seq.isNull() | quals.isNull()).select(
@@ -163,8 +166,7 @@ def _candidates(reads: DataFrame, read_groups: DataFrame, contigs: DataFrame) ->
         F.when(seq.isNull(), F.when(quals.isNull() | (quals == F.col("_leader.profile.read_length")), F.col("_leader.profile.read_length"))).alias("_seq_length"),
         F.when(quals.isNull(), F.coalesce(seq, F.col("_leader.profile.read_length"))).alias("_quals_length"),
     )
-    lengths = [F.col("profile.seq").alias("_seq"), F.col("profile.base_quals").alias("_quals")]
-    others = ends.where(F.col("profile.seq").isNotNull() | F.col("profile.base_quals").isNotNull()).groupBy(*KEYS, *lengths).agg(F.max(record).alias("_record"))
+    others = best_of.where(F.col("profile.seq").isNotNull() | F.col("profile.base_quals").isNotNull()).select(*KEYS, F.col("profile.seq").alias("_seq"), F.col("profile.base_quals").alias("_quals"), record.alias("_record"))
     joined = others.join(wanted, [others[k].eqNullSafe(wanted[f"_k_{k}"]) for k in KEYS])
     seq_fits, quals_fit = (F.coalesce(F.col(a) == F.col(b), F.lit(False)) for a, b in (("_seq", "_seq_length"), ("_quals", "_quals_length")))
     classes = {"_both": seq_fits & quals_fit, "_seq_only": seq_fits, "_quals_only": quals_fit}
