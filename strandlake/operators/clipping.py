@@ -44,6 +44,21 @@ def finalized(rows: DataFrame, low: int = LOW_ENDS, keep_soft_clips: bool = Fals
     return rows.withColumn("cut", run("contig_position", "cigar", "seq", "base_quals", "flag", "mate_position", "inferred_size"))
 
 
+def _overlapping_pairs(rows: DataFrame) -> DataFrame:
+    """Mates side by side (columns ending in 1 and 2) whose reference spans overlap; of several deliveries of a mate the smallest id."""
+    sound = rows.where((F.length("seq") == F.length("base_quals")) & (C.read_length(F.col("cigar")) == F.length("seq")) & (F.col("flag").bitwiseAND(t.FLAG_PAIRED) != 0))
+    fields = ["record_id", "contig_position", "cigar", "seq", "base_quals"]
+
+    def side(bit: int, mark: str) -> DataFrame:
+        one = sound.where(F.col("flag").bitwiseAND(bit) != 0).groupBy("sample", "contig", F.regexp_replace("read_name", "/[12]$", "").alias("name")).agg(F.min_by(F.struct(*fields), "record_id").alias("r"))
+        return one.select("sample", "contig", "name", *(F.col(f"r.{c}").alias(f"{c}{mark}") for c in fields))
+
+    a, b = side(t.FLAG_FIRST, "1"), side(t.FLAG_SECOND, "2")
+    pairs = a.join(b, a["sample"].eqNullSafe(b["sample"]) & (a["contig"] == b["contig"]) & (a["name"] == b["name"]))
+    end = lambda m: F.col(f"contig_position{m}") + C.reference_length(F.col(f"cigar{m}")) - 1
+    return pairs.where((F.col("contig_position1") <= end("2")) & (F.col("contig_position2") <= end("1"))).select(a["*"], *(b[f"{c}2"] for c in fields))
+
+
 def mended_mates(rows: DataFrame, cap: int = 20) -> DataFrame:
     """(record_id, base_quals) of mates that overlap their other mate: agreeing bases capped, differing ones 0.
 
@@ -55,18 +70,9 @@ def mended_mates(rows: DataFrame, cap: int = 20) -> DataFrame:
         out = [R.mended_mates(R.Read.of(int(a), b, c, d), R.Read.of(int(e), f, g, h), cap) for a, b, c, d, e, f, g, h in zip(a1, c1, s1, q1, a2, c2, s2, q2, strict=True)]
         return pd.DataFrame(out, columns=["a", "b"])
 
-    sound = rows.where((F.length("seq") == F.length("base_quals")) & (C.read_length(F.col("cigar")) == F.length("seq")) & (F.col("flag").bitwiseAND(t.FLAG_PAIRED) != 0))
-    fields = ["record_id", "contig_position", "cigar", "seq", "base_quals"]
-
-    def side(bit: int, mark: str) -> DataFrame:
-        one = sound.where(F.col("flag").bitwiseAND(bit) != 0).groupBy("sample", "contig", F.regexp_replace("read_name", "/[12]$", "").alias("name")).agg(F.min_by(F.struct(*fields), "record_id").alias("r"))
-        return one.select("sample", "contig", "name", *(F.col(f"r.{c}").alias(f"{c}{mark}") for c in fields))
-
-    a, b = side(t.FLAG_FIRST, "1"), side(t.FLAG_SECOND, "2")
-    pairs = a.join(b, a["sample"].eqNullSafe(b["sample"]) & (a["contig"] == b["contig"]) & (a["name"] == b["name"]))
-    end = lambda m: F.col(f"contig_position{m}") + C.reference_length(F.col(f"cigar{m}")) - 1
-    pairs = pairs.where((F.col("contig_position1") <= end("2")) & (F.col("contig_position2") <= end("1")))
-    mended = pairs.withColumn("q", run(*(f"{c}{m}" for m in "12" for c in fields[1:])))
+    pairs = _overlapping_pairs(rows)
+    fields = ["contig_position", "cigar", "seq", "base_quals"]
+    mended = pairs.withColumn("q", run(*(f"{c}{m}" for m in "12" for c in fields)))
     return mended.select(F.inline(F.array(F.struct(F.col("record_id1").alias("record_id"), F.col("q.a").alias("base_quals")), F.struct(F.col("record_id2").alias("record_id"), F.col("q.b").alias("base_quals")))))
 
 
@@ -82,3 +88,26 @@ def ready_for_calling(reads: DataFrame, read_groups: DataFrame, contigs: DataFra
     cut = finalized(joined.where(sound), low).where("length(cut.seq) > 0")
     cut = cut.withColumns({"contig_position": F.col("cut.start").cast("int"), "cigar": F.col("cut.cigar"), "seq": F.col("cut.seq"), "base_quals": F.col("cut.base_quals")}).select(*reads.columns)
     return cut.unionByName(joined.where(~sound).select(*reads.columns))
+
+
+_MERGED = "struct<start:bigint,cigar:string,seq:string,base_quals:string>"
+
+
+def merged_mates(rows: DataFrame) -> DataFrame:
+    """(sample, contig, name, record_id1, record_id2, start, cigar, seq, base_quals): gapless mates that overlap as one read over both; pairs with an indel, a clip or no overlap don't come out.
+
+    rows: as for ``mended_mates``, with upper case sequences.
+    """
+
+    @F.pandas_udf(_MERGED)
+    def run(a1: pd.Series, c1: pd.Series, s1: pd.Series, q1: pd.Series, a2: pd.Series, c2: pd.Series, s2: pd.Series, q2: pd.Series) -> pd.DataFrame:
+        out = []
+        for a, b, c, d, e, f, g, h in zip(a1, c1, s1, q1, a2, c2, s2, q2, strict=True):
+            one = R.merged_mates(R.Read.of(int(a), b, c, d), R.Read.of(int(e), f, g, h))
+            out.append((one.start, one.cigar, one.seq, one.quals) if one else (None, None, None, None))
+        return pd.DataFrame(out, columns=["start", "cigar", "seq", "base_quals"]).astype({"start": "Int64"})
+
+    pairs = _overlapping_pairs(rows)
+    fields = ["contig_position", "cigar", "seq", "base_quals"]
+    merged = pairs.withColumn("_m", run(*(f"{c}{m}" for m in "12" for c in fields))).where("_m.seq is not null")
+    return merged.select("sample", "contig", "name", "record_id1", "record_id2", "_m.*")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strandlake.queries import callers, calls, compacts, confidence, contexts, extended, formats, genome, joins, parts, pileups, reports, problems, readchanges, recalibration, somatics
+from strandlake.queries import callers, calls, compacts, confidence, contexts, extended, formats, genome, joins, parts, pileups, problems, readchanges, recalibration, reports, somatics, summaries
 
-_MODULES = (problems, genome, pileups, recalibration, calls, somatics, callers, formats, readchanges, joins, contexts, parts, reports, confidence, extended, compacts)
+_MODULES = (problems, genome, pileups, recalibration, calls, somatics, callers, formats, readchanges, joins, contexts, parts, reports, confidence, extended, compacts, summaries)
 
 
 def queries() -> dict:
