@@ -84,10 +84,20 @@ class Registry:
         samples = None
         for name in per_sample:
             rows = self.get("format_annotation", name)(sites)
-            samples = rows if samples is None else samples.join(rows, ["sample", *pileup.LOCUS], "full_outer")
+            samples = rows if samples is None else _joined_by_sample(samples, rows)
         return out, samples
 
 
+def _joined_by_sample(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Full outer join by sample and site; a null sample is one like any other."""
+    keys = ["sample", *pileup.LOCUS]
+    other = b.withColumnsRenamed({k: f"_{k}" for k in keys})
+    joined = a.join(other, [a[k].eqNullSafe(other[f"_{k}"]) for k in keys], "full_outer")
+    # Sites are never null, so a null position tells the side that is missing.
+    mine = F.col("position").isNotNull()
+    return joined.withColumns({k: F.when(mine, F.col(k)).otherwise(F.col(f"_{k}")) for k in keys}).drop(*(f"_{k}" for k in keys))
+
+
 @dataclass(frozen=True)
 class Sites:
     """What annotations see: the sites (contig, position, ref, alt), pileup elements, counts per position, and the reads' strand tables."""
