@@ -191,6 +191,9 @@ ORACLES = {
     "pileup_strings": f"""WITH {_ELEMENTS} SELECT contig, position, CAST(0 AS INT) AS chunk, string_agg(CASE WHEN is_deletion THEN '*' WHEN is_reverse THEN lower(base) ELSE base END, '' ORDER BY record_id) AS bases, string_agg(chr(CAST(coalesce(qual, 0) + 33 AS INT)), '' ORDER BY record_id) AS quals FROM els GROUP BY contig, position""",
     "quality_filters": f"WITH {_ELEMENTS} " + " UNION ALL ".join(f"SELECT sample, count(*) AS n, '{k}' AS rule FROM els WHERE {w} GROUP BY sample" for k, w in _RULES.items()),
     "read_mismatches": f"WITH {_ELEMENTS}, {_CONSENSUS} SELECT record_id, count(*) AS mismatches, CAST(coalesce(sum(qual), 0) AS BIGINT) AS qual_sum FROM els JOIN cons USING (contig, position) WHERE base IN ('A', 'C', 'G', 'T') AND base <> ref GROUP BY record_id",
+    "reference_windows": f"""WITH {_ELEMENTS}, {_CONSENSUS}, rw AS (SELECT record_id, cname AS contig, greatest(1, contig_position - 5) AS a, contig_position + {cigar_sum("MDN=X")} - 1 + 5 AS b FROM (SELECT *, {contig_key()} AS k FROM reads WHERE {_kept(filters.PRESETS["locus_walker"])}) r JOIN known ON ckey = k
+        WHERE cigar <> '*' AND cigar <> '' AND contig_position >= 1), x AS (SELECT record_id, contig, a, unnest(range(CAST(a AS BIGINT), CAST(b + 1 AS BIGINT))) AS position FROM rw)
+        SELECT record_id, CAST(a AS BIGINT) AS ref_start, string_agg(coalesce(ref, 'N'), '' ORDER BY x.position) AS ref_seq FROM x LEFT JOIN cons USING (contig, position) GROUP BY record_id, a""",
     "base_functions": f"""SELECT record_id, CAST(instr('ACGT', upper(substr(seq, 1, 1))) - 1 AS INT) AS first_index, upper(substr(seq, 1, 1)) IN ('A', 'C', 'G', 'T') AS first_regular, {_REVCOMP} AS revcomp, regexp_replace(seq, '[^ACGTNacgtn.*-]', 'N', 'g') AS cleaned,
         CASE WHEN upper(substr(seq, 1, 1)) NOT IN ('A', 'C', 'G', 'T') OR upper(substr(seq, 2, 1)) NOT IN ('A', 'C', 'G', 'T') OR upper(substr(seq, 1, 1)) = upper(substr(seq, 2, 1)) THEN NULL WHEN upper(substr(seq, 1, 2)) IN ('AG', 'GA', 'CT', 'TC') THEN 'transition' ELSE 'transversion' END AS step_class,
         CASE WHEN regexp_full_match(substr(seq, 2, 3), '[ACGT]{{3}}') THEN substr(seq, 2, 3) END AS context3, substr(seq, 2, 3) || 'x' || substr(seq, 6, 3) AS flanked,
