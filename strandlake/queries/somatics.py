@@ -5,10 +5,10 @@ The sample with the smallest name stands in for the normal, all others for the t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.operators import periods, recal, regions, somatic, tallies
+from strandlake.operators import periods, pileup, recal, regions, somatic, tallies
 from strandlake.queries.pileups import _CONSENSUS, _ELEMENTS, _STRANDS, _consensus, _counts, _elements
 from strandlake.queries.sqlparts import contig_key
 from strandlake.tables import table
@@ -59,10 +59,14 @@ def best_genotype(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("sample", "contig", "position", "genotype", F.round("lead", 4).alias("lead"))
 
 
-def _candidates(spark: SparkSession, sf: str) -> DataFrame:
-    els = _elements(spark, sf)
+def _tumor_reads(spark: SparkSession, sf: str) -> tuple[DataFrame, Column, Column]:
+    """Placed reads, and which are the tumor's and the normal's."""
     first = table(spark, sf, "read_groups").agg(F.min("sample_name").alias("m")).collect()[0]["m"]  # one value
-    return somatic.candidates(els, _consensus(spark, sf), F.col("sample") != first, F.col("sample") == first)
+    return pileup.read_rows(*(table(spark, sf, n) for n in ("reads", "read_groups", "contigs"))), F.col("sample") != first, F.col("sample") == first
+
+
+def _candidates(spark: SparkSession, sf: str) -> DataFrame:
+    return somatic.read_candidates(*_tumor_reads(spark, sf))
 
 
 def somatic_lod(spark: SparkSession, sf: str) -> DataFrame:
