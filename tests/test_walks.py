@@ -58,7 +58,7 @@ def test_candidates_as_from_elements(spark):
 
 
 #: Queries that once made a row per base and joined those by position.
-WITHOUT_BASES = ["best_candidates"]
+WITHOUT_BASES = ["best_candidates", "somatic_lod"]
 
 
 @pytest.mark.parametrize("name", WITHOUT_BASES)
