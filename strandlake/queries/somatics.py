@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from strandlake.operators import periods, pileup, recal, regions, somatic, tallies
 from strandlake.queries.pileups import _CONSENSUS, _ELEMENTS, _STRANDS, _consensus, _counts, _elements
 from strandlake.queries.sqlparts import contig_key
+from strandlake.session import staged
 from strandlake.tables import table
 
 
@@ -76,7 +77,8 @@ def somatic_lod(spark: SparkSession, sf: str) -> DataFrame:
 
 def somatic_rejections(spark: SparkSession, sf: str) -> DataFrame:
     panel = recal.known_sites(table(spark, sf, "variants"))
-    return somatic.judged(_candidates(spark, sf), panel).groupBy(F.concat_ws(",", "reasons").alias("reasons"), "reported", "kept").agg(F.count(F.lit(1)).alias("n"))
+    rows = staged(_candidates(spark, sf), "candidates")  # they meet themselves by position
+    return somatic.judged(rows, panel).groupBy(F.concat_ws(",", "reasons").alias("reasons"), "reported", "kept").agg(F.count(F.lit(1)).alias("n"))
 
 
 def somatic_power(spark: SparkSession, sf: str) -> DataFrame:

@@ -4,8 +4,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from conftest import SMALL
+from pyspark.sql import functions as F
 
-from strandlake.operators import pileup, somatic, tallies, walks
+from strandlake.operators import pileup, recal, somatic, tallies, walks
 from strandlake.queries import registry
 from strandlake.queries.somatics import _tumor_reads
 from strandlake.tables import table
@@ -57,8 +58,16 @@ def test_candidates_as_from_elements(spark):
     assert bag(got) == bag(want) and got.count() > 100
 
 
+def test_rejections_as_from_elements(spark):
+    rows, tumor, normal = _tumor_reads(spark, SMALL)
+    tables = [table(spark, SMALL, n) for n in ("reads", "read_groups", "contigs")]
+    judged = somatic.judged(somatic.candidates(pileup.elements(*tables), tallies.consensus(tallies.position_counts(*tables)), tumor, normal), recal.known_sites(table(spark, SMALL, "variants")))
+    want = judged.groupBy(F.concat_ws(",", "reasons").alias("reasons"), "reported", "kept").agg(F.count(F.lit(1)).alias("n"))
+    assert sorted(map(tuple, registry.queries()["somatic_rejections"](spark, SMALL).collect())) == sorted(map(tuple, want.collect()))
+
+
 #: Queries that once made a row per base and joined those by position.
-WITHOUT_BASES = ["best_candidates", "somatic_lod"]
+WITHOUT_BASES = ["best_candidates", "somatic_lod", "somatic_rejections"]
 
 
 @pytest.mark.parametrize("name", WITHOUT_BASES)
