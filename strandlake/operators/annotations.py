@@ -6,12 +6,17 @@ over value counts and no site's reads are gathered.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandlake.kernels import maths
+from strandlake.operators import walks
 from strandlake.operators.pileup import LOCUS
 from strandlake.operators.variants import alts, sample_value
 from strandlake.tables import contig_key
@@ -82,6 +87,38 @@ def strand_bias_by_sample(els: DataFrame, sites: DataFrame) -> DataFrame:
     return rows.groupBy("sample", *LOCUS).agg(*(n(a, r) for a in ("ref", "alt") for r in (False, True)))
 
 
+_SAMPLE_TABLES = "sample string, contig string, position bigint, ref_forward bigint, ref_reverse bigint, alt_forward bigint, alt_reverse bigint, depth bigint, mq0 bigint"
+
+
+def _sample_tables_of(bins: walks.Bins) -> Iterator[pa.RecordBatch]:
+    keys, counts = walks.base_counts(bins)
+    ref = counts.argmax(axis=1)
+    counts[np.arange(len(keys)), ref] = 0
+    some = counts.any(axis=1)
+    keys, ref, alt = keys[some], ref[some], counts[some].argmax(axis=1)
+    total, names = None, {}
+    for b in bins.blocks():
+        coded = b.rows.column("sample").dictionary_encode(null_encoding="encode")
+        codes = np.array([names.setdefault(x, len(names)) for x in coded.dictionary.to_pylist()], np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
+        site, there = walks.placed_among(keys, b.key)
+        at, site = np.flatnonzero(there), site[there]
+        read, base, strand = b.read[at], b.base[at], b.strand[b.read[at]]
+        marks = [base == x[site] for x in (ref, alt)]
+        marks = [m & (strand == s) for m in marks for s in (0, 1)] + [~b.deletion[at], b.map_q[read] == 0, np.ones(len(at), bool)]
+        cells = [np.flatnonzero(m) for m in marks]
+        own = (site << 32) + codes[read]
+        total = walks.added(total, np.concatenate([own[x] for x in cells]), np.repeat(np.arange(len(cells)), [len(x) for x in cells]), len(cells))
+    own, counts = total
+    if len(own):
+        sample = pa.array(list(names), pa.string()).take(pa.array(own & 0xFFFFFFFF))
+        yield pa.RecordBatch.from_arrays([sample, *bins.locus(keys[own >> 32]), *(pa.array(np.ascontiguousarray(counts[:, i])) for i in range(6))], names=[x.split()[0] for x in _SAMPLE_TABLES.split(", ")])
+
+
+def sample_tables(rows: DataFrame) -> DataFrame:
+    """Strand counts, depth and reads of mapping quality 0 of each sample where a base differs from the consensus, for placed reads (``pileup.read_rows``), from one exchange of them."""
+    return walks.walked(rows, {"sample": F.col("sample")}, _sample_tables_of, _SAMPLE_TABLES)
+
+
 def mapping_quality_zero_by_sample(els: DataFrame) -> DataFrame:
     """(sample, contig, position, mq0) where a sample has reads of mapping quality 0."""
     return els.where("map_q = 0").groupBy("sample", *LOCUS).agg(F.count(F.lit(1)).alias("mq0"))

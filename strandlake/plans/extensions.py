@@ -36,6 +36,15 @@ KINDS = {
 }
 
 
+STRAND_COLUMNS = [f"{a}_{d}" for a in ("ref", "alt") for d in ("forward", "reverse")]
+
+
+def samples_of(rows: DataFrame) -> DataFrame:
+    """The FORMAT annotations SB, DP and MQ0 at the sites of placed reads (``pileup.read_rows``), made together; null where a sample has no such read."""
+    found = annotations.sample_tables(rows)
+    return found.select("sample", *pileup.LOCUS, F.array(*STRAND_COLUMNS).alias("SB"), F.nullif("depth", F.lit(0)).alias("DP"), F.nullif("mq0", F.lit(0)).alias("MQ0"))
+
+
 class ExtensionError(ValueError):
     pass
 
@@ -81,8 +90,9 @@ class Registry:
         out = sites.sites
         for name in info:
             out = out.join(self.get("info_annotation", name)(sites), pileup.LOCUS, "left")
-        samples = None
-        for name in per_sample:
+        made = [n for n in per_sample if sites.samples is not None and n in sites.samples.columns]
+        samples = sites.samples.select("sample", *pileup.LOCUS, *made) if made else None
+        for name in [n for n in per_sample if n not in made]:
             rows = self.get("format_annotation", name)(sites)
             samples = rows if samples is None else _joined_by_sample(samples, rows)
         return out, samples
@@ -100,11 +110,15 @@ def _joined_by_sample(a: DataFrame, b: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Sites:
-    """What annotations see: the sites (contig, position, ref, alt), pileup elements, counts per position, and the reads' strand tables."""
+    """What annotations see: the sites (contig, position, ref, alt), pileup elements, counts per position, and the reads' strand tables.
+
+    samples: rows by sample, contig and position with FORMAT annotations that are made already, as columns of their names.
+    """
 
     sites: DataFrame
     elements: DataFrame
     counts: DataFrame
+    samples: DataFrame | None = None
 
     def at_sites(self, rows: DataFrame) -> DataFrame:
         return rows.join(self.sites.select(*pileup.LOCUS).distinct(), pileup.LOCUS, "left_semi")
@@ -129,7 +143,7 @@ def standard() -> Registry:
     r.register("info_annotation", "FS", lambda s: strands(s).select(*pileup.LOCUS, F.col("fs").alias("FS")))
     for name in ("BaseQRankSum", "MQRankSum", "ReadPosRankSum"):
         r.register("info_annotation", name, _rank_sum(name))
-    strand_columns = [f"{a}_{d}" for a in ("ref", "alt") for d in ("forward", "reverse")]
+    strand_columns = STRAND_COLUMNS
     r.register("format_annotation", "SB", lambda s: annotations.strand_bias_by_sample(s.elements, s.sites).select("sample", *pileup.LOCUS, F.array(*strand_columns).alias("SB")))
     r.register("format_annotation", "DP", lambda s: s.at_sites(s.elements).where("not is_deletion").groupBy("sample", *pileup.LOCUS).agg(F.count(F.lit(1)).alias("DP")))
     r.register("format_annotation", "MQ0", lambda s: s.at_sites(annotations.mapping_quality_zero_by_sample(s.elements)).withColumnRenamed("mq0", "MQ0"))
@@ -192,4 +206,4 @@ def sample_of(reads: DataFrame, read_groups: DataFrame) -> DataFrame:
     return with_sample(reads, read_groups)
 
 
-__all__ = ["KINDS", "ExtensionError", "Registry", "Sites", "map_loci", "map_reads", "process_bins", "sample_of", "standard"]
+__all__ = ["KINDS", "ExtensionError", "Registry", "Sites", "map_loci", "map_reads", "process_bins", "sample_of", "samples_of", "standard"]
