@@ -6,14 +6,21 @@ dot; nothing is gathered but what a result lists per locus.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strandlake.operators import walks
 from strandlake.operators.pileup import LOCUS
 
 #: Fixed value: quality of an insertion or a deletion where the read has no tag with one.
 DEFAULT_EVENT_QUALITY = 45
+#: Elements that are listed by position at once.
+LISTED = 1 << 20
 
 
 def of_read_group(els: DataFrame, read_group: str | None) -> DataFrame:
@@ -61,6 +68,53 @@ def by_start(els: DataFrame, chunk: int = 8192) -> DataFrame:
     return packed.select(*LOCUS, "chunk", F.col("r.record_id").alias("records"))
 
 
+def _by_start(bins: walks.Bins, chunk: int) -> Iterator[pa.RecordBatch]:
+    keys, seen = None, None
+    for b in bins.blocks():
+        own, code = np.unique(b.key, return_inverse=True)
+        start = b.of_read("read_start", 0)[b.read]
+        low, high = np.full(len(own), np.iinfo(np.int64).max), np.full(len(own), np.iinfo(np.int64).min)
+        np.minimum.at(low, code, start)
+        np.maximum.at(high, code, start)
+        more = np.stack([np.bincount(code, minlength=len(own)), low, high], axis=1)
+        if keys is None:
+            keys, seen = own, more
+            continue
+        both, code = np.unique(np.concatenate([keys, own]), return_inverse=True)
+        rows = np.concatenate([seen, more])
+        seen = np.stack([np.zeros(len(both), np.int64), np.full(len(both), np.iinfo(np.int64).max), np.full(len(both), np.iinfo(np.int64).min)], axis=1)
+        np.add.at(seen[:, 0], code, rows[:, 0])
+        np.minimum.at(seen[:, 1], code, rows[:, 1])
+        np.maximum.at(seen[:, 2], code, rows[:, 2])
+        keys = both
+    if keys is None or not len(keys):
+        return
+    n, low, high = seen.T
+    # Positions are listed a stretch of them at a time, each with about as many elements as a few blocks have.
+    stretch = (np.cumsum(n) - 1) // LISTED
+    for part in np.unique(stretch):
+        first, last = (int(np.searchsorted(stretch, part, side=s)) for s in ("left", "right"))
+        at, starts, ids = [], [], []
+        for b in bins.blocks():
+            inside = np.flatnonzero((b.key >= keys[first]) & (b.key <= keys[last - 1]))
+            if len(inside):
+                at.append(np.searchsorted(keys, b.key[inside]))
+                starts.append(b.of_read("read_start", 0)[b.read[inside]])
+                ids.append(b.rows.column("record_id").take(pa.array(b.read[inside])))
+        at, starts, ids = np.concatenate(at), np.concatenate(starts), pa.concat_arrays(ids)
+        number = ((starts - low[at]) * ((n[at] + chunk - 1) // chunk) / (high[at] - low[at] + 1)).astype(np.int32)
+        order = np.lexsort((ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), starts, at))
+        at, number, ids = at[order], number[order], ids.take(pa.array(order))
+        begins = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (number[1:] != number[:-1])])
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[begins, len(at)].astype(np.int32)), ids)
+        yield pa.RecordBatch.from_arrays([*bins.locus(keys[at[begins]]), pa.array(number[begins]), lists], names=["contig", "position", "chunk", "records"])
+
+
+def reads_by_start(rows: DataFrame, chunk: int = 8192) -> DataFrame:
+    """``by_start`` of placed reads (``pileup.read_rows``), from one exchange of reads."""
+    return walks.walked(rows, {"record_id": F.col("record_id"), "read_start": F.col("contig_position").cast("bigint")}, lambda bins: _by_start(bins, chunk), "contig string, position bigint, chunk int, records array<bigint>")
+
+
 def split(els: DataFrame, by: str = "sample") -> dict[str, Column]:
     """Conditions that take a context apart: by strand ``forward`` and ``reverse``; by sample use ``groupBy``; see ``joined``."""
     if by != "strand":

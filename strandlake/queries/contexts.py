@@ -43,7 +43,7 @@ def context_downsample(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def context_by_start(spark: SparkSession, sf: str) -> DataFrame:
-    got = contexts.by_start(_carrying(spark, sf, "read_start"))
+    got = contexts.reads_by_start(pileup.read_rows(*(table(spark, sf, n) for n in ("reads", "read_groups", "contigs"))))
     return got.select("contig", "position", "chunk", F.array_join(F.transform("records", lambda x: x.cast("string")), ",").alias("records"))
 
 
