@@ -37,7 +37,11 @@ def depth_histogram(counts: DataFrame) -> DataFrame:
 
 def mismatch_windows(els: DataFrame, refs: DataFrame, around: int = 5) -> DataFrame:
     """(record_id, position, quality_sum): for each mismatch of a read, the qualities of its mismatches no more than ``around`` positions away, itself included."""
-    wrong = els.where(F.col("base").isin("A", "C", "G", "T")).join(refs, LOCUS).where(F.col("base") != F.col("ref"))
+    return near_mismatches(els.where(F.col("base").isin("A", "C", "G", "T")).join(refs, LOCUS).where(F.col("base") != F.col("ref")), around)
+
+
+def near_mismatches(wrong: DataFrame, around: int = 5) -> DataFrame:
+    """``mismatch_windows`` of mismatches (record_id, position, qual)."""
     near = W.partitionBy("record_id").orderBy("position").rangeBetween(-around, around)  # the mismatches of one read
     return wrong.select("record_id", "position", F.coalesce(F.sum("qual").over(near), F.lit(0)).alias("quality_sum"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandlake.operators import bins, clipping, pileup, summaries, tallies
 from strandlake.queries.genome import _BINNED
-from strandlake.queries.pileups import _CONSENSUS, _ELEMENTS, _STRANDS, _consensus, _counts, _elements
+from strandlake.queries.pileups import _CONSENSUS, _ELEMENTS, _STRANDS, _counts, _elements, _mismatches
 from strandlake.tables import table
 
 
@@ -28,7 +28,7 @@ def depth_histogram(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def mismatch_windows(spark: SparkSession, sf: str) -> DataFrame:
-    return summaries.mismatch_windows(_elements(spark, sf), _consensus(spark, sf))
+    return summaries.near_mismatches(_mismatches(spark, sf))
 
 
 def pool_likelihoods(spark: SparkSession, sf: str) -> DataFrame:
