@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 #: K-mer sizes whose haplotypes are pooled, larger ones to try in turn where those fail, smallest edge weight of a path that isn't the
 #: reference, and how many haplotypes a graph gives.
@@ -24,15 +24,30 @@ class KmerGraph:
     def add(self, seq: str, is_ref: bool = False, times: int = 1) -> None:
         """Thread a sequence that occurs so many times; k-mers with N break it."""
         k = self.k
-        for i in range(len(seq) - k):
-            a, b = seq[i : i + k], seq[i + 1 : i + 1 + k]
-            if "N" in a or "N" in b:
-                continue
-            self.weight[a, b] += times
-            self.after[a].add(b)
-            self.before[b].add(a)
-            if is_ref:
-                self.is_ref.add((a, b))
+        if len(seq) <= k:
+            return
+        kmers = [seq[i : i + k] for i in range(len(seq) - k + 1)]
+        edges = list(zip(kmers, kmers[1:], strict=False))
+        if "N" in seq:
+            edges = [(a, b) for a, b in edges if "N" not in a and "N" not in b]
+        weight, after, before = self.weight, self.after, self.before
+        for edge in edges:
+            if edge in weight:
+                weight[edge] += times
+            else:
+                weight[edge] = times
+                after[edge[0]].add(edge[1])
+                before[edge[1]].add(edge[0])
+        if is_ref:
+            self.is_ref.update(edges)
+
+    def link(self, edge: tuple[str, str], times: int) -> None:
+        if edge in self.weight:
+            self.weight[edge] += times
+        else:
+            self.weight[edge] = times
+            self.after[edge[0]].add(edge[1])
+            self.before[edge[1]].add(edge[0])
 
     def drop(self, edge: tuple[str, str]) -> None:
         self.weight.pop(edge, None)
@@ -42,20 +57,26 @@ class KmerGraph:
     def prune(self, least: int = MIN_WEIGHT) -> None:
         """Drop linear chains whose edges are all light and none of the reference."""
         seen: set[tuple[str, str]] = set()
-        for edge in list(self.weight):
+        for edge in [e for e, n in self.weight.items() if n < least and e not in self.is_ref]:  # chains of others stay
             if edge in seen or edge not in self.weight:
                 continue
-            chain = [edge]
-            while len(self.after[chain[-1][1]]) == 1 and len(self.before[chain[-1][1]]) == 1:
-                (to,) = self.after[chain[-1][1]]
-                if (chain[-1][1], to) in chain:
+            chain, held = [edge], {edge}
+            v = edge[1]
+            while len(self.after[v]) == 1 and len(self.before[v]) == 1:
+                (to,) = self.after[v]
+                if (v, to) in held:
                     break
-                chain.append((chain[-1][1], to))
-            while len(self.before[chain[0][0]]) == 1 and len(self.after[chain[0][0]]) == 1:
-                (origin,) = self.before[chain[0][0]]
-                if (origin, chain[0][0]) in chain:
+                chain.append((v, to))
+                held.add((v, to))
+                v = to
+            v = edge[0]
+            while len(self.before[v]) == 1 and len(self.after[v]) == 1:
+                (origin,) = self.before[v]
+                if (origin, v) in held:
                     break
-                chain.insert(0, (origin, chain[0][0]))
+                chain.append((origin, v))
+                held.add((origin, v))
+                v = origin
             seen.update(chain)
             if all(self.weight[e] < least and e not in self.is_ref for e in chain):
                 for e in chain:
@@ -77,38 +98,76 @@ class KmerGraph:
         return done < len(vertices)
 
     def sources(self) -> set[str]:
-        return {v for e in self.weight for v in e if not self.before[v]}
+        return {a for a, _ in self.weight if not self.before.get(a)}
 
     def sinks(self) -> set[str]:
-        return {v for e in self.weight for v in e if not self.after[v]}
+        return {b for _, b in self.weight if not self.after.get(b)}
 
-    def best_paths(self, source: str, sink: str, most: int = MAX_HAPLOTYPES) -> list[tuple[float, str]]:
-        """(log10 score, sequence) of the best paths; an edge scores its share of its origin's weight.
+    def leaves_and_returns(self, place: dict[str, int]) -> bool:
+        """``has_cycle`` where the reference's vertices have these places along one path: what leaves it must come back further on, and what lies beside it have no cycle.
 
-        The cost still to come is known exactly from a backward pass (the graph has no cycle), so paths leave the heap in order.
+        Only vertices beside the reference are looked at: each knows the last place that leads to it.
         """
-        cost = {}
+        beside = {v for v in self.before if v not in place and self.before[v]} | {v for v in self.after if v not in place and self.after[v]}
         for v, targets in self.after.items():
-            total = sum(self.weight[v, w] for w in targets)
-            for w in targets:
-                cost[v, w] = -math.log10(self.weight[v, w] / total)
-        rest: dict[str, float] = {sink: 0.0}
-        order, seen = [], set()
-        stack = [(source, iter(self.after[source]))]
-        seen.add(source)
+            if len(targets) > 1 and v in place and any(place.get(w, math.inf) <= place[v] for w in targets):
+                return True
+        degree, last = {}, {}
+        for v in beside:
+            origins = self.before.get(v, ())
+            degree[v] = sum(o not in place for o in origins)
+            last[v] = max((place[o] for o in origins if o in place), default=-1)
+        ready = [v for v in beside if not degree[v]]
+        done = 0
+        while ready:
+            v = ready.pop()
+            done += 1
+            for w in self.after.get(v, ()):
+                if w in place:
+                    if place[w] <= last[v]:
+                        return True
+                else:
+                    last[w] = max(last[w], last[v])
+                    degree[w] -= 1
+                    if not degree[w]:
+                        ready.append(w)
+        return done < len(beside)
+
+    def best_paths(self, source: str, sink: str, most: int = MAX_HAPLOTYPES, connected: bool = False) -> list[tuple[float, str]]:
+        """(log10 score, sequence) of the best paths; an edge scores its share of its origin's weight.
+
+        The cost still to come is known exactly from a backward pass (the graph has no cycle), so paths leave the heap in order. Stretches
+        with one way on cost nothing and are gone over at once. connected: edges that don't lead to the sink are as if they weren't there.
+        """
+
+        def onward(v: str) -> tuple[str, str]:
+            letters = []
+            while v != sink and len(self.after[v]) == 1:
+                (v,) = self.after[v]
+                letters.append(v[-1])
+            return v, "".join(letters)
+
+        first, begun = onward(source)
+        steps: dict[str, list[tuple[float, str, str]]] = {}  # (weight, then cost, text, next place to choose) from each place to choose
+        order, seen, stack = [], {first}, [first]
         while stack:
-            v, it = stack[-1]
-            nxt = next((w for w in it if w not in seen), None)
-            if nxt is None:
-                order.append(v)
-                stack.pop()
+            v = stack[-1]
+            if v not in steps:
+                steps[v] = [(self.weight[v, w], w[-1] + text, to) for w in sorted(self.after[v]) for to, text in (onward(w),)] if v != sink else []
+            after = next((to for _, _, to in steps[v] if to not in seen), None)
+            if after is None:
+                order.append(stack.pop())
             else:
-                seen.add(nxt)
-                stack.append((nxt, iter(self.after[nxt])))
+                seen.add(after)
+                stack.append(after)
+        rest: dict[str, float] = {sink: 0.0}
         for v in order:
             if v != sink:
-                rest[v] = min((cost[v, w] + rest[w] for w in self.after[v] if rest.get(w, math.inf) < math.inf), default=math.inf)
-        heap = [(rest.get(source, math.inf), 0, 0.0, source, source)]
+                ways = [x for x in steps[v] if rest.get(x[2], math.inf) < math.inf] if connected else steps[v]
+                total = sum(weight for weight, _, _ in ways)
+                steps[v] = [(-math.log10(weight / total), text, to) for weight, text, to in ways]
+                rest[v] = min((cost + rest[to] for cost, _, to in steps[v] if rest.get(to, math.inf) < math.inf), default=math.inf)
+        heap = [(rest.get(first, math.inf), 0, 0.0, first, source + begun)]
         found, n = [], 0
         while heap and len(found) < most:
             bound, _, so_far, v, text = heapq.heappop(heap)
@@ -117,9 +176,9 @@ class KmerGraph:
             if v == sink:
                 found.append((-so_far, text))
                 continue
-            for w in sorted(self.after[v]):
+            for cost, more, to in steps[v]:
                 n += 1
-                heapq.heappush(heap, (so_far + cost[v, w] + rest.get(w, math.inf), n, so_far + cost[v, w], w, text + w[-1]))
+                heapq.heappush(heap, (so_far + cost + rest.get(to, math.inf), n, so_far + cost, to, text + more))
         return found
 
 
@@ -131,26 +190,111 @@ def repeated_kmers(seq: str, k: int) -> set[str]:
     return twice
 
 
+def _all_onward(place: dict[str, int], reads: list[list[str]]) -> bool:
+    """Whether the vertices of reads get places, beside those of the reference, that grow along every read. Then there is no cycle; else there may be one."""
+    known = dict(place)
+    for n, own in enumerate(reads, 1):
+        first = next((i for i, x in enumerate(own) if x in known), None)
+        last = (known[own[first]] - first if first is not None else -n << 20) - 1
+        for x in own:
+            p = known.get(x)
+            if p is None:
+                p = known[x] = last + 1
+            elif p <= last:
+                return False
+            last = p
+    return True
+
+
 def _paths(ref: str, reads: list[str | tuple[str, int]], k: int, least: int, most: int) -> list[tuple[float, str]]:
     """Haplotypes of one k-mer size; none where the reference repeats a k-mer or the graph has a cycle. Ends that dangle are joined to the reference where they agree with it."""
     from strandlake.kernels import seqgraph  # which is built on this module's graph
 
-    if len(ref) <= k or repeated_kmers(ref, k) or "N" in ref:
+    if len(ref) <= k or "N" in ref:
+        return []
+    kmers = [ref[i : i + k] for i in range(len(ref) - k + 1)]
+    place = dict(zip(kmers, range(len(kmers)), strict=True))
+    if len(place) < len(kmers):
         return []
     graph = KmerGraph(k)
     graph.add(ref, is_ref=True)
+    along = list(zip(kmers, kmers[1:], strict=False))
+    off, met = [], Counter()
     for read in reads:
         seq, times = (read, 1) if isinstance(read, str) else read
-        graph.add(seq, times=times)
-    if graph.has_cycle():
+        if len(seq) <= k:
+            continue
+        at = ref.find(seq)
+        if at >= 0:
+            for edge in along[at : at + len(seq) - k]:
+                graph.weight[edge] += times
+            continue
+        own = [seq[i : i + k] for i in range(len(seq) - k + 1)]
+        places = list(map(place.get, own))
+        met.update([x for x, p in zip(own, places, strict=True) if p is None])
+        off.append((seq, own, places, times))
+    for seq, own, places, times in off:
+        if times >= least or "N" in seq:
+            graph.add(seq, times=times)
+            continue
+        # What a light read shows between two places of the reference (or an end of it) and no other does is pruned, unless it makes a cycle.
+        at, upto = 0, len(own)
+        edges = list(zip(own, own[1:], strict=False))
+        while at < upto:
+            if places[at] is not None:
+                if at and places[at - 1] is not None:
+                    graph.link(edges[at - 1], times)
+                at += 1
+                continue
+            end = at
+            while end < upto and places[end] is None:
+                end += 1
+            if all(met[x] == 1 for x in own[at:end]):
+                if at and end < upto and places[end] <= places[at - 1]:
+                    return []
+            else:
+                for edge in edges[max(0, at - 1) : end]:
+                    graph.link(edge, times)
+            if end < upto:
+                at = end + 1
+            else:
+                break
+    if not _all_onward(place, [own for seq, own, _, _ in off]) and graph.leaves_and_returns(place):
         return []
     graph.prune(least)
     source, sink = ref[:k], ref[-k:]
     seqgraph.drop_beyond_reference(graph, source, sink)
-    if seqgraph.recover_dangling(graph, ref) and graph.has_cycle():
+    if seqgraph.recover_dangling(graph, ref, place=place) and graph.leaves_and_returns(place):
         return []
-    seqgraph.drop_unconnected_paths(graph, source, sink)
-    return seqgraph.unique_best(graph.best_paths(source, sink, most), most)
+    return seqgraph.unique_best(graph.best_paths(source, sink, most, connected=True), most)
+
+
+def only_reference(ref: str, reads: list[tuple[str, int]], sizes: tuple[int, ...], least: int = MIN_WEIGHT) -> bool:
+    """Whether no graph of these sizes can hold another haplotype, seen without building one.
+
+    An edge that isn't the reference's and lighter than ``least`` is pruned, but for stretches that hang on the reference's ends, which lead nowhere. So where all
+    such edges are light, a graph gives the reference at a cost of 0, or nothing.
+    """
+    off = [(s, n) for s, n in reads if s not in ref]
+    if not off:
+        return True
+    if sum(n for _, n in off) < least and len(off) == 1:
+        seq, k = off[0][0], min(sizes)
+        if len({seq[i : i + k + 1] for i in range(len(seq) - k)}) == max(0, len(seq) - k):
+            return True
+    for k in sizes:
+        if len(ref) <= k:
+            continue  # no graph
+        known = {ref[i : i + k + 1] for i in range(len(ref) - k)}
+        seen: dict[str, int] = {}
+        for seq, n in off:
+            for i in range(len(seq) - k):
+                x = seq[i : i + k + 1]
+                if x not in known:
+                    if (times := seen.get(x, 0) + n) >= least:
+                        return False
+                    seen[x] = times
+    return True
 
 
 def assemble(ref: str, reads: list[str | tuple[str, int]], sizes: tuple[int, ...] = KMER_SIZES, least: int = MIN_WEIGHT, most: int = MAX_HAPLOTYPES, larger: tuple[int, ...] = LARGER_SIZES) -> list[tuple[float, str]]:
@@ -158,6 +302,9 @@ def assemble(ref: str, reads: list[str | tuple[str, int]], sizes: tuple[int, ...
 
     A read is a sequence, or one with how often it occurs. A haplotype of several graphs has its best score.
     """
+    counted = [(r, 1) if isinstance(r, str) else r for r in reads]
+    if only_reference(ref, counted, (*sizes, *larger), least):
+        return [(0.0, ref)]
     found: dict[str, float] = {}
     for k in (*sizes, *larger):
         if found and k not in sizes:

@@ -63,6 +63,32 @@ def site_quality(gls: list[np.ndarray], heterozygosity: float = 1e-3) -> tuple[f
     return float(-10 * posterior[0]) + 0.0, int(posterior.argmax())
 
 
+def site_qualities(site: np.ndarray, gls: np.ndarray, heterozygosity: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+    """``site_quality`` of many sites 0, 1, ... at once: gls has a row per sample of each site, sites one after the other. Sites of equally many samples are one array."""
+    first = np.flatnonzero(np.r_[True, site[1:] != site[:-1]]) if len(site) else np.zeros(0, np.int64)
+    many = np.diff(np.r_[first, len(site)])
+    qual, count = np.zeros(len(first)), np.zeros(len(first), np.int64)
+    for n in np.unique(many).tolist():
+        own = np.flatnonzero(many == n)
+        ways, scale = np.ones((len(own), 1)), np.zeros(len(own))
+        for k in range(n):
+            gl = gls[first[own] + k]
+            top = gl.max(axis=1)
+            factor = 10.0 ** (gl - top[:, None]) * np.array([1.0, 2.0, 1.0])
+            wider = np.zeros((len(own), ways.shape[1] + 2))
+            for j in range(3):
+                wider[:, j : j + ways.shape[1]] += ways * factor[:, j : j + 1]
+            peak = wider.max(axis=1)
+            ways, scale = wider / peak[:, None], scale + top + np.log10(peak)
+        choose = np.array([math.lgamma(2 * n + 1) - math.lgamma(k + 1) - math.lgamma(2 * n - k + 1) for k in range(2 * n + 1)]) / math.log(10)
+        with np.errstate(divide="ignore"):
+            joint = np.log10(ways) + scale[:, None] - choose + log10_priors(2 * n, heterozygosity)
+        top = joint.max(axis=1)
+        sums = top + np.log10((10.0 ** (joint - top[:, None])).sum(axis=1))
+        qual[own], count[own] = -10 * (joint[:, 0] - sums) + 0.0, joint.argmax(axis=1)
+    return qual, count
+
+
 def levelled(stacks: list[int], target: int, least: int = 1) -> list[int]:
     """Sizes of stacks whose sum is cut to the target by lowering the highest evenly; none below ``least`` (or its own size)."""
     if sum(stacks) <= target:

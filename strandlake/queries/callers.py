@@ -15,9 +15,14 @@ from strandlake.session import staged
 from strandlake.tables import table
 
 
+#: Bases of a slice of the consensus: reads lie apart, so most of a longer one would be N.
+_SLICE = 256
+
+
 def _groups(spark: SparkSession, sf: str) -> DataFrame:
-    refs = staged(reference.slices(_consensus(spark, sf)), "reference-slices")
-    return calling.region_groups(staged(active_regions(spark, sf), "regions"), *(table(spark, sf, n) for n in ("reads", "read_groups", "contigs")), refs)
+    tables = [table(spark, sf, n) for n in ("reads", "read_groups", "contigs")]
+    refs = reference.read_slices(pileup.read_rows(*tables), _SLICE)
+    return calling.region_groups(staged(active_regions(spark, sf), "regions"), *tables, refs, size=_SLICE)
 
 
 def assembly_haplotypes(spark: SparkSession, sf: str) -> DataFrame:
@@ -30,7 +35,8 @@ def region_calls(spark: SparkSession, sf: str) -> DataFrame:
 
 def phased_calls(spark: SparkSession, sf: str) -> DataFrame:
     groups = staged(_groups(spark, sf), "region-groups")
-    return calling.phased(staged(calling.called(groups), "calls"), calling.region_haplotypes(groups))
+    found = staged(calling.region_haplotypes(groups), "haplotypes")
+    return calling.phased(calling.called_of(groups, found), found)
 
 
 def trimmed_regions(spark: SparkSession, sf: str) -> DataFrame:

@@ -35,8 +35,8 @@ def activity_segments(spark: SparkSession, sf: str) -> DataFrame:
 
 def active_regions(spark: SparkSession, sf: str) -> DataFrame:
     """Regions by likelihoods, for what has no SQL; ``activity_segments`` counts mismatches as its SQL does."""
-    els = _elements(spark, sf)
-    return regions.regions(regions.smoothed(regions.activity(els, _consensus(spark, sf))), threshold=10_000)
+    rows = pileup.read_rows(*(table(spark, sf, n) for n in ("reads", "read_groups", "contigs")))
+    return regions.active_runs(regions.read_activity(rows), threshold=10_000)
 
 
 def active_region_reads(spark: SparkSession, sf: str) -> DataFrame:
