@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 from strandlake.kernels.align import compact
-from strandlake.kernels.reads import Read, columns
+from strandlake.kernels.reads import Read
 
 #: Improvement (in tens of phred) that a consensus needs, and mismatch quality beyond the consensus.
 MIN_LOD, BEYOND = 5.0, 99
@@ -44,28 +44,46 @@ def mismatch_sums(seq: str, quals: str, target: str, offsets: np.ndarray) -> np.
     return np.where(inside, np.where(wrong, q, 0), BEYOND).sum(axis=1)
 
 
+def letters_of(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("latin-1", "replace"), np.uint8)
+
+
+def qualities_of(read: Read) -> np.ndarray:
+    return letters_of(read.quals).astype(np.int64) - 33
+
+
 def raw_mismatches(read: Read, ref: str, ref_start: int) -> int:
     """Mismatching qualities of the read as it is aligned; inserted bases count in full, clipped ones not at all."""
     total, at, i = 0, read.start - ref_start, 0
-    for op in columns(list(read.ops)):
+    seq, qual, whole = letters_of(read.seq), qualities_of(read), letters_of(ref)
+    for op, n in read.ops:
         if op in "M=X":
-            base = ref[at] if 0 <= at < len(ref) else None
-            quality = ord(read.quals[i]) - 33
-            total += BEYOND if base is None else quality if base not in ("N", read.seq[i]) and read.seq[i] != "N" else 0
+            a = min(max(at, 0), at + n)
+            b = max(a, min(at + n, len(whole)))
+            own, there = seq[i + a - at : i + b - at], whole[a:b]
+            total += BEYOND * (n - (b - a)) + int(qual[i + a - at : i + b - at][(own != there) & (there != 78) & (own != 78)].sum())
         elif op == "I":
-            total += ord(read.quals[i]) - 33
-        at += op in "MDN=X"
-        i += op in "MIS=X"
+            total += int(qual[i : i + n].sum())
+        at += n if op in "MDN=X" else 0
+        i += n if op in "MIS=X" else 0
     return total
 
 
 def best_place(read: Read, target: str, ref_start: int) -> tuple[int, int]:
     """(offset, mismatching qualities) of the best place of a read on the whole consensus; of equal ones the nearest to where it is, then the first."""
     near = read.start - ref_start
-    offsets = np.arange(0, max(0, len(target) - len(read.seq)) + 1)
-    sums = mismatch_sums(read.seq, read.quals, target, offsets)
-    at = int(np.lexsort((np.abs(offsets - near), sums))[0])
-    return int(offsets[at]), int(sums[at])
+    if 0 < len(read.seq) <= len(target) and read.seq.isascii() and target.isascii():  # no base lies beyond the consensus
+        own, whole = letters_of(read.seq), letters_of(target)
+        wrong = np.lib.stride_tricks.sliding_window_view(whole, len(own)) != own
+        if (whole == 78).any():
+            wrong &= np.lib.stride_tricks.sliding_window_view(whole != 78, len(own))
+        exact = np.float32 if len(own) < 1 << 16 else np.float64  # sums are whole numbers
+        sums = wrong.astype(exact) @ np.where(own == 78, 0, qualities_of(read)).astype(exact)
+    else:
+        sums = mismatch_sums(read.seq, read.quals, target, np.arange(0, max(0, len(target) - len(read.seq)) + 1))
+    least = np.flatnonzero(sums == sums.min())
+    at = int(least[np.argmin(np.abs(least - near))])
+    return at, int(sums[at])
 
 
 def placed(offset: int, length: int, event: tuple[int, int, str], ref_start: int) -> tuple[int, tuple[tuple[str, int], ...]]:

@@ -83,11 +83,11 @@ def ready_for_calling(reads: DataFrame, read_groups: DataFrame, contigs: DataFra
     """
     placed = pileup.read_rows(reads, read_groups, contigs, "active_region").where("seq not in ('', '*') and base_quals not in ('', '*')")
     mended = mended_mates(placed).groupBy(F.col("record_id").alias("_id")).agg(F.min("base_quals").alias("_mended"))
-    joined = reads.join(mended, reads["record_id"] == mended["_id"], "left").withColumn("base_quals", F.coalesce("_mended", "base_quals")).drop("_id", "_mended")
     sound = F.coalesce(F.expr("cigar not in ('', '*') and seq not in ('', '*') and base_quals not in ('', '*') and contig_position >= 1"), F.lit(False))
-    cut = finalized(joined.where(sound), low).where("length(cut.seq) > 0")
+    joined = reads.where(sound).join(mended, F.col("record_id") == F.col("_id"), "left").withColumn("base_quals", F.coalesce("_mended", "base_quals")).drop("_id", "_mended")  # no other read is mended
+    cut = finalized(joined, low).where("length(cut.seq) > 0")
     cut = cut.withColumns({"contig_position": F.col("cut.start").cast("int"), "cigar": F.col("cut.cigar"), "seq": F.col("cut.seq"), "base_quals": F.col("cut.base_quals")}).select(*reads.columns)
-    return cut.unionByName(joined.where(~sound).select(*reads.columns))
+    return cut.unionByName(reads.where(~sound))
 
 
 _MERGED = "struct<start:bigint,cigar:string,seq:string,base_quals:string>"

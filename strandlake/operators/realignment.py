@@ -10,7 +10,13 @@ an indel; a target without reads or consensus changes nothing; of equal gains th
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +24,7 @@ from strandlake.functions import cigar as C
 from strandlake.kernels import realign as A
 from strandlake.kernels import reads as R
 from strandlake.operators import intervals, pileup, reference
+from strandlake.operators.calling import _batch, _keyed, _rows
 from strandlake.session import staged
 from strandlake.tables import FLAG_FIRST, FLAG_SECOND, FLAG_SECONDARY, FLAG_SUPPLEMENTARY, contig_key, with_sample
 
@@ -64,61 +71,103 @@ def _events(groups: DataFrame, targets: DataFrame, known: DataFrame | None) -> D
     return both.groupBy("contig", "start").agg(F.array_sort(F.collect_set(F.struct("at", "gone", "new"))).alias("events"))
 
 
-def _columns(read: R.Read, ref: str, ref_start: int) -> dict[int, tuple[int, int]]:
-    """position -> (quality, quality if it mismatches) of the aligned bases of a read."""
-    out, at, i = {}, read.start, 0
+#: Rows of results that are written at once.
+_WRITTEN = 1 << 13
+_SCORES_ARROW = pa.schema([("contig", pa.string()), ("start", pa.int64()), ("event", pa.int32()), ("gain", pa.int64())])
+_MOVES_ARROW = pa.schema([(c, pa.string() if c in ("contig", "new_cigar") else pa.int64()) for c in (x.split()[0] for x in _MOVES.split(", "))])
+_READ = ["record_id", "a", "cigar", "seq", "base_quals"]
+
+
+def _event(e: dict) -> tuple[int, int, str]:
+    return int(e["at"]), int(e["gone"]), e["new"]
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], of_target: int) -> Iterator[tuple]:
+    """(contig, start, the target's ``of_target`` columns, [(record_id, read)]) of each block of reads; its first row is its target."""
+    for (contig, start, _), rows in groupby(_rows(batches), key=itemgetter(0, 1, 2)):
+        kind, *first = next(rows)[3:]
+        if kind == 0:
+            yield contig, start, first[len(_READ) : len(_READ) + of_target], [(record, R.Read.of(a, c, s, q)) for _, _, _, _, record, a, c, s, q, *_ in rows]
+
+
+def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    out = []
+    for contig, start, (ref, ref_start, events), reads in _blocks(batches, 3):
+        raw = [A.raw_mismatches(r, ref, ref_start) for _, r in reads]
+        for k, e in enumerate(events if reads else ()):
+            target = A.consensus(ref, ref_start, _event(e))
+            if target is not None:
+                gains = (n - A.best_place(r, target, ref_start)[1] for (_, r), n in zip(reads, raw, strict=True) if n)
+                out.append((contig, start, k, sum(g for g in gains if g > 0)))
+        if len(out) >= _WRITTEN:
+            yield _batch(out, _SCORES_ARROW)
+            out = []
+    if out:
+        yield _batch(out, _SCORES_ARROW)
+
+
+def _add_columns(read: R.Read, letters: np.ndarray, ref_start: int, sums: np.ndarray, covered: np.ndarray) -> None:
+    """Add the qualities of a read's aligned bases, and those that mismatch, to the two rows of ``sums``, and mark the columns; none where the reference is N."""
+    seq, qual, at, i = A.letters_of(read.seq), A.qualities_of(read), read.start - ref_start, 0
     for op, n in read.ops:
         if op in "M=X":
-            for k in range(n):
-                place = at + k - ref_start
-                if 0 <= place < len(ref) and ref[place] != "N":
-                    quality = ord(read.quals[i + k]) - 33
-                    out[at + k] = (quality, quality if ref[place] != read.seq[i + k] else 0)
+            a = max(at, 0)
+            b = min(at + n, len(letters))
+            if a < b:
+                there, own, q = letters[a:b], seq[i + a - at : i + b - at], qual[i + a - at : i + b - at]
+                known = there != 78
+                sums[0, a:b] += np.where(known, q, 0)
+                sums[1, a:b] += np.where(known & (there != own), q, 0)
+                covered[a:b] |= known
         at += n if op in "MDN=X" else 0
         i += n if op in "MIS=X" else 0
-    return out
 
 
-def _score(reads: pd.DataFrame, info: pd.DataFrame) -> pd.DataFrame:
-    rows = []
-    if len(reads) and len(info):
-        first = info.iloc[0]
-        held = [R.Read.of(int(a), c, s, q) for a, c, s, q in zip(reads.a, reads.cigar, reads.seq, reads.base_quals, strict=True)]
-        raw = [A.raw_mismatches(r, first.ref_seq, int(first.ref_start)) for r in held]
-        for k, e in enumerate(first.events):
-            target = A.consensus(first.ref_seq, int(first.ref_start), (int(e["at"]), int(e["gone"]), e["new"]))
-            if target is not None:
-                gains = (n - A.best_place(r, target, int(first.ref_start))[1] for r, n in zip(held, raw, strict=True) if n)
-                rows.append((first.contig, first.start, k, sum(g for g in gains if g > 0)))
-    return pd.DataFrame(rows, columns=["contig", "start", "event", "gain"])
-
-
-def _move(reads: pd.DataFrame, info: pd.DataFrame) -> pd.DataFrame:
-    """Rows of two kinds: reads that move (record_id set), and sums per column before and after (position set)."""
-    moves, sums = [], {}
-    if len(reads) and len(info):
-        first = info.iloc[0]
-        ref, ref_start = first.ref_seq, int(first.ref_start)
-        event = (int(first.chosen["at"]), int(first.chosen["gone"]), first.chosen["new"])
+def _moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of two kinds: reads that move (record_id set), and sums per column before and after (position set).
+
+    Of a target that is one block, columns without a mismatch on either side decide nothing; but for one they don't come out.
+    """
+    moves, columns, n = [], [], 0
+
+    def out() -> Iterator[pa.RecordBatch]:
+        if moves:
+            yield _batch([(*x, *[None] * 5) for x in moves], _MOVES_ARROW)
+        if columns:
+            size = [len(at) for _, _, at, _ in columns]
+            own = {"contig": pa.array([c for c, *_ in columns], pa.string()), "start": pa.array([s for _, s, *_ in columns], pa.int64())}
+            each = pa.array(np.repeat(np.arange(len(size)), size))
+            own = {c: x.take(each) for c, x in own.items()} | {"position": pa.array(np.concatenate([at for _, _, at, _ in columns]))}
+            cells = np.concatenate([x for *_, x in columns], axis=1)
+            own |= {c: pa.array(np.ascontiguousarray(x)) for c, x in zip(("total", "wrong_before", "covered_after", "wrong_after"), cells, strict=True)}
+            yield pa.RecordBatch.from_arrays([own.get(f.name, pa.nulls(sum(size), f.type)) for f in _MOVES_ARROW], schema=_MOVES_ARROW)
+
+    for contig, start, (ref, ref_start, chosen, blocks), reads in _blocks(batches, 4):
+        event, letters = _event(chosen), A.letters_of(ref)
         target = A.consensus(ref, ref_start, event)
-        for record, a, c, s, q in zip(reads.record_id, reads.a, reads.cigar, reads.seq, reads.base_quals, strict=True):
-            read = R.Read.of(int(a), c, s, q)
+        sums, covered = np.zeros((4, len(letters)), np.int64), np.zeros(len(letters), bool)
+        for record, read in reads:
             after, raw = read, A.raw_mismatches(read, ref, ref_start)
             if raw:
                 offset, cost = A.best_place(read, target, ref_start)
                 if cost < raw:
-                    start, ops = A.placed(offset, len(read.seq), event, ref_start)
-                    after = R.Read(start, ops, read.seq, read.quals)
+                    place, ops = A.placed(offset, len(read.seq), event, ref_start)
+                    after = R.Read(place, ops, read.seq, read.quals)
             if (after.start, after.cigar) != (read.start, read.cigar):
-                moves.append((first.contig, first.start, record, after.start, after.cigar, *[None] * 5))
-            for k, side in enumerate((read, after)):
-                for position, (total, wrong) in _columns(side, ref, ref_start).items():
-                    cell = sums.setdefault(position, [0, 0, 0, 0])
-                    cell[2 * k] += total
-                    cell[2 * k + 1] += wrong
-        moves += [(first.contig, first.start, None, None, None, p, *cell) for p, cell in sums.items()]
-    out = pd.DataFrame(moves, columns=["contig", "start", "record_id", "new_position", "new_cigar", "position", "total", "wrong_before", "covered_after", "wrong_after"])
-    return out.astype({c: "Int64" for c in ("record_id", "new_position", "position", "total", "wrong_before", "covered_after", "wrong_after")})
+                moves.append((contig, start, record, after.start, after.cigar))
+            _add_columns(read, letters, ref_start, sums[:2], covered)
+            _add_columns(after, letters, ref_start, sums[2:], covered)
+        at = np.flatnonzero(covered)
+        if blocks == 1 and len(at):
+            wrong = (sums[1, at] > 0) | (sums[3, at] > 0)
+            at = at[wrong] if wrong.any() else at[:1]
+        if len(at):
+            columns.append((contig, start, at + ref_start, sums[:, at]))
+            n += len(at)
+        if n + len(moves) >= _WRITTEN:
+            yield from out()
+            moves, columns, n = [], [], 0
+    yield from out()
 
 
 def _less_mismatching(columns: DataFrame) -> DataFrame:
@@ -145,14 +194,20 @@ def realigned(targets: DataFrame, reads: DataFrame, read_groups: DataFrame, cont
     info = staged(with_ref.join(_events(groups, targets, known), ["contig", "start"]).join(sizes, ["contig", "start"]), "target-events")
     key = ["contig", "start", "_block"]
     dealt = groups.join(info.select("contig", "start", "_blocks"), ["contig", "start"]).withColumn("_block", F.pmod(F.xxhash64("record_id"), F.col("_blocks"))).drop("_blocks")
-    copies = lambda df: df.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1))).drop("_blocks", "stop")
-    scores = dealt.groupBy(*key).cogroup(copies(info).groupBy(*key)).applyInPandas(_score, _SCORES)
+
+    def walked(reads: DataFrame, found: DataFrame, of_target: list[str], function, schema: str) -> DataFrame:
+        none = lambda rows, names: [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in names]
+        copies = found.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1)))
+        first = copies.select(*key, F.lit(0).alias("_kind"), *none(reads, _READ), *of_target)
+        return _keyed(first.unionByName(reads.select(*key, F.lit(1).alias("_kind"), *_READ, *none(found, of_target))), key, "_kind").mapInArrow(function, schema)
+
+    scores = walked(dealt, info, ["ref_seq", "ref_start", "events"], _scored, _SCORES)
     gains = scores.groupBy("contig", "start", "event").agg(F.sum("gain").alias("gain"))
     best = gains.groupBy("contig", "start").agg(F.max(F.struct("gain", (-F.col("event")).alias("minus"))).alias("b")).where(F.col("b.gain") / 10 >= min_lod)
     chosen = info.join(best, ["contig", "start"]).withColumns({"chosen": F.get("events", -F.col("b.minus")), "lod": F.col("b.gain") / 10}).drop("events", "b")
     chosen = staged(chosen, "chosen-events")
     part = dealt.join(chosen.select("contig", "start"), ["contig", "start"], "left_semi")
-    moved = staged(part.groupBy(*key).cogroup(copies(chosen).groupBy(*key)).applyInPandas(_move, _MOVES), "moves")
+    moved = staged(walked(part, chosen, ["ref_seq", "ref_start", "chosen", "_blocks"], _moved, _MOVES), "moves")
     found = moved.where("record_id is not null").join(chosen.select("contig", "start", "lod"), ["contig", "start"])
     if entropy:
         columns = moved.where("position is not null").groupBy("contig", "start", "position").agg(*(F.sum(c).alias(c) for c in ("total", "wrong_before", "covered_after", "wrong_after")))

@@ -32,7 +32,7 @@ for _i, _b in enumerate(LETTERS):
     _BASE[ord(_b)] = _BASE[ord(_b.lower())] = _i
 
 
-def _codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def codes_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``K.letters`` with the code point of each character."""
     texts = [t or "" for t in texts]
     joined = "".join(texts)
@@ -44,7 +44,7 @@ def _codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 @dataclass
 class Block:
-    """Reads and their elements inside of their bin: index of the read, contig and position as one ``key``, and where in the read it is."""
+    """Reads and their elements inside of their bin: index of the read, contig and position as one ``key``, and where in the read it is. ``first_key`` is that of each read's start."""
 
     rows: pa.RecordBatch
     read: np.ndarray
@@ -53,6 +53,7 @@ class Block:
     deletion: np.ndarray
     next_op: np.ndarray
     prev_op: np.ndarray
+    first_key: np.ndarray
 
     def of_read(self, column: str, null: int) -> np.ndarray:
         return self.rows.column(column).fill_null(null).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -60,8 +61,13 @@ class Block:
     @cached_property
     def base(self) -> np.ndarray:
         """0 to 3 for the ``LETTERS``, else 4."""
-        letter = K.picked(_codes(self.rows.column("seq").to_pylist()), self.read, self.offset)
-        return np.where(self.deletion, len(LETTERS), np.where(letter < 256, _BASE[np.minimum(letter, 255)], len(LETTERS))).astype(np.int64)
+        return np.where(self.letter < 256, _BASE[np.minimum(self.letter, 255)], len(LETTERS)).astype(np.int64)
+
+    @cached_property
+    def letter(self) -> np.ndarray:
+        """Code points in upper case; 0 for a deletion."""
+        letter = K.picked(codes_of(self.rows.column("seq").to_pylist()), self.read, self.offset).astype(np.int64)
+        return np.where(self.deletion, 0, K.upper(letter))
 
     @cached_property
     def has_qual(self) -> np.ndarray:
@@ -69,7 +75,7 @@ class Block:
 
     @cached_property
     def qual(self) -> np.ndarray:
-        return K.picked(_codes(self.rows.column("base_quals").to_pylist()), self.read, self.offset).astype(np.int64) - 33
+        return K.picked(codes_of(self.rows.column("base_quals").to_pylist()), self.read, self.offset).astype(np.int64) - 33
 
     @cached_property
     def strand(self) -> np.ndarray:
@@ -155,7 +161,7 @@ class Bins:
         els = K.elements(rows.column("cigar").to_pylist(), starts)
         inside = (els.position >= first[els.read]) & (els.position < first[els.read] + self.width)
         read = els.read[inside]
-        return Block(rows, read, (contig[read] << _CONTIG_SHIFT) + els.position[inside], els.offset[inside], els.deletion[inside], els.next_op[inside], els.prev_op[inside])
+        return Block(rows, read, (contig[read] << _CONTIG_SHIFT) + els.position[inside], els.offset[inside], els.deletion[inside], els.next_op[inside], els.prev_op[inside], (contig << _CONTIG_SHIFT) + starts)
 
     def locus(self, keys: np.ndarray) -> list[pa.Array]:
         """Contig and position of keys."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlake.operators import calling, clipping, dedup, pileup, realignment, recal, reference, regions, tallies
+from strandlake.operators import calling, clipping, dedup, pileup, realignment, recal, reference, regions
 from strandlake.plans.stages import Plan, Stage
 from strandlake.session import staged
 
@@ -17,12 +17,12 @@ def germline(spark: SparkSession, tables: dict[str, DataFrame], threshold: int =
     plan = Plan(spark, tables)
 
     def stage(name: str, inputs: tuple[str, ...], output: str, run, keep: bool = False) -> None:
-        plan.add(Stage(name, inputs, (output,), (lambda *t: staged(run(*t), name.replace("_", "-"))) if keep else run, fusible=not keep))
+        plan.add(Stage(name, inputs, (output,), (lambda *t: staged(run(*t), name.replace("_", "-"))) if keep else run, fusible=not keep, detached=keep, staged=keep))
 
     stage("remove_duplicates", ("reads", *_PLACES), "unique_reads", lambda r, g, c: dedup.deduplicated(r, g, c).select(*r.columns), keep=True)
     if "reference" not in tables:
-        stage("take_consensus", ("unique_reads", *_PLACES), "reference", lambda r, g, c: reference.slices(tallies.consensus(tallies.position_counts(r, g, c))), keep=True)
-    stage("find_targets", ("unique_reads", *_PLACES, "variants"), "targets", lambda r, g, c, v: regions.targets(regions.indel_events(pileup.elements(r, g, c), v)), keep=True)
+        stage("take_consensus", ("unique_reads", *_PLACES), "reference", lambda r, g, c: reference.read_slices(pileup.read_rows(r, g, c)), keep=True)
+    stage("find_targets", ("unique_reads", *_PLACES, "variants"), "targets", lambda r, g, c, v: regions.targets(regions.indel_events(pileup.indels(pileup.read_rows(r, g, c)), v)), keep=True)
     stage("realign", ("targets", "unique_reads", *_PLACES, "reference", "variants"), "moves", realignment.realigned, keep=True)
     stage("move_reads", ("unique_reads", "moves", "read_groups"), "realigned_reads", lambda r, m, g: realignment.with_mates_fixed(realignment.with_moves(r, m), m, g), keep=True)
     stage("find_known_sites", ("variants",), "known_sites", recal.known_sites)
@@ -30,11 +30,10 @@ def germline(spark: SparkSession, tables: dict[str, DataFrame], threshold: int =
     stage("count_covariates", ("reads_on_reference",), "recal_counts", recal.counted, keep=True)
     stage("estimate_qualities", ("recal_counts",), "recal_tables", lambda n: recal.with_empirical(recal.tables(n)), keep=True)
     stage("recalibrate", ("realigned_reads", "recal_tables"), "recalibrated_reads", lambda r, t: recal.recalibrated(r, t).drop("old_quals"), keep=True)
-    stage("pile_up", ("recalibrated_reads", *_PLACES), "elements", pileup.elements)
-    stage("score_activity", ("elements", "reference"), "activity", lambda e, r: regions.activity(e, reference.bases(r)))
-    stage("smooth_activity", ("activity",), "profile", regions.smoothed)
-    stage("cut_regions", ("profile",), "regions", lambda p: regions.regions(p, threshold), keep=True)
+    stage("place_reads", ("recalibrated_reads", *_PLACES), "placed_reads", pileup.read_rows)
+    stage("score_activity", ("placed_reads", "reference"), "activity", lambda p, r: regions.activity_on(p, r, reference.SLICE), keep=True)
+    stage("cut_regions", ("activity",), "regions", lambda a: regions.active_runs(a, threshold), keep=True)
     stage("cut_reads", ("recalibrated_reads", *_PLACES), "calling_reads", clipping.ready_for_calling, keep=True)
     stage("gather_regions", ("regions", "calling_reads", *_PLACES, "reference"), "region_groups", calling.region_groups)
-    plan.add(Stage("call", ("region_groups",), ("calls",), calling.called, fusible=False))
+    plan.add(Stage("call", ("region_groups",), ("calls",), calling.called, fusible=False, detached=True))
     return plan

@@ -75,7 +75,7 @@ def events_sessions(spark: SparkSession, sf: str) -> DataFrame:
 def germline_plan(spark: SparkSession, sf: str) -> DataFrame:
     """Calls of the whole germline plan."""
     plan = germline(spark, {n: table(spark, sf, n) for n in ("reads", "read_groups", "contigs", "variants")})
-    return plan.run()["calls"]
+    return plan.result("calls")
 
 
 def germline_reads(spark: SparkSession, sf: str) -> DataFrame:
